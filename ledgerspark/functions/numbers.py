@@ -47,3 +47,8 @@ def bands(value: Column, steps: list[tuple[float, str]], otherwise: str, strict:
 def two_decimals(c) -> Column:
     """Fixed two-decimal text without thousands separators."""
     return _col(c).cast("decimal(38,2)").cast("string")
+
+
+def cents(value) -> Column:
+    """Amount rounded half up to two decimals; the six-decimal step removes binary noise before a tie is settled."""
+    return F.round(_col(value).cast("decimal(28,6)"), 2).cast("double")

@@ -1,9 +1,11 @@
 """Order statistics of large groups without putting a group into one task.
 
-``rank() over (partition by year)`` sends every company of a year to one task. Here equal values are first
-counted (a hot value shrinks to one row), the distinct values are cut into ordered buckets by a fixed monotone
-rule, and only the bucket totals -- at most ``COARSE_LIMIT * FINE`` rows per group -- go through a running sum.
-The position inside a bucket is found by a window over that bucket alone.
+``rank() over (partition by year)`` sends every company of a year to one task. Here a fixed monotone rule cuts the
+value axis into ordered buckets; only the bucket sizes -- a few thousand rows per group, whatever the data -- go
+through a running sum. Equal values are counted before they are shuffled, so a value held by a third of all rows
+is one row, and the place inside a bucket comes from a window over that bucket alone.
+
+The input is read several times. Callers pass a stored table or a staged one (``session.staged``).
 """
 
 from __future__ import annotations
@@ -13,70 +15,55 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-COARSE = 16  # buckets per doubling of the absolute value
-FINE = 256  # equal-width buckets inside each coarse bucket
+PER_DOUBLING = 64  # buckets per doubling of the scaled absolute value
+SCALE = float(1 << 20)  # keeps values below one apart
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Equi join in which null keys match each other; the keys of the left side are kept."""
-    renamed = right.select(*[F.col(c).alias(f"__{c}") if c in on else F.col(c) for c in right.columns])
-    test = reduce(lambda a, b: a & b, [left[c].eqNullSafe(renamed[f"__{c}"]) for c in on])
-    joined = left.join(renamed, test, how)
-    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"__{c}" for c in on])
+def _bucket(value: Column) -> Column:
+    """Order-preserving bucket number; an amount in cents near 10^9 shares its bucket with about 10^9 others at most."""
+    return (F.signum(value) * F.floor(F.log2(F.abs(value) * SCALE + 1) * PER_DOUBLING)).cast("int")
 
 
-def _coarse(value: Column) -> Column:
-    return (F.signum(value) * F.floor(F.log2(F.abs(value) + 1) * COARSE)).cast("int")
+def null_safe_join(left: DataFrame, right: DataFrame, by: list[str], exact: list[str] = (), how: str = "inner") -> DataFrame:
+    """Equi join on ``by`` (null matches null) and ``exact`` (never null); the keys of the left side are kept."""
+    keys = [*by, *exact]
+    renamed = right.select(*[F.col(c).alias(f"__{c}") if c in keys else F.col(c) for c in right.columns])
+    tests = [left[c].eqNullSafe(renamed[f"__{c}"]) for c in by] + [left[c] == renamed[f"__{c}"] for c in exact]
+    return left.join(renamed, reduce(lambda a, b: a & b, tests), how).drop(*[f"__{c}" for c in keys])
 
 
 def ladder(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Distinct values per group with ``n`` (rows), ``below`` (rows with a smaller value) and ``total``."""
     v = F.col(value).cast("double")
-    counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*by, value)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("_b1", _coarse(v))
-    )
-    # n takes part in both branches so that they share one exchange.
-    edges = counts.groupBy(*by, "_b1").agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.sum("n").alias("_rows"))
-    width = F.col("_hi") - F.col("_lo")
-    fine = (
-        null_safe_join(counts, edges.drop("_rows"), [*by, "_b1"])
-        .withColumn(
-            "_b2",
-            F.when(width > 0, F.least(F.lit(FINE - 1), F.floor((v - F.col("_lo")) / width * FINE))).otherwise(0).cast("int"),
-        )
-        .drop("_lo", "_hi")
-    )
-    totals = fine.groupBy(*by, "_b1", "_b2").agg(F.sum("n").alias("_rows"))
+    rows = df.filter(F.col(value).isNotNull()).select(*by, value, _bucket(v).alias("_b"))
+    sizes = rows.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_rows"))
     whole = Window.partitionBy(*by)
-    run = whole.orderBy("_b1", "_b2").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
+    run = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(
         *by,
-        "_b1",
-        "_b2",
+        "_b",
         F.coalesce(F.sum("_rows").over(run), F.lit(0)).alias("_before"),
         F.sum("_rows").over(whole).alias("total"),
     )
-    inside = Window.partitionBy(*by, "_b1", "_b2").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return null_safe_join(fine, offsets, [*by, "_b1", "_b2"]).select(
-        *by,
-        value,
-        "n",
-        (F.col("_before") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("below"),
-        "total",
+    counts = rows.groupBy(*by, "_b", value).agg(F.count(F.lit(1)).alias("n"))
+    inside = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    return null_safe_join(counts, offsets, by, ["_b"]).select(
+        *by, value, "n", (F.col("_before") + F.col("_inside")).alias("below"), "total"
     )
 
 
-def with_rank(df: DataFrame, by: list[str], value: str, rank: str, percentile: str | None = None) -> DataFrame:
-    """Add the descending competition rank and, if named, the ascending percent rank (0..1)."""
-    steps = ladder(df, by, value)
+def with_rank(df: DataFrame, by: list[str], value: str, rank: str, percentile: str | None = None, of: DataFrame | None = None) -> DataFrame:
+    """Add the descending competition rank and, if named, the ascending percent rank (0..1).
+
+    Rows without a value are left out. ``of`` names the table to rank in when ``df`` already carries other joins.
+    """
+    steps = ladder(df if of is None else of, by, value)
     columns = [(F.col("total") - F.col("below") - F.col("n") + 1).alias(rank)]
     if percentile:
         spread = F.col("total") - 1
         columns.append(F.when(spread > 0, F.col("below") / spread).otherwise(0.0).alias(percentile))
-    return null_safe_join(df, steps.select(*by, value, *columns), [*by, value])
+    return null_safe_join(df, steps.select(*by, value, *columns), by, [value])
 
 
 def quantiles(df: DataFrame, by: list[str], value: str, points: dict[str, float]) -> DataFrame:

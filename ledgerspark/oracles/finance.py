@@ -14,6 +14,10 @@ def R(a: str, b: str, n: int | None = None) -> str:
     return q if n is None else f"round({q}, {n})"
 
 
+def C(e: str) -> str:
+    return f"CAST(round(CAST({e} AS DECIMAL(28,6)), 2) AS DOUBLE)"
+
+
 def PCT(a: str, b: str, n: int = 2) -> str:
     return f"round({D(a)} * 100 / NULLIF({D(b)}, 0), {n})"
 
@@ -168,7 +172,7 @@ MARTS = {
       FROM (
         SELECT fiscal_year, period_type, entity_type, entity_subtype, account_class, root_segment,
                first(account_name ORDER BY depth, account_code) AS root_name, count(DISTINCT account_code) AS cuentas_distintas,
-               count(*) AS filas, sum(value) AS t, round({D('sum(value)')} / count(*), 2) AS promedio_valor,
+               count(*) AS filas, sum(value) AS t, {C(D('sum(value)') + ' / count(*)')} AS promedio_valor,
                {D('min(value)')} AS valor_minimo, {D('max(value)')} AS valor_maximo
         FROM (SELECT *, year(date) AS fiscal_year, split_part(account_code, '.', 1) AS root_segment,
                 CASE WHEN contains(account_code, '.') THEN len(string_split(account_code, '.'))
@@ -195,7 +199,7 @@ LATEST = "fiscal_year = (SELECT max(fiscal_year) FROM an WHERE {0})"
 DASHBOARD = {
     "a1_assets_year": an(f"""
       SELECT fiscal_year, period_type, count(*) AS companies_reporting, {D('sum(a)')} AS total_assets,
-             round({D('sum(a)')} / count(*), 2) AS avg_assets_per_company, {D('min(a)')} AS min_company_assets,
+             {C(D('sum(a)') + ' / count(*)')} AS avg_assets_per_company, {D('min(a)')} AS min_company_assets,
              {D('max(a)')} AS max_company_assets
       FROM an WHERE a IS NOT NULL GROUP BY 1, 2"""),
     "a2_assets_sector": an(f"""
@@ -234,7 +238,7 @@ DASHBOARD = {
       "rk AS (SELECT *, rank() OVER (PARTITION BY fiscal_year ORDER BY a DESC) AS r FROM an WHERE a IS NOT NULL)"),
     "d1_yoy_company": an(f"""
       SELECT {WHO}, {D('a')} AS total_assets, {D('p')} AS prev_year_assets, {D('a - p')} AS yoy_change,
-             {GROW('a', 'p')} AS yoy_growth_pct, round({D('s3')} / n3, 2) AS moving_avg_3yr
+             {GROW('a', 'p')} AS yoy_growth_pct, {C(D('s3') + ' / n3')} AS moving_avg_3yr
       FROM (SELECT *, lag(a) OVER w AS p, sum(a) OVER (w ROWS 2 PRECEDING) AS s3, count(a) OVER (w ROWS 2 PRECEDING) AS n3
             FROM an WHERE a IS NOT NULL WINDOW w AS (PARTITION BY ruc ORDER BY fiscal_year))"""),
     "d2_sector_cagr": an(f"""
@@ -403,7 +407,7 @@ ANOMALY = {
     "n2a_zscore": with_fs(f"""
       SELECT *, 'Z-score outlier' AS anomaly_type,
              CASE WHEN abs(z_score) > 5 THEN 'CRITICAL' WHEN abs(z_score) > 4 THEN 'HIGH' ELSE 'MEDIUM' END AS severity
-      FROM (SELECT {REP}, account_code, account_name, v AS value, round(m, 2) AS peer_mean, round(s, 2) AS peer_std,
+      FROM (SELECT {REP}, account_code, account_name, v AS value, {C('m')} AS peer_mean, {C('s')} AS peer_std,
                    round((v - m) / NULLIF(s, 0), 2) AS z_score, n AS peer_count
             FROM (SELECT *, {D('value')} AS v, {D('sum(value) OVER p')} / count(*) OVER p AS m,
                          stddev_samp({D('value')}) OVER p AS s, count(*) OVER p AS n
@@ -412,15 +416,15 @@ ANOMALY = {
     "n2b_iqr": with_fs(f"""
       SELECT *, CASE WHEN total_assets < lower_fence THEN 'IQR outlier — unusually small'
                      ELSE 'IQR outlier — unusually large' END AS anomaly_type, 'HIGH' AS severity
-      FROM (SELECT {REP}, v AS total_assets, round(q1, 2) AS q1, round(q3, 2) AS q3, round(q3 - q1, 2) AS iqr,
-                   round(q1 - 3 * (q3 - q1), 2) AS lower_fence, round(q3 + 3 * (q3 - q1), 2) AS upper_fence
+      FROM (SELECT {REP}, v AS total_assets, {C('q1')} AS q1, {C('q3')} AS q3, {C('q3 - q1')} AS iqr,
+                   {C('q1 - 3 * (q3 - q1)')} AS lower_fence, {C('q3 + 3 * (q3 - q1)')} AS upper_fence
             FROM (SELECT *, quantile_cont(v, 0.25) OVER g AS q1, quantile_cont(v, 0.75) OVER g AS q3, count(*) OVER g AS n
                   FROM (SELECT *, {D('value')} AS v FROM fs WHERE account_code = '1')
                   WINDOW g AS (PARTITION BY entity_type, year(date), period_type)) WHERE n >= 5)
       WHERE total_assets < lower_fence OR total_assets > upper_fence"""),
     "n3a_spikes": with_fs(f"""
       SELECT {FYR}, {D('p')} AS prev_year_assets, {D('a')} AS current_assets, ch AS yoy_change,
-             round(ch / NULLIF({D('p')}, 0) * 100, 2) AS yoy_pct, round(md, 2) AS sector_median_abs_change,
+             round(ch / NULLIF({D('p')}, 0) * 100, 2) AS yoy_pct, {C('md')} AS sector_median_abs_change,
              CASE WHEN ch > 0 THEN 'Abnormal spike' ELSE 'Abnormal drop' END AS anomaly_type,
              CASE WHEN abs(ch) > md * 5 THEN 'CRITICAL' ELSE 'HIGH' END AS severity
       FROM (SELECT *, quantile_cont(abs(ch), 0.5) OVER (PARTITION BY entity_type, fiscal_year, period_type) AS md FROM (

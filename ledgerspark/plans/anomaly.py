@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerspark.functions.numbers import as_double, bands, flag, ratio
+from ledgerspark.functions.numbers import as_double, bands, cents, flag, ratio
 from ledgerspark.operators.ladder import quantiles
+from ledgerspark.session import staged
 
 COMPANY = ["ruc", "company_name", "entity_type"]
 REPORT = [*COMPANY, "date", "period_type"]
@@ -79,7 +80,7 @@ def zscore(fs: DataFrame, peers: int = 5, limit: float = 3.0) -> DataFrame:
     scored = rows.join(stats, keys).withColumn("z_score", z).filter(F.abs("z_score") > limit)
     return scored.select(
         *REPORT, "account_code", "account_name", v.alias("value"),
-        F.round("_m", 2).alias("peer_mean"), F.round("_s", 2).alias("peer_std"), "z_score", "peer_count",
+        cents("_m").alias("peer_mean"), cents("_s").alias("peer_std"), "z_score", "peer_count",
         *_tag("Z-score outlier", bands(F.abs("z_score"), [(5, "CRITICAL"), (4, "HIGH")], "MEDIUM")),
     )
 
@@ -93,11 +94,11 @@ def iqr_outliers(fs: DataFrame, peers: int = 5, reach: float = 3.0) -> DataFrame
     gap = F.col("_q3") - F.col("_q1")
     fences = q.select(
         *keys,
-        F.round("_q1", 2).alias("q1"),
-        F.round("_q3", 2).alias("q3"),
-        F.round(gap, 2).alias("iqr"),
-        F.round(F.col("_q1") - gap * reach, 2).alias("lower_fence"),
-        F.round(F.col("_q3") + gap * reach, 2).alias("upper_fence"),
+        cents("_q1").alias("q1"),
+        cents("_q3").alias("q3"),
+        cents(gap).alias("iqr"),
+        cents(F.col("_q1") - gap * reach).alias("lower_fence"),
+        cents(F.col("_q3") + gap * reach).alias("upper_fence"),
     )
     small = F.col("total_assets") < F.col("lower_fence")
     large = F.col("total_assets") > F.col("upper_fence")
@@ -116,7 +117,7 @@ def spikes(fs: DataFrame, times: float = 3.0, critical: float = 5.0) -> DataFram
         .agg(F.sum("value").alias("_a"))
     )
     w = Window.partitionBy("ruc", "period_type").orderBy("fiscal_year")
-    years = (
+    years = staged(
         years.withColumn("_prev", F.lag("_a").over(w))
         .withColumn("_change", as_double(F.col("_a") - F.col("_prev")))
         .withColumn("_size", F.abs("_change"))
@@ -130,7 +131,7 @@ def spikes(fs: DataFrame, times: float = 3.0, critical: float = 5.0) -> DataFram
         as_double("_prev").alias("prev_year_assets"), as_double("_a").alias("current_assets"),
         F.col("_change").alias("yoy_change"),
         F.round(F.try_divide(F.col("_change"), as_double("_prev")) * 100, 2).alias("yoy_pct"),
-        F.round("_median", 2).alias("sector_median_abs_change"),
+        cents("_median").alias("sector_median_abs_change"),
         F.when(F.col("_change") > 0, "Abnormal spike").otherwise("Abnormal drop").alias("anomaly_type"),
         F.when(F.col("_size") > F.col("_median") * critical, "CRITICAL").otherwise("HIGH").alias("severity"),
     )

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerspark.functions.numbers import as_double, bands, growth, percent, ratio
+from ledgerspark.functions.numbers import as_double, bands, cents, growth, percent, ratio
 from ledgerspark.operators.ladder import with_rank
 from ledgerspark.plans.star import Star, annual, class_totals, money, named
+from ledgerspark.session import staged
 
 def by_year():
     return Window.partitionBy("ruc").orderBy("fiscal_year")
@@ -33,7 +34,7 @@ def assets_by_year(s: Star) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("companies_reporting"),
             as_double(F.sum("total_assets")).alias("total_assets"),
-            F.round(as_double(F.sum("total_assets")) / F.count(F.lit(1)), 2).alias("avg_assets_per_company"),
+            cents(as_double(F.sum("total_assets")) / F.count(F.lit(1))).alias("avg_assets_per_company"),
             as_double(F.min("total_assets")).alias("min_company_assets"),
             as_double(F.max("total_assets")).alias("max_company_assets"),
         )
@@ -142,7 +143,7 @@ def top_in_sector(s: Star, n: int = 5) -> DataFrame:
 
 def rank_moves(s: Star, places: int = 10) -> DataFrame:
     """Companies whose rank moved by at least ``places`` against exactly the year before."""
-    ranked = with_rank(with_assets(s), ["fiscal_year"], "total_assets", "rank_curr_year")
+    ranked = staged(with_rank(staged(with_assets(s)), ["fiscal_year"], "total_assets", "rank_curr_year"))
     prev = ranked.select(
         "ruc",
         (F.col("fiscal_year") + 1).alias("fiscal_year"),
@@ -174,7 +175,7 @@ def yoy_company(s: Star) -> DataFrame:
             as_double("_prev").alias("prev_year_assets"),
             as_double(F.col("total_assets") - F.col("_prev")).alias("yoy_change"),
             growth("total_assets", "_prev").alias("yoy_growth_pct"),
-            F.round("_mean", 2).alias("moving_avg_3yr"),
+            cents("_mean").alias("moving_avg_3yr"),
         )
     )
 

@@ -10,6 +10,7 @@ from ledgerspark.operators.ladder import quantiles
 from ledgerspark.operators.prefix import with_leaf_flag
 from ledgerspark.plans.dashboard import by_year, latest_only, with_assets, with_balance
 from ledgerspark.plans.star import Star, annual, money, named
+from ledgerspark.session import staged
 
 WHO = ("ruc", "company_name", "sector_name", "fiscal_year")
 
@@ -98,7 +99,7 @@ def profitability(s: Star) -> DataFrame:
 
 def roa_box(s: Star) -> DataFrame:
     """Five-number summary of the return on assets; the quartiles are exact and found without collecting a sector."""
-    roa = (
+    roa = staged(
         annual(s)
         .select("fiscal_year", "sector_name", F.try_divide(as_double(_net()), as_double("total_assets")).alias("_r"))
         .select("fiscal_year", "sector_name", (F.col("_r") * 100).alias("roa_pct"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerspark.functions.numbers import as_double, growth, percent, ratio
+from ledgerspark.functions.numbers import as_double, cents, growth, percent, ratio
 from ledgerspark.operators.ladder import with_rank
 from ledgerspark.operators.prefix import code_depth, with_leaf_flag
 from ledgerspark.plans.star import class_of
+from ledgerspark.session import staged
 
 REPORT = ["ruc", "date", "period_type"]
 # Spanish class labels of the mart.
@@ -81,7 +82,7 @@ def account_categories(fs: DataFrame) -> DataFrame:
         "fiscal_year", "period_type", "entity_type", "entity_subtype", "account_class", "root_segment", "root_name",
         "cuentas_distintas", "filas",
         as_double("_total").alias("total_valor"),
-        F.round(as_double("_total") / F.col("filas"), 2).alias("promedio_valor"),
+        cents(as_double("_total") / F.col("filas")).alias("promedio_valor"),
         as_double("_min").alias("valor_minimo"),
         as_double("_max").alias("valor_maximo"),
         percent("_total", whole).alias("pct_dentro_de_clase"),
@@ -99,9 +100,9 @@ def company_ranking(fs: DataFrame) -> DataFrame:
     leaves = F.sum(F.when(F.col("is_leaf"), F.col("value")))
     names = ("company_name", "entity_type", "entity_subtype")
     totals = rows.groupBy(*REPORT).agg(F.coalesce(root, leaves).alias("_a"), *[F.max(n).alias(n) for n in names])
-    totals = totals.withColumn("fiscal_year", F.year("date"))
+    totals = staged(totals.withColumn("fiscal_year", F.year("date")))
     ranked = with_rank(totals, ["fiscal_year", "period_type"], "_a", "ranking_global", "_pct")
-    ranked = with_rank(ranked, ["fiscal_year", "period_type", "entity_type"], "_a", "ranking_por_sector")
+    ranked = with_rank(ranked, ["fiscal_year", "period_type", "entity_type"], "_a", "ranking_por_sector", of=totals)
     before = F.lag("_a").over(Window.partitionBy("ruc", "period_type").orderBy("fiscal_year", "date"))
     return ranked.withColumn("_prev", before).select(
         "ruc", "company_name", "entity_type", "entity_subtype", "fiscal_year", "period_type",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerspark.functions.numbers import as_double, growth, ratio
 from ledgerspark.operators.ladder import with_rank
 from ledgerspark.operators.prefix import code_depth, group_code, subgroup_code, with_leaf_flag
-from ledgerspark.session import written_once
+from ledgerspark.session import staged, written_once
 from ledgerspark.sources.tables import statements
 
 # Class of the first digit of an account code.
@@ -243,8 +243,9 @@ def company_ranking(s: Star) -> DataFrame:
         s,
         class_totals(s).filter("total_assets is not null").select("company_key", "fiscal_year", "period_type", "total_assets"),
     )
+    base = staged(base)
     ranked = with_rank(base, ["fiscal_year", "period_type"], "total_assets", "rank_global", "_pct")
-    ranked = with_rank(ranked, ["fiscal_year", "period_type", "sector_name"], "total_assets", "rank_in_sector")
+    ranked = with_rank(ranked, ["fiscal_year", "period_type", "sector_name"], "total_assets", "rank_in_sector", of=base)
     before = F.lag("total_assets").over(Window.partitionBy("ruc", "period_type").orderBy("fiscal_year"))
     return ranked.withColumn("_prev", before).select(
         "ruc", "company_name", "sector_name", "fiscal_year", "period_type",

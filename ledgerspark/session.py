@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import tempfile
 
@@ -61,3 +62,18 @@ def written_once(spark: SparkSession, name: str, source: str, build, partition_b
         writer.parquet(path)
         _WRITTEN[key] = path
     return spark.read.parquet(_WRITTEN[key])
+
+
+_STAGED = itertools.count()
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write an intermediate result under the shared folder and read it back.
+
+    Used where one result feeds several branches of a plan: the branches then scan a small table and do not repeat
+    the aggregation before it.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-{os.getpid()}/staged/{next(_STAGED)}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -58,7 +58,7 @@ def _account_sum(measure: str, status: str | None, flag: str | None) -> Column:
         value = F.when(F.col("l_linestatus") == status, value)
     if flag:
         value = F.when(F.col("l_returnflag") == flag, value)
-    return F.sum(value).cast("decimal(18,2)").alias(_column(measure, status, flag))
+    return F.sum(value).alias(_column(measure, status, flag))
 
 
 def _account_rows(accounts: tuple) -> Column:
@@ -90,7 +90,9 @@ def _period_rows(cube: DataFrame) -> DataFrame:
         .agg(*[_account_sum(*s) for s in sums])
     )
     rows = F.when(F.col("period_type") == "MENSUAL", _account_rows(DOTTED_ACCOUNTS)).otherwise(_account_rows(PLAIN_ACCOUNTS))
-    return wide.select("l_suppkey", "date", "period_type", F.inline(rows)).filter("value is not null")
+    flat = wide.select("l_suppkey", "date", "period_type", F.inline(rows)).filter("value is not null")
+    amount = F.col("value").cast("decimal(20,0)") * F.lit("0.0001").cast("decimal(5,4)")
+    return flat.withColumn("value", amount.cast("decimal(18,2)"))
 
 
 def derive_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,19 +101,19 @@ def derive_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     Known defects (dropped years, sign errors, oversized or rounded values, ...) are injected by fixed
     arithmetic on supplier number and year, so that every anomaly check has rows to find.
     """
-    price = F.col("l_extendedprice").cast("decimal(12,2)")
-    tax = F.col("l_tax").cast("decimal(4,2)")
-    discount = F.col("l_discount").cast("decimal(4,2)")
-    one = F.lit(1).cast("decimal(4,2)")
+    # Whole numbers of 1/10000: exact like decimals, but summed as longs inside generated code.
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    tax = F.round(F.col("l_tax") * 100).cast("bigint")
+    discount = F.round(F.col("l_discount") * 100).cast("bigint")
     cube = (
         table(spark, sf_dir, "lineitem")
         .groupBy("l_suppkey", F.trunc("l_shipdate", "month").alias("month"), "l_linestatus", "l_returnflag")
         .agg(
-            F.sum(price).alias("price"),
-            F.sum(price * tax * F.lit(10)).alias("debt"),
-            F.sum(price * (one - discount)).alias("income"),
-            F.sum(price * (one - tax)).alias("cost"),
-            F.sum(-price * discount).alias("memo"),
+            F.sum(cents * 100).alias("price"),
+            F.sum(cents * tax * 10).alias("debt"),
+            F.sum(cents * (100 - discount)).alias("income"),
+            F.sum(cents * (100 - tax)).alias("cost"),
+            F.sum(-cents * discount).alias("memo"),
         )
         .withColumn("equity", F.col("price") - F.col("debt"))
     )
