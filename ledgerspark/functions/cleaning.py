@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Accepted date patterns in order of preference, e-mail pattern, checksum weights.
-DATE_PATTERNS = ("dd/MM/yyyy", "dd-MM-yyyy", "yyyy-MM-dd", "yyyyMMdd", "dd/MM/yy")
+DATE_PATTERNS = ("d/M/yyyy", "d-M-yyyy", "yyyy-M-d", "yyyyMMdd")
+SHORT_DATE_PATTERN, SHORT_YEAR_PIVOT = "d/M/yy", 2068
 EMAIL_PATTERN = r"^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+$"
 CHECKSUM_WEIGHTS = (2, 1, 2, 1, 2, 1, 2, 1, 2)
 
@@ -27,9 +28,14 @@ def comma_number(c) -> Column:
 
 
 def clean_date(c) -> Column:
-    """First pattern that fits; an unreadable date is null and the row survives."""
+    """First pattern that fits; an unreadable date is null and the row survives.
+
+    Spark reads a two-digit year as 20xx; years 69-99 are moved to 19xx.
+    """
     text = F.trim(_col(c))
-    return F.coalesce(*[F.try_to_date(text, p) for p in DATE_PATTERNS])
+    short = F.try_to_date(text, SHORT_DATE_PATTERN)
+    short = F.when(F.year(short) > SHORT_YEAR_PIVOT, F.add_months(short, -1200)).otherwise(short)
+    return F.coalesce(*[F.try_to_date(text, p) for p in DATE_PATTERNS], short)
 
 
 def normal_header(name: str) -> str:
@@ -98,7 +104,9 @@ def shortened(c, size: int, mark: str) -> Column:
 
 def full_years(start, ref) -> Column:
     """Completed calendar years, never negative."""
-    return F.greatest(F.floor(F.months_between(_col(ref), _col(start)) / 12), F.lit(0)).cast("int")
+    a, b = _col(start), _col(ref)
+    early = (F.month(b) * 100 + F.dayofmonth(b)) < (F.month(a) * 100 + F.dayofmonth(a))
+    return F.greatest(F.year(b) - F.year(a) - early.cast("int"), F.lit(0))
 
 
 def calendar_months(start, ref) -> Column:

@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def all_sql() -> dict[str, str]:
-    from ledgerspark.oracles import finance
+    from ledgerspark.oracles import finance, jobs
 
-    return dict(finance.SQL)
+    return {**finance.SQL, **jobs.SQL}

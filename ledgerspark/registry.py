@@ -5,12 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerspark.operators.prefix import with_leaf_flag
+from ledgerspark.functions import cleaning
 from ledgerspark.functions.numbers import as_double
-from ledgerspark.plans import anomaly, dashboard, kpi, marts, validation
+from ledgerspark.operators.keyed import keep_one, merge_batches
+from ledgerspark.operators.prefix import code_depth, code_depth_label, with_leaf_flag
+from ledgerspark.plans import anomaly, contracts, dashboard, ingest, kpi, marts, prices, receivables, tax, validation
 from ledgerspark.plans import star as st
-from ledgerspark.sources.tables import statements
+from ledgerspark.session import text_once
+from ledgerspark.sources.adapters import AS_OF, load
+from ledgerspark.sources.files import STATEMENT_COLUMNS, read_statements
+from ledgerspark.sources.tables import statements, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,8 +36,6 @@ def _leaf_accounts(fs: DataFrame) -> DataFrame:
 
 
 def _norm_counts(fs: DataFrame) -> DataFrame:
-    from pyspark.sql import functions as F
-
     parts = [
         df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "rows")
         for name, df in st.norm_tables(fs).items()
@@ -118,4 +122,201 @@ FINANCE: dict[str, Query] = {
     "q_mart_checks": _on_statements(validation.mart_checks),
 }
 
-QUERIES: dict[str, Query] = {**FINANCE}
+RAW_ORDER = ["line_no", "part_no"]
+
+
+def _raw_files(spark: SparkSession, sf: str) -> str:
+    """Tab-separated statement files written from the raw rows, as a user would receive them."""
+    line = F.concat_ws("\t", *STATEMENT_COLUMNS).alias("value")
+    return text_once(spark, "raw_statements", sf, lambda: load(spark, sf, "raw_statements").select(line))
+
+
+def _read_statements(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read_statements(spark, _raw_files(spark, sf))
+    return rows.groupBy(*STATEMENT_COLUMNS).agg(F.count(F.lit(1)).alias("copies"))
+
+
+def _on(fn, *names: str, **params) -> Query:
+    """Query on adapter tables, in the order of the function's arguments."""
+    return lambda spark, sf: fn(*[load(spark, sf, n) for n in names], **params)
+
+
+def _clean(raw: DataFrame, keep: str, sector_text: str | None = None) -> DataFrame:
+    return ingest.clean_statements(raw, RAW_ORDER, keep, sector_text).select(*STATEMENT_COLUMNS)
+
+
+def _keyed_load(raw: DataFrame, wins: str) -> DataFrame:
+    """Two batches: every batch is reduced to one row per key first, then merged with what is stored."""
+    good = ingest.cleaned(raw)
+    good = good.filter(ingest.usable(good))
+    parts = [good.filter(F.col("batch_seq") == b) for b in (1, 2)]
+    reduced = [keep_one(p, ingest.KEY, RAW_ORDER, wins) for p in parts]
+    return merge_batches(*reduced, ingest.KEY, ["batch_seq", *RAW_ORDER], wins).select(*STATEMENT_COLUMNS, "batch_seq")
+
+
+def _distinct_counts(raw: DataFrame, column: str, clean) -> DataFrame:
+    counted = raw.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(F.col(column).alias(f"raw_{column}"), clean(column).alias(column), "n")
+
+
+def _usable(raw: DataFrame) -> DataFrame:
+    good = ingest.cleaned(raw)
+    return good.filter(ingest.usable(good))
+
+
+def _roster(spark: SparkSession, sf: str) -> DataFrame:
+    known = load(spark, sf, "empleados").filter("id % 7 = 0")
+    groups = table(spark, sf, "nation").select(F.col("n_nationkey").alias("grupo_id"))
+    return ingest.roster_import(load(spark, sf, "nomina_csv"), known, groups, default_group=24)
+
+
+def _visibility(spark: SparkSession, sf: str) -> DataFrame:
+    assigned = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("usuario"), F.col("s_nationkey").alias("grupo_id"))
+    return ingest.visible_rows(load(spark, sf, "empleados").select("id", "cedula", "grupo_id"), assigned)
+
+
+def _account_depth(raw: DataFrame) -> DataFrame:
+    codes = raw.filter("account_code <> ''").select("account_code").distinct()
+    return codes.select(
+        "account_code", code_depth().alias("depth"), code_depth_label().alias("label"),
+        F.substring_index("account_code", ".", 1).alias("root_segment"),
+    )
+
+
+def _service_span(people: DataFrame, as_of: str) -> DataFrame:
+    ref = F.lit(as_of).cast("date")
+    return people.select(
+        "id", "fecha_ingreso", cleaning.full_years("fecha_ingreso", ref).alias("anios"),
+        cleaning.calendar_months("fecha_ingreso", ref).alias("meses"), cleaning.days_apart("fecha_ingreso", ref).alias("dias"),
+    )
+
+
+def _file_keys(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.concat("c_name", F.lit(" / "), "c_mktsegment", F.lit(" & Cía."))
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), cleaning.file_key(name).alias("clave"))
+
+
+def _notices(people: DataFrame) -> DataFrame:
+    values = {"nombre": F.concat_ws(" ", "nombres", "apellidos"), "mes": F.lit("enero 2024"), "empresa": F.lit("Empresa Demo")}
+    return people.select(
+        "id",
+        cleaning.fill_template("Nómina – [mes] | [empresa]", values).alias("asunto"),
+        cleaning.fill_template("Estimado/a [nombre], adjuntamos tu documento del período [mes]. [empresa]", values).alias("cuerpo"),
+    )
+
+
+def _aging(fn, **params) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        aged = receivables.aging(load(spark, sf, "facturas"), load(spark, sf, "clientes"), AS_OF)
+        return fn(aged, **params)
+
+    return run
+
+
+def _aging_join(invoices: DataFrame, customers: DataFrame) -> DataFrame:
+    joined = invoices.join(customers, "id_cliente", "left")
+    return joined.select(
+        "id_factura", "id_cliente", "nombre_comercial", "segmento", as_double("limite_credito").alias("limite_credito"),
+        as_double("saldo_pendiente").alias("saldo_pendiente"),
+    )
+
+
+def _contracts(fn, **params) -> Query:
+    return lambda spark, sf: fn(contracts.semaphore(load(spark, sf, "obligaciones"), AS_OF), **params)
+
+
+def _prices(*steps) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        df = prices.compare(load(spark, sf, "precios_propios"), load(spark, sf, "precios_competidor"))
+        for step in steps:
+            df = step(df)
+        return df
+
+    return run
+
+
+def _cross(*steps) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        df = tax.tax_cross(load(spark, sf, "comprobantes"), load(spark, sf, "retenciones"))
+        for step in steps:
+            df = step(df)
+        return df
+
+    return run
+
+
+def _valid_purchases(df: DataFrame) -> DataFrame:
+    return tax.validate(df).filter("valido")
+
+
+JOBS: dict[str, Query] = {
+    "read_statements": _read_statements,
+    "clean_number": _on(lambda raw: _distinct_counts(raw, "value", cleaning.clean_number), "raw_statements"),
+    "clean_date": _on(lambda raw: _distinct_counts(raw, "date", cleaning.clean_date), "raw_statements"),
+    "clean_statements": _on(lambda raw: _clean(raw, "first"), "raw_statements"),
+    "dedup_key": _on(lambda raw: _clean(raw, "last"), "raw_statements"),
+    "sector_filter": _on(lambda raw: _clean(raw, "last", "administradora de fondos y fideicomisos"), "raw_statements"),
+    "load_first_wins": _on(lambda raw: _keyed_load(raw, "first"), "raw_statements"),
+    "load_last_wins": _on(lambda raw: _keyed_load(raw, "last"), "raw_statements"),
+    "high_water_mark": _on(lambda raw: ingest.high_water_mark(_usable(raw)), "raw_statements"),
+    "run_metrics": _on(lambda raw: ingest.run_metrics(raw, RAW_ORDER), "raw_statements"),
+    "q_nulls": _on(validation.nulls, "raw_statements"),
+    "q_dates": _on(validation.dates, "raw_statements"),
+    "q_domains": _on(validation.domains, "raw_statements"),
+    "roster_import": _roster,
+    "row_visibility": _visibility,
+    "text_search": _on(
+        lambda p: ingest.search(p, "mach", ["cedula", "apellidos", "nombres"]).select("id", "cedula", "apellidos", "nombres"), "empleados"
+    ),
+    "email_valid": _on(lambda p: ingest.with_email_flag(p).select("id", "email", "email_valido"), "empleados"),
+    "national_id_valid": _on(lambda p: p.select("id", "cedula", cleaning.national_id_valid("cedula").alias("valida")), "empleados"),
+    "ruc_valid": _on(lambda c: c.select("id", "ruc_proveedor", cleaning.ruc_problem("ruc_proveedor").alias("motivo")), "compras"),
+    "service_span": _on(lambda p: _service_span(p, "2024-01-31"), "empleados"),
+    "account_depth": _on(_account_depth, "raw_statements"),
+    "file_keys": _file_keys,
+    "notice_text": _on(_notices, "empleados"),
+    "aging_join": _on(_aging_join, "facturas", "clientes"),
+    "aging_buckets": _aging(receivables.flat),
+    "aging_summary": _aging(receivables.summary),
+    "aging_by_segment": _aging(receivables.by_segment),
+    "top_debtors": _aging(receivables.top_debtors),
+    "due_soon": _aging(receivables.due_soon),
+    "bi_aging": _aging(receivables.measures, as_of=AS_OF),
+    "bi_aging_by_month": _aging(receivables.by_month),
+    "contract_semaphore": _contracts(contracts.report),
+    "contract_alerts": _contracts(contracts.alerts),
+    "contract_alert_counts": _contracts(contracts.alert_counts),
+    "contract_dash": _contracts(contracts.cards),
+    "contract_by_type": _contracts(contracts.by_type),
+    "contract_next_months": _contracts(contracts.next_months),
+    "contract_top_red": _contracts(contracts.top_red),
+    "bi_contracts": _contracts(contracts.measures, as_of=AS_OF),
+    "bi_contracts_grouped": _contracts(contracts.grouped_measures),
+    "bi_contracts_by_month": _contracts(contracts.by_month),
+    "price_compare": _on(
+        lambda own, rival: own.join(rival, "nombre").select("nombre", "disponibilidad", "codigo"), "precios_propios", "precios_competidor"
+    ),
+    "price_diff": _prices(),
+    "price_alerts": _prices(prices.alerts),
+    "price_alert_impact": _prices(prices.alerts, prices.alert_impact),
+    "price_classes": _prices(prices.labelled),
+    "bi_prices": _prices(prices.measures),
+    "page_products": _on(lambda p: prices.page_products(p).drop("pos"), "listados"),
+    "invoice_withholding": _on(
+        lambda a, b: tax.invoice_withholding(a, b).select("clave_acceso", "numero", "ret_doc_sustento", "ret_base_imponible", "sin_retencion"),
+        "comprobantes", "retenciones",
+    ),
+    "tax_cross": _cross(),
+    "tax_cross_counts": _cross(tax.cross_counts),
+    "purchase_validation": _on(
+        lambda c: tax.money_columns(tax.validate(c), "monto_iva", "valor_retenido_iva").select(
+            "id", "ruc_proveedor", "monto_iva", "valor_retenido_iva", "motivo_error", "valido"
+        ),
+        "compras",
+    ),
+    "purchase_validation_summary": _on(lambda c: tax.validation_summary(tax.validate(c)), "compras"),
+    "tax_annex_rows": _on(lambda c: tax.annex_rows(_valid_purchases(c)), "compras"),
+    "tax_annex_header": _on(lambda c: tax.annex_header(_valid_purchases(c), "1790016919001", "EMPRESA DEMO S.A."), "compras"),
+}
+
+QUERIES: dict[str, Query] = {**FINANCE, **JOBS}

@@ -45,6 +45,21 @@ def shared_folder(spark: SparkSession) -> str:
 _WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
+def _place(spark: SparkSession, name: str, source: str) -> str:
+    digest = hashlib.md5(source.encode()).hexdigest()[:12]
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-{os.getpid()}/{digest}/{name}"
+
+
+def text_once(spark: SparkSession, name: str, source: str, build) -> str:
+    """Write a one-column frame as text files once per application and return the folder."""
+    key = (spark.sparkContext.applicationId, name, source)
+    if key not in _WRITTEN:
+        path = _place(spark, name, source)
+        build().write.mode("overwrite").text(path)
+        _WRITTEN[key] = path
+    return _WRITTEN[key]
+
+
 def written_once(spark: SparkSession, name: str, source: str, build, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``build()`` as parquet under the shared folder once per application and read it back.
 
@@ -54,8 +69,7 @@ def written_once(spark: SparkSession, name: str, source: str, build, partition_b
     app = spark.sparkContext.applicationId
     key = (app, name, source)
     if key not in _WRITTEN:
-        digest = hashlib.md5(source.encode()).hexdigest()[:12]
-        path = f"{shared_folder(spark)}/{app}-{os.getpid()}/{digest}/{name}"
+        path = _place(spark, name, source)
         writer = build().write.mode("overwrite").option("compression", "zstd")
         if partition_by:
             writer = writer.partitionBy(*partition_by)

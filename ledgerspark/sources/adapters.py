@@ -212,6 +212,15 @@ TABLES: dict[str, str] = {
                CASE WHEN c_custkey % 29 = 0 THEN '' WHEN c_custkey % 3 = 0 THEN '' ELSE concat('p', CAST(c_custkey AS STRING), '@empresa.com.ec') END AS email,
                CASE WHEN c_custkey % 29 = 0 THEN '' WHEN c_custkey % 4 = 0 THEN 'x' ELSE CAST(c_nationkey * 2 AS STRING) END AS grupo_id
         FROM {{customer}}""",
+    # listing pages: every given page with three product cards behind its text, one of them without a price
+    "listados": """
+        SELECT page_id, concat(html,
+            '<article class="product_pod"><h3><a href="x" title="', url, '">t</a></h3><p class="price_color">£1,0', CAST(page_id % 90 + 10 AS STRING),
+            '.50</p><p class="instock availability"><i class="icon-ok"></i> In stock (', CAST(page_id % 9 AS STRING), ') </p></article>',
+            '<article class="product_pod"><h3><a title="sin precio">t</a></h3><p class="availability">In stock</p></article>',
+            '<article class="product_pod"><h3><a title="B', CAST(page_id AS STRING), '">t</a></h3><p class="price_color">$', CAST(page_id % 70 AS STRING),
+            '.25</p><p class="availability">', CASE WHEN page_id % 2 = 0 THEN 'Out of stock' ELSE 'Bajo pedido' END, '</p></article>') AS html
+        FROM {pages}""",
     # service requests
     "solicitudes": """
         SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'Básico' WHEN 1 THEN 'Estándar' WHEN 2 THEN 'Premium' ELSE 'Otro' END AS tipo_servicio,
