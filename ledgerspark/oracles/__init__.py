@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def all_sql() -> dict[str, str]:
-    from ledgerspark.oracles import finance, jobs
+    from ledgerspark.oracles import finance, jobs, people
 
-    return {**finance.SQL, **jobs.SQL}
+    return {**finance.SQL, **jobs.SQL, **people.SQL}

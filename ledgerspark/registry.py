@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +12,33 @@ from ledgerspark.functions import cleaning
 from ledgerspark.functions.numbers import as_double
 from ledgerspark.operators.keyed import keep_one, merge_batches
 from ledgerspark.operators.prefix import code_depth, code_depth_label, with_leaf_flag
-from ledgerspark.plans import anomaly, contracts, dashboard, ingest, kpi, marts, prices, receivables, tax, validation
+from ledgerspark.plans import (
+    anomaly,
+    benefits,
+    contracts,
+    dashboard,
+    entity_report,
+    evaluation,
+    ingest,
+    kpi,
+    mapping,
+    marts,
+    payroll,
+    prices,
+    quotes,
+    receivables,
+    reconcile,
+    retrieval,
+    sales,
+    tax,
+    validation,
+)
 from ledgerspark.plans import star as st
-from ledgerspark.session import text_once
-from ledgerspark.sources.adapters import AS_OF, load
+from ledgerspark.session import shared_folder, text_once
+from ledgerspark.sources.adapters import AS_OF, PAY_MONTH, PAY_YEAR, load
 from ledgerspark.sources.files import STATEMENT_COLUMNS, read_statements
 from ledgerspark.sources.tables import statements, table
+from ledgerspark.streaming import sales as live
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -319,4 +341,188 @@ JOBS: dict[str, Query] = {
     "tax_annex_header": _on(lambda c: tax.annex_header(_valid_purchases(c), "1790016919001", "EMPRESA DEMO S.A."), "compras"),
 }
 
-QUERIES: dict[str, Query] = {**FINANCE, **JOBS}
+RULES_YEAR = 2026
+HOLIDAYS = ["2024-01-01"]
+PAY_DAY = "2024-01-31"
+REPORT_ACCOUNTS = entity_report.ReportAccounts(income="4", expenses="5", equity="3")
+
+
+def _hours(days: DataFrame) -> DataFrame:
+    return payroll.attendance_hours(days, HOLIDAYS)
+
+
+def _payroll(spark: SparkSession, sf: str) -> DataFrame:
+    people, days, loans, drafts = (load(spark, sf, n) for n in ("empleados", "asistencia", "prestamos", "borradores"))
+    return payroll.payroll_month(people, _hours(days), loans, drafts, payroll.Rules.of_year(RULES_YEAR), PAY_YEAR, PAY_MONTH)
+
+
+def _income_tax(people: DataFrame) -> DataFrame:
+    rules = payroll.Rules.of_year(RULES_YEAR)
+    wage = as_double("sueldo_base")
+    return people.select("id", wage.alias("sueldo_base"), payroll.income_tax(wage, rules).alias("retencion_ir"))
+
+
+def _benefit_config(people: DataFrame) -> DataFrame:
+    """Settings of the year in which every employee completes thirteen years; null outside the configured year."""
+    year = F.year("fecha_ingreso") + 13
+    keys = ("sbu", "aporte_personal_pct", "aporte_patronal_pct", "fondos_reserva_pct")
+    return people.select("id", year.alias("anio"), *[payroll.config_lookup(k, year).alias(k) for k in keys])
+
+
+def _hr_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Payslips, leave, attendance and active loans with the identity of the employee, as one long list."""
+    people = load(spark, sf, "empleados")
+    rows = (
+        load(spark, sf, "roles_pago").select(F.lit("rol").alias("lista"), "empleado_id", F.col("id").cast("bigint").alias("id"), "estado"),
+        load(spark, sf, "permisos").select(F.lit("permiso").alias("lista"), "empleado_id", "id", "estado"),
+        load(spark, sf, "asistencia").select(F.lit("asistencia").alias("lista"), "empleado_id", F.date_format("fecha", "yyyyMMdd").cast("bigint").alias("id"), F.lit("").alias("estado")),
+        load(spark, sf, "prestamos").filter("activo").select(F.lit("prestamo").alias("lista"), "empleado_id", "id", F.col("tipo").alias("estado")),
+    )
+    out = rows[0]
+    for part in rows[1:]:
+        out = out.unionByName(part)
+    return payroll.hr_list(out, people)
+
+
+def _employee_detail(spark: SparkSession, sf: str) -> DataFrame:
+    """Last twelve payslips and last ten leaves of every employee."""
+    slips = payroll.latest_per_employee(load(spark, sf, "roles_pago"), ["anio", "mes"], 12)
+    leave = payroll.latest_per_employee(load(spark, sf, "permisos"), ["fecha_inicio", "id"], 10)
+    return slips.select(F.lit("rol").alias("lista"), "empleado_id", "orden", F.col("id").cast("bigint").alias("id")).unionByName(
+        leave.select(F.lit("permiso").alias("lista"), "empleado_id", "orden", "id")
+    )
+
+
+def _reconciled(*steps) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        df = reconcile.reconcile(load(spark, sf, "banco"), load(spark, sf, "libro"))
+        for step in steps:
+            df = step(df)
+        return df
+
+    return run
+
+
+def _mapped(*steps) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        df = mapping.map_files(load(spark, sf, "empleados"), load(spark, sf, "archivos"))
+        for step in steps:
+            df = step(df)
+        return df
+
+    return run
+
+
+def _sales_products(spark: SparkSession, sf: str) -> DataFrame:
+    return sales.products(load(spark, sf, "ventas"), table(spark, sf, "part"))
+
+
+def _sales_category(spark: SparkSession, sf: str) -> DataFrame:
+    return sales.by_category(load(spark, sf, "ventas"), table(spark, sf, "part"))
+
+
+def _sales_zone(spark: SparkSession, sf: str) -> DataFrame:
+    nation = table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("zona"))
+    sellers = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("vendedor_id"), "s_nationkey")
+    return sales.by_zone(load(spark, sf, "ventas"), sellers.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).drop("s_nationkey", "n_nationkey"))
+
+
+def _knn(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    return retrieval.nearest(vectors, retrieval.label_questions(vectors))
+
+
+def _rag(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.answer_sources(_knn(spark, sf), table(spark, sf, "documents"))
+
+
+def _stream_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-stream/{name}-{uuid.uuid4().hex[:8]}"
+
+
+def _sales_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return live.sales_of(live.event_stream(spark, sf, "events.parquet"))
+
+
+def _stream_day_total(spark: SparkSession, sf: str) -> DataFrame:
+    return live.run_updates(spark, live.day_totals(_sales_stream(spark, sf)), ["fecha"], _stream_folder(spark, "day"))
+
+
+def _stream_hourly(spark: SparkSession, sf: str) -> DataFrame:
+    keys = ["hora", "zona", "vendedor_id"]
+    return live.run_updates(spark, live.hourly(_sales_stream(spark, sf)), keys, _stream_folder(spark, "hour"))
+
+
+def _stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fifth invoice arrives twice; the stream keeps one row of each."""
+    copies = F.when(F.col("factura_id") % 5 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    doubled = _sales_stream(spark, sf).withColumn("_copy", F.explode(copies)).drop("_copy")
+    unique = live.run_append(spark, live.unique_invoices(doubled), _stream_folder(spark, "dedup"))
+    return unique.select("factura_id", "ts", "vendedor_id", "zona", as_double("total").alias("total"))
+
+
+def _stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    folder = _stream_folder(spark, "upsert")
+    live.run_statement_upsert(spark, _raw_files(spark, sf), f"{folder}/log", f"{folder}/checkpoint")
+    return ingest.current_rows(spark, f"{folder}/log").select("ruc", "account_code", "date", "period_type", "company_name")
+
+
+def _batch_day_total(spark: SparkSession, sf: str) -> DataFrame:
+    return live.day_totals(live.sales_of(table(spark, sf, "events")))
+
+
+def _evaluations(fn) -> Query:
+    return _on(fn, "evaluaciones", "respuestas")
+
+
+PEOPLE: dict[str, Query] = {
+    "attendance_hours": _on(_hours, "asistencia"),
+    "income_tax": _on(_income_tax, "empleados"),
+    "benefit_config": _on(_benefit_config, "empleados"),
+    "payroll_month": _payroll,
+    "payroll_totals": _on(payroll.payroll_totals, "roles_pago"),
+    "hr_dashboard": _on(payroll.hr_dashboard, "empleados", "roles_pago", "permisos", as_of=AS_OF),
+    "hr_lists": _hr_lists,
+    "employee_detail": _employee_detail,
+    "payroll_social_file": _on(payroll.social_security_file, "roles_pago", "empleados"),
+    "payroll_bank_file": _on(payroll.bank_file, "roles_pago", "empleados"),
+    "bonus_13th": _on(lambda e, r: benefits.thirteenth(e, r, 2000), "empleados", "roles_pago"),
+    "bonus_14th": _on(lambda e: benefits.fourteenth(e, payroll.Rules.of_year(RULES_YEAR), 2024), "empleados"),
+    "vacation_days": _on(lambda e, p: benefits.vacation(e, p, payroll.Rules.of_year(RULES_YEAR), PAY_DAY), "empleados", "permisos"),
+    "profit_share": _on(lambda e: benefits.profit_share(e, 2500000.0, 2024), "empleados"),
+    "eval_cycle_progress": _on(evaluation.cycle_progress, "evaluaciones"),
+    "eval_person_progress": _on(evaluation.person_progress, "evaluaciones", "empleados"),
+    "eval_report": _evaluations(evaluation.report),
+    "eval_recommendations": _evaluations(evaluation.recommendations),
+    "document_mapping": _mapped(),
+    "document_mapping_status": _mapped(mapping.mapping_status),
+    "batch_log": _on(mapping.send_log, "empleados"),
+    "batch_outcome": _on(lambda p: mapping.batch_outcome(mapping.send_log(p)), "empleados"),
+    "quote_pricing": _on(quotes.quote, "solicitudes"),
+    "bank_reconcile": _reconciled(reconcile.result_rows),
+    "bi_reconciliation": _reconciled(reconcile.measures),
+    "bi_reconciliation_gaps": _reconciled(reconcile.gap_histogram),
+    "bi_reconciliation_running": _reconciled(reconcile.running_totals),
+    "bi_reconciliation_bands": _reconciled(reconcile.amount_bands),
+    "entity_top": _on_statements(entity_report.top_entities),
+    "entity_report_metrics": _on_statements(entity_report.metrics, REPORT_ACCOUNTS),
+    "entity_report_accounts": _on_statements(entity_report.main_accounts, REPORT_ACCOUNTS),
+    "entity_report_history": _on_statements(entity_report.history, REPORT_ACCOUNTS),
+    "bi_sales": _on(lambda v: sales.measures(v, AS_OF), "ventas"),
+    "bi_sales_rank": _on(lambda v: sales.seller_rank(v, AS_OF), "ventas"),
+    "bi_sales_products": _sales_products,
+    "bi_sales_category": _sales_category,
+    "bi_sales_zone": _sales_zone,
+    "bi_sales_trend": _on(sales.trend, "ventas"),
+    "calendar": _on(lambda v: sales.calendar(v, "fecha", AS_OF), "ventas"),
+    "rag_chunks": lambda spark, sf: retrieval.chunks(table(spark, sf, "documents")),
+    "knn_topk": _knn,
+    "rag_retrieve": _rag,
+    "stream_day_total": _stream_day_total,
+    "stream_hourly": _stream_hourly,
+    "stream_dedup": _stream_dedup,
+    "stream_statement_upsert": _stream_upsert,
+    "batch_day_total": _batch_day_total,
+}
+
+QUERIES: dict[str, Query] = {**FINANCE, **JOBS, **PEOPLE}
