@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Accepted date patterns in order of preference, e-mail pattern, checksum weights.
-DATE_PATTERNS = ("d/M/yyyy", "d-M-yyyy", "yyyy-M-d", "yyyyMMdd")
-SHORT_DATE_PATTERN, SHORT_YEAR_PIVOT = "d/M/yy", 2068
+# Accepted date forms in order of preference with their ISO rewriting, e-mail pattern, checksum weights.
+DATE_FORMS = (
+    (r"^([0-9]{1,2})([/-])([0-9]{1,2})\2([0-9]{4})$", "$4-$3-$1"),
+    (r"^([0-9]{4})([0-9]{2})([0-9]{2})$", "$1-$2-$3"),
+    (r"^([0-9]{1,2})/([0-9]{1,2})/(69|[7-9][0-9])$", "19$3-$2-$1"),
+    (r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{2})$", "20$3-$2-$1"),
+)
+ISO_DATE = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"
 EMAIL_PATTERN = r"^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+$"
 CHECKSUM_WEIGHTS = (2, 1, 2, 1, 2, 1, 2, 1, 2)
 
@@ -28,14 +33,15 @@ def comma_number(c) -> Column:
 
 
 def clean_date(c) -> Column:
-    """First pattern that fits; an unreadable date is null and the row survives.
+    """Day-first, ISO and compact dates to a date; an unreadable date is null and the row survives.
 
-    Spark reads a two-digit year as 20xx; years 69-99 are moved to 19xx.
+    The text is rewritten to ISO form and cast. A cast of a bad day gives null at once, while a failing format
+    parser raises and catches an exception for every row and format. Two-digit years 69-99 belong to 19xx.
     """
     text = F.trim(_col(c))
-    short = F.try_to_date(text, SHORT_DATE_PATTERN)
-    short = F.when(F.year(short) > SHORT_YEAR_PIVOT, F.add_months(short, -1200)).otherwise(short)
-    return F.coalesce(*[F.try_to_date(text, p) for p in DATE_PATTERNS], short)
+    for pattern, iso in DATE_FORMS:
+        text = F.regexp_replace(text, pattern, iso)
+    return F.regexp_extract(text, ISO_DATE, 0).try_cast("date")
 
 
 def normal_header(name: str) -> str:

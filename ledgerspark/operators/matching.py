@@ -7,18 +7,23 @@ from pyspark.sql import functions as F
 
 from ledgerspark.session import staged
 
-TIE_BUCKETS = 2  # hex digits of the digest: 256 buckets
+TIE_DIGITS = 2  # leading hex digits of the digest: 256 parts
+DAY_LIMIT = 1_000_000  # rows of one amount and day that one task may sort
 
 
-def _numbered(df: DataFrame, amount: str, day: str, key: str) -> DataFrame:
-    """Place of every row inside its amount and day, counted from 0.
+def _numbered(df: DataFrame, amount: str, day: str, key: str, limit: int = DAY_LIMIT) -> DataFrame:
+    """Place of every row inside its amount and day, counted from 0, in the order of a digest of its key.
 
-    Rows of one amount and day are ordered by a digest of their key. The first digits of the digest cut them into
-    256 parts; the parts are counted, and only rows of one part meet in a window, so even a day on which one amount
-    fills a third of the table is spread out.
+    The largest amount and day is looked up first. Up to ``limit`` rows one window numbers them. Beyond it the
+    leading digits of the digest cut each day into 256 parts in the same order: the parts are counted and only rows
+    of one part meet in a window, so a day on which one amount fills a third of the table is spread out.
     """
-    part = F.left(F.md5(F.col(key).cast("string")), F.lit(TIE_BUCKETS))
-    rows = df.withColumns({"_part": part, "_digest": F.md5(F.col(key).cast("string"))})
+    rows = df.withColumn("_digest", F.md5(F.col(key).cast("string")))
+    largest = df.groupBy(amount, day).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= limit:
+        order = Window.partitionBy(amount, day).orderBy("_digest", key)
+        return rows.withColumn("_place", F.row_number().over(order).cast("bigint") - 1).drop("_digest")
+    rows = rows.withColumn("_part", F.left("_digest", F.lit(TIE_DIGITS)))
     sizes = rows.groupBy(amount, day, "_part").agg(F.count(F.lit(1)).alias("_n"))
     run = Window.partitionBy(amount, day).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(amount, day, "_part", F.coalesce(F.sum("_n").over(run), F.lit(0)).alias("_before"))
@@ -29,7 +34,10 @@ def _numbered(df: DataFrame, amount: str, day: str, key: str) -> DataFrame:
     )
 
 
-def match_in_window(left: DataFrame, right: DataFrame, amount: str, left_day: str, right_day: str, left_key: str, right_key: str, days: int = 3) -> DataFrame:
+def match_in_window(
+    left: DataFrame, right: DataFrame, amount: str, left_day: str, right_day: str, left_key: str, right_key: str,
+    days: int = 3, limit: int = DAY_LIMIT,
+) -> DataFrame:
     """Greedy one-to-one pairs of equal amount whose dates differ by at most ``days``.
 
     Meaning: left rows in the order of day and tie digest each take the first unused right row, in the same order,
@@ -44,12 +52,13 @@ def match_in_window(left: DataFrame, right: DataFrame, amount: str, left_day: st
     Result: ``left_key``, ``right_key`` of the pairs.
     """
     d = "_day"
-    l = _numbered(left.select(amount, F.col(left_day).alias(d), F.col(left_key).alias("_l")).filter(F.col(amount).isNotNull()), amount, d, "_l")
-    r = _numbered(right.select(amount, F.col(right_day).alias(d), F.col(right_key).alias("_r")).filter(F.col(amount).isNotNull()), amount, d, "_r")
-    l, r = staged(l), staged(r)
+    known = F.col(amount).isNotNull() & F.col(d).isNotNull()
+    left = staged(left.select(amount, F.col(left_day).alias(d), F.col(left_key).alias("_l")).filter(known))
+    right = staged(right.select(amount, F.col(right_day).alias(d), F.col(right_key).alias("_r")).filter(known))
+    l, r = _numbered(left, amount, d, "_l", limit), _numbered(right, amount, d, "_r", limit)
 
-    left_days = l.groupBy(amount, d).agg(F.count(F.lit(1)).alias("b"))
-    right_days = r.groupBy(amount, d).agg(F.count(F.lit(1)).alias("c"))
+    left_days = left.groupBy(amount, d).agg(F.count(F.lit(1)).alias("b"))
+    right_days = right.groupBy(amount, d).agg(F.count(F.lit(1)).alias("c"))
     # every right day enters the running count twice: when it becomes reachable and when it is too old
     steps = (
         left_days.select(amount, F.col(d).alias("_at"), F.col(d).alias(d), "b", F.lit(0).alias("opened"), F.lit(0).alias("closed"), F.lit(1).alias("_o"))

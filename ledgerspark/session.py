@@ -78,6 +78,16 @@ def written_once(spark: SparkSession, name: str, source: str, build, partition_b
     return spark.read.parquet(_WRITTEN[key])
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal a table of fewer files than cores out over the cores by a hash of its keys.
+
+    A single small file would otherwise be read and processed by one task. Tables of many files stay as they are,
+    so at scale no shuffle is added.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
+
+
 _STAGED = itertools.count()
 
 

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerspark.session import spread, written_once
+
 AS_OF = "2001-08-01"  # the reporting day of the batch tables: the last order date
 PAY_YEAR, PAY_MONTH = 2024, 1  # the month covered by the events
 
@@ -236,6 +238,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(TABLES[name].format(**{n: f"parquet.`{folder}/{n}.parquet`" for n in names}))
 
 
+def raw_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The delivered statement rows as a stored landing table, so that cleaning starts from plain columns."""
+    return written_once(
+        spark, "raw_statements", sf_dir, lambda: spread(load(spark, sf_dir, "raw_statements"), "line_no", "part_no")
+    )
+
+
 def as_cte(name: str, alias: str | None = None) -> str:
     """The same table as a common table expression over the registered views."""
     text = re.sub(r"\{(\w+)\}", r"\1", TABLES[name])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.session import written_once
+from ledgerspark.session import spread, written_once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,8 +105,11 @@ def derive_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     tax = F.round(F.col("l_tax") * 100).cast("bigint")
     discount = F.round(F.col("l_discount") * 100).cast("bigint")
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_suppkey", "l_shipdate", "l_linestatus", "l_returnflag", "l_extendedprice", "l_tax", "l_discount"
+    )
     cube = (
-        table(spark, sf_dir, "lineitem")
+        spread(lines, "l_suppkey", "l_shipdate")
         .groupBy("l_suppkey", F.trunc("l_shipdate", "month").alias("month"), "l_linestatus", "l_returnflag")
         .agg(
             F.sum(cents * 100).alias("price"),
