@@ -95,7 +95,7 @@ def nearest(vectors: DataFrame, questions: DataFrame, k: int = NEIGHBOURS, limit
     def block(part: int) -> DataFrame:
         wanted = questions.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == part).collect()
         ids = np.array([row.query_id for row in wanted], dtype=np.int64)
-        matrix = np.array([row.query for row in wanted], dtype=np.float64).reshape(len(wanted), -1)
+        matrix = np.array([row.query for row in wanted], dtype=np.float64) if wanted else np.empty((0, 1))
         norms = np.linalg.norm(matrix, axis=1)
 
         def best(batches):
