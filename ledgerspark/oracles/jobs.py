@@ -61,7 +61,7 @@ INGEST = {
         CASE WHEN res = 'error' THEN 'Fila ' || fila || ': cedula, nombre y apellido son obligatorios.' END AS mensaje
       FROM (SELECT *, (SELECT any_value(n_nationkey) FROM nation WHERE n_nationkey = try_cast(NULLIF(g, '') AS INT)) AS gid,
                CASE WHEN ced = '' OR nom = '' OR ape = '' THEN 'error'
-                    WHEN ced IN (SELECT cedula FROM empleados WHERE id % 7 = 0) THEN 'omitido'
+                    WHEN ced IN (SELECT cedula FROM empleados WHERE NOT activo) THEN 'omitido'
                     WHEN row_number() OVER (PARTITION BY ced, (nom = '' OR ape = '') ORDER BY fila) > 1 THEN 'omitido'
                     ELSE 'insertado' END AS res
             FROM (SELECT fila, trim(cedula) AS ced, trim(nombre) AS nom, trim(apellido) AS ape, trim(email) AS em, trim(grupo_id) AS g FROM nomina_csv)

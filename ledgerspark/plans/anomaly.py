@@ -12,6 +12,27 @@ from ledgerspark.session import staged
 COMPANY = ["ruc", "company_name", "entity_type"]
 REPORT = [*COMPANY, "date", "period_type"]
 CLASSES = ("1", "2", "3", "4", "5")
+# Texts of the findings.
+NEGATIVE_ASSETS = "Negative total assets"
+EXCESS_LIABILITIES = "Liabilities > 120% of assets"
+NEGATIVE_EQUITY = "Negative equity"
+ZERO_INCOME = "Zero income with real expenses"
+ZERO_EXPENSES = "Real income with zero expenses"
+ZSCORE = "Z-score outlier"
+IQR_SMALL = "IQR outlier — unusually small"
+IQR_LARGE = "IQR outlier — unusually large"
+SPIKE = "Abnormal spike"
+DROP = "Abnormal drop"
+SIGN_FLIP = "Sign flip on class account"
+GROUP_OVER_CLASS = "Child > parent (group vs class)"
+SUBGROUP_OVER_GROUP = "Child > parent (subgroup vs group)"
+MISSING_YEAR = "Missing annual report"
+SINGLE_YEAR = "Single year only — no trend possible"
+ROUND_VALUE = "Suspiciously round value"
+CONSTANT_PERIOD = "All accounts share same value"
+FUTURE_DATE = "Future report date"
+OLD_DATE = "Date before year 2000"
+PEER_LEVERAGE = "Leverage far above sector peers"
 
 
 def _tag(kind: str, severity: str | Column) -> list[Column]:
@@ -25,7 +46,7 @@ def _on(code: str) -> Column:
 
 def negative_assets(fs: DataFrame) -> DataFrame:
     rows = fs.filter("account_code = '1' and value < 0")
-    return rows.select(*REPORT, as_double("value").alias("total_assets"), *_tag("Negative total assets", "CRITICAL"))
+    return rows.select(*REPORT, as_double("value").alias("total_assets"), *_tag(NEGATIVE_ASSETS, "CRITICAL"))
 
 
 def excess_liabilities(fs: DataFrame, limit: float = 1.20) -> DataFrame:
@@ -33,13 +54,13 @@ def excess_liabilities(fs: DataFrame, limit: float = 1.20) -> DataFrame:
     lev = ratio("l", "a")
     return b.filter(lev > limit).select(
         *REPORT, as_double("a").alias("total_assets"), as_double("l").alias("total_liabilities"),
-        F.round(lev, 4).alias("leverage_ratio"), *_tag("Liabilities > 120% of assets", "CRITICAL"),
+        F.round(lev, 4).alias("leverage_ratio"), *_tag(EXCESS_LIABILITIES, "CRITICAL"),
     )
 
 
 def negative_equity(fs: DataFrame) -> DataFrame:
     rows = fs.filter("account_code = '3' and value < 0")
-    return rows.select(*REPORT, as_double("value").alias("total_equity"), *_tag("Negative equity", "HIGH"))
+    return rows.select(*REPORT, as_double("value").alias("total_equity"), *_tag(NEGATIVE_EQUITY, "HIGH"))
 
 
 def income_expense_gap(fs: DataFrame) -> DataFrame:
@@ -50,7 +71,7 @@ def income_expense_gap(fs: DataFrame) -> DataFrame:
         .agg(F.sum(F.coalesce(_on("4"), zero)).alias("i"), F.sum(F.coalesce(_on("5"), zero)).alias("e"))
         .filter("(i = 0 and e > 0) or (e = 0 and i > 0)")
     )
-    kind = F.when(F.col("i") == 0, "Zero income with real expenses").otherwise("Real income with zero expenses")
+    kind = F.when(F.col("i") == 0, ZERO_INCOME).otherwise(ZERO_EXPENSES)
     return b.select(
         *REPORT, as_double("i").alias("income"), as_double("e").alias("expenses"),
         kind.alias("anomaly_type"), F.lit("MEDIUM").alias("severity"),
@@ -60,14 +81,14 @@ def income_expense_gap(fs: DataFrame) -> DataFrame:
 def zscore(fs: DataFrame, peers: int = 5, limit: float = 3.0) -> DataFrame:
     """Values far from the mean of the same account, year and period type.
 
-    The statistics are one small row per account and year; joined back they are broadcast by size, so an account
-    that every company reports does not have to be gathered in one place. Peers are counted per code, whatever
-    its name.
+    The statistics, one row per account and year, are staged: Catalyst then knows their size and broadcasts them
+    when they are small, so the statement table is not shuffled by an account that every company reports. Peers
+    are counted per code, whatever its name.
     """
     rows = fs.filter("date is not null").withColumn("fiscal_year", F.year("date"))
     keys = ["account_code", "fiscal_year", "period_type"]
     v = as_double("value")
-    stats = (
+    stats = staged(
         rows.groupBy(*keys)
         .agg(
             (as_double(F.sum("value")) / F.count(F.lit(1))).alias("_m"),
@@ -81,7 +102,7 @@ def zscore(fs: DataFrame, peers: int = 5, limit: float = 3.0) -> DataFrame:
     return scored.select(
         *REPORT, "account_code", "account_name", v.alias("value"),
         cents("_m").alias("peer_mean"), cents("_s").alias("peer_std"), "z_score", "peer_count",
-        *_tag("Z-score outlier", bands(F.abs("z_score"), [(5, "CRITICAL"), (4, "HIGH")], "MEDIUM")),
+        *_tag(ZSCORE, bands(F.abs("z_score"), [(5, "CRITICAL"), (4, "HIGH")], "MEDIUM")),
     )
 
 
@@ -92,19 +113,19 @@ def iqr_outliers(fs: DataFrame, peers: int = 5, reach: float = 3.0) -> DataFrame
     keys = ["entity_type", "fiscal_year", "period_type"]
     q = quantiles(rows, keys, "total_assets", {"_q1": 0.25, "_q3": 0.75}).filter(F.col("group_rows") >= peers)
     gap = F.col("_q3") - F.col("_q1")
-    fences = q.select(
+    fences = staged(q.select(
         *keys,
         cents("_q1").alias("q1"),
         cents("_q3").alias("q3"),
         cents(gap).alias("iqr"),
         cents(F.col("_q1") - gap * reach).alias("lower_fence"),
         cents(F.col("_q3") + gap * reach).alias("upper_fence"),
-    )
+    ))
     small = F.col("total_assets") < F.col("lower_fence")
     large = F.col("total_assets") > F.col("upper_fence")
     return rows.join(fences, keys).filter(small | large).select(
         *REPORT, "total_assets", "q1", "q3", "iqr", "lower_fence", "upper_fence",
-        F.when(small, "IQR outlier — unusually small").otherwise("IQR outlier — unusually large").alias("anomaly_type"),
+        F.when(small, IQR_SMALL).otherwise(IQR_LARGE).alias("anomaly_type"),
         F.lit("HIGH").alias("severity"),
     )
 
@@ -124,7 +145,7 @@ def spikes(fs: DataFrame, times: float = 3.0, critical: float = 5.0) -> DataFram
         .filter("_change is not null")
     )
     keys = ["entity_type", "fiscal_year", "period_type"]
-    median = quantiles(years, keys, "_size", {"_median": 0.5}).drop("group_rows")
+    median = staged(quantiles(years, keys, "_size", {"_median": 0.5}).drop("group_rows"))
     out = years.join(median, keys).filter(F.col("_size") > F.col("_median") * times)
     return out.select(
         *COMPANY, "fiscal_year", "period_type",
@@ -132,7 +153,7 @@ def spikes(fs: DataFrame, times: float = 3.0, critical: float = 5.0) -> DataFram
         F.col("_change").alias("yoy_change"),
         F.round(F.try_divide(F.col("_change"), as_double("_prev")) * 100, 2).alias("yoy_pct"),
         cents("_median").alias("sector_median_abs_change"),
-        F.when(F.col("_change") > 0, "Abnormal spike").otherwise("Abnormal drop").alias("anomaly_type"),
+        F.when(F.col("_change") > 0, SPIKE).otherwise(DROP).alias("anomaly_type"),
         F.when(F.col("_size") > F.col("_median") * critical, "CRITICAL").otherwise("HIGH").alias("severity"),
     )
 
@@ -151,7 +172,7 @@ def sign_flips(fs: DataFrame) -> DataFrame:
     return years.join(prev, keys).filter(F.signum("_v") != F.signum("_p")).select(
         *COMPANY, "account_code", "account_name", "fiscal_year", "period_type",
         as_double("_p").alias("prev_value"), as_double("_v").alias("curr_value"),
-        *_tag("Sign flip on class account", "HIGH"),
+        *_tag(SIGN_FLIP, "HIGH"),
     )
 
 
@@ -175,11 +196,11 @@ def child_over_parent(fs: DataFrame, parent_size: int, child_size: int, kind: st
 
 
 def group_over_class(fs: DataFrame) -> DataFrame:
-    return child_over_parent(fs, 1, 3, "Child > parent (group vs class)", "HIGH")
+    return child_over_parent(fs, 1, 3, GROUP_OVER_CLASS, "HIGH")
 
 
 def subgroup_over_group(fs: DataFrame) -> DataFrame:
-    return child_over_parent(fs, 3, 5, "Child > parent (subgroup vs group)", "MEDIUM")
+    return child_over_parent(fs, 3, 5, SUBGROUP_OVER_GROUP, "MEDIUM")
 
 
 def missing_years(fs: DataFrame) -> DataFrame:
@@ -199,7 +220,7 @@ def missing_years(fs: DataFrame) -> DataFrame:
     return (
         expected.join(known, "missing_year", "left_semi")
         .join(reported, ["ruc", "missing_year"], "left_anti")
-        .select(*COMPANY, "missing_year", *_tag("Missing annual report", "HIGH"))
+        .select(*COMPANY, "missing_year", *_tag(MISSING_YEAR, "HIGH"))
     )
 
 
@@ -212,7 +233,7 @@ def single_year(fs: DataFrame) -> DataFrame:
         .filter("year(first_report) = year(last_report)")
         .select(
             *COMPANY, F.lit(1).alias("years_reported"), "first_report", "last_report",
-            *_tag("Single year only — no trend possible", "LOW"),
+            *_tag(SINGLE_YEAR, "LOW"),
         )
     )
 
@@ -221,7 +242,7 @@ def round_values(fs: DataFrame, unit: int = 1_000_000) -> DataFrame:
     v = F.col("value")
     rows = fs.filter((F.length("account_code") >= 3) & (F.abs(v) >= unit) & (v % unit == 0))
     return rows.select(
-        *REPORT, "account_code", "account_name", as_double("value").alias("value"), *_tag("Suspiciously round value", "LOW")
+        *REPORT, "account_code", "account_name", as_double("value").alias("value"), *_tag(ROUND_VALUE, "LOW")
     )
 
 
@@ -231,23 +252,23 @@ def constant_period(fs: DataFrame, rows: int = 3) -> DataFrame:
         fs.groupBy(*REPORT)
         .agg(F.count(F.lit(1)).alias("total_accounts"), F.min("value").alias("_lo"), F.max("value").alias("_hi"))
         .filter((F.col("total_accounts") >= rows) & (F.col("_lo") == F.col("_hi")))
-        .select(*REPORT, "total_accounts", as_double("_lo").alias("repeated_value"), *_tag("All accounts share same value", "HIGH"))
+        .select(*REPORT, "total_accounts", as_double("_lo").alias("repeated_value"), *_tag(CONSTANT_PERIOD, "HIGH"))
     )
 
 
 def future_dates(fs: DataFrame, as_of: str) -> DataFrame:
     rows = fs.filter(F.col("date") > F.lit(as_of).cast("date"))
-    return rows.select(*REPORT, "account_code", as_double("value").alias("value"), *_tag("Future report date", "HIGH"))
+    return rows.select(*REPORT, "account_code", as_double("value").alias("value"), *_tag(FUTURE_DATE, "HIGH"))
 
 
 def old_dates(fs: DataFrame, year: int = 2000) -> DataFrame:
     rows = fs.filter(F.col("date") < F.make_date(F.lit(year), F.lit(1), F.lit(1)))
-    return rows.select(*REPORT, "account_code", as_double("value").alias("value"), *_tag("Date before year 2000", "MEDIUM"))
+    return rows.select(*REPORT, "account_code", as_double("value").alias("value"), *_tag(OLD_DATE, "MEDIUM"))
 
 
 def peer_leverage(fs: DataFrame, peers: int = 3, limit: float = 2.0) -> DataFrame:
     zero = F.lit(0).cast("decimal(18,2)")
-    entity = (
+    entity = staged(
         fs.filter("account_code in ('1', '2') and date is not null")
         .groupBy(*COMPANY, F.year("date").alias("fiscal_year"), "period_type")
         .agg(
@@ -268,7 +289,7 @@ def peer_leverage(fs: DataFrame, peers: int = 3, limit: float = 2.0) -> DataFram
         F.round("_m", 4).alias("sector_mean_leverage"),
         F.round("_s", 4).alias("sector_std_leverage"),
         F.round("_z", 2).alias("leverage_z_score"),
-        *_tag("Leverage far above sector peers", bands(F.col("_z"), [(4, "CRITICAL")], "HIGH")),
+        *_tag(PEER_LEVERAGE, bands(F.col("_z"), [(4, "CRITICAL")], "HIGH")),
     )
 
 
@@ -285,7 +306,7 @@ def composite(fs: DataFrame) -> DataFrame:
     )
     w = Window.partitionBy("ruc", "period_type").orderBy("fiscal_year")
     base = base.withColumns({"pa": F.lag("a").over(w), "pi": F.lag("i").over(w)})
-    base = base.withColumn("_move", F.abs(F.col("a") - F.col("pa")))
+    base = staged(base.withColumn("_move", F.abs(F.col("a") - F.col("pa"))))
     keys = ["entity_type", "fiscal_year", "period_type"]
     usual = base.groupBy(*keys).agg(F.try_divide(as_double(F.sum("_move")), F.count("_move")).alias("_usual"))
     c = F.col

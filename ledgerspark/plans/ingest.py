@@ -75,6 +75,11 @@ def current_rows(spark: SparkSession, path: str, wins: str = "last") -> DataFram
     return keep_one(log, KEY, ["batch"], wins).drop("batch")
 
 
+def compact(spark: SparkSession, path: str, target: str, wins: str = "last") -> None:
+    """Write the current rows as the first batch of a new log, so that reading no longer walks old loads."""
+    append_batch(current_rows(spark, path, wins), target, 0)
+
+
 def table_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

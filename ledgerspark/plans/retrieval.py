@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 CHUNK, OVERLAP = 500, 50
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 NEIGHBOURS = 4
-MAX_QUESTIONS = 4096
+MAX_QUESTIONS = 4096  # questions sent to every task
+BLOCK = 256  # questions compared with a batch at once
 
 
 def _parts(text: str, separators: tuple[str, ...]) -> tuple[list[str], tuple[str, ...]]:
@@ -103,13 +104,17 @@ def nearest(vectors: DataFrame, questions: DataFrame, k: int = NEIGHBOURS, limit
                 if len(ids) == 0 or len(batch) == 0:
                     continue
                 rows = np.stack([np.asarray(v, dtype=np.float64) for v in batch["embedding"]])
+                rows = rows / np.linalg.norm(rows, axis=1)[:, None]
                 keys = batch["vec_id"].to_numpy()
-                cosine = np.round((rows @ matrix.T) / (np.linalg.norm(rows, axis=1)[:, None] * norms[None, :]), 6)
-                out = []
-                for j, query in enumerate(ids):
-                    top = np.lexsort((keys, -cosine[:, j]))[:k]
-                    out.append(pd.DataFrame({"query_id": query, "vec_id": keys[top], "similarity": cosine[top, j]}))
-                yield pd.concat(out)
+                keep = min(k, len(keys))
+                for start in range(0, len(ids), BLOCK):
+                    some = slice(start, start + BLOCK)
+                    cosine = np.round(rows @ (matrix[some] / norms[some, None]).T, 6)
+                    for j, query in enumerate(ids[some]):
+                        column = cosine[:, j]
+                        near = np.flatnonzero(column >= np.partition(column, -keep)[-keep])
+                        near = near[np.lexsort((keys[near], -column[near]))[:keep]]
+                        yield pd.DataFrame({"query_id": query, "vec_id": keys[near], "similarity": column[near]})
 
         return vectors.select("vec_id", "embedding").mapInPandas(best, schema)
 

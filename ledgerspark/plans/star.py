@@ -54,32 +54,36 @@ def dim_date(fs: DataFrame) -> DataFrame:
     )
 
 
-def _latest(column: str) -> Column:
-    """Value of the most recent report; equal dates are settled by the larger value."""
-    return F.max_by(column, F.struct(F.coalesce("date", F.lit("0001-01-01").cast("date")), column))
+def _latest(df: DataFrame, key: str, *columns: str) -> DataFrame:
+    """Most recent value of each column per key; equal dates are settled by the larger value.
+
+    The combinations are counted down to their last date first (a hash aggregate on the map side), so choosing the
+    latest only sees one row per combination.
+    """
+    seen = df.filter(F.col(key).isNotNull()).groupBy(key, *columns).agg(
+        F.max(F.coalesce("date", F.lit("0001-01-01").cast("date"))).alias("_seen")
+    )
+    return seen.groupBy(key).agg(*[F.max_by(c, F.struct("_seen", c)).alias(c) for c in columns])
 
 
 def dim_sector(fs: DataFrame) -> DataFrame:
     """Sectors carry a running number; there are as many rows as sectors, so the global order is cheap."""
-    named = fs.filter("sector_code is not null").groupBy("sector_code").agg(_latest("entity_type").alias("sector_name"))
-    return named.select(F.row_number().over(Window.orderBy("sector_code")).alias("sector_key"), "sector_code", "sector_name")
+    named = _latest(fs, "sector_code", "entity_type")
+    key = F.row_number().over(Window.orderBy("sector_code"))
+    return named.select(key.alias("sector_key"), "sector_code", F.col("entity_type").alias("sector_name"))
 
 
-def dim_company(fs: DataFrame) -> DataFrame:
+def dim_company(fs: DataFrame, sectors: DataFrame | None = None) -> DataFrame:
     """Companies keyed by their 13-digit tax number read as a number: unique, stable and free of a global sort."""
-    company = (
-        fs.filter("ruc is not null")
-        .groupBy("ruc")
-        .agg(_latest("company_name").alias("company_name"), _latest("sector_code").alias("sector_code"))
-    )
-    return company.join(dim_sector(fs), "sector_code").select(
+    company = _latest(fs, "ruc", "company_name", "sector_code")
+    return company.join(dim_sector(fs) if sectors is None else sectors, "sector_code").select(
         F.col("ruc").cast("bigint").alias("company_key"), "ruc", "company_name", "sector_key", "sector_code", "sector_name"
     )
 
 
 def dim_account(fs: DataFrame) -> DataFrame:
     """Chart of accounts with flattened class, group and subgroup; its size is that of the chart."""
-    codes = fs.filter("account_code is not null").groupBy("account_code").agg(_latest("account_name").alias("account_name"))
+    codes = _latest(fs, "account_code", "account_name")
     flat = with_leaf_flag(codes, [F.left("account_code", F.lit(1))]).select(
         F.row_number().over(Window.orderBy("account_code")).alias("account_key"),
         "account_code",
@@ -131,10 +135,11 @@ def star(spark: SparkSession, sf_dir: str) -> Star:
     """Stored star schema; dimensions and fact are written once and read with pruning afterwards."""
     fs = statements(spark, sf_dir)
     account = written_once(spark, "dim_account", sf_dir, lambda: dim_account(fs))
+    sector = written_once(spark, "dim_sector", sf_dir, lambda: dim_sector(fs))
     return Star(
         date=written_once(spark, "dim_date", sf_dir, lambda: dim_date(fs)),
-        sector=written_once(spark, "dim_sector", sf_dir, lambda: dim_sector(fs)),
-        company=written_once(spark, "dim_company", sf_dir, lambda: dim_company(fs)),
+        sector=sector,
+        company=written_once(spark, "dim_company", sf_dir, lambda: dim_company(fs, sector)),
         account=account,
         fact=written_once(spark, "fact_financial", sf_dir, lambda: fact_financial(fs, account), ("period_type",)),
     )

@@ -191,7 +191,7 @@ def _usable(raw: DataFrame) -> DataFrame:
 
 
 def _roster(spark: SparkSession, sf: str) -> DataFrame:
-    known = load(spark, sf, "empleados").filter("id % 7 = 0")
+    known = load(spark, sf, "empleados").filter("not activo")
     groups = table(spark, sf, "nation").select(F.col("n_nationkey").alias("grupo_id"))
     return ingest.roster_import(load(spark, sf, "nomina_csv"), known, groups, default_group=24)
 

@@ -1,7 +1,10 @@
 """Domain tables derived from the given test tables.
 
 Every text is plain SQL that Spark and DuckDB read alike, so a registered query and its twin start from the same
-rows. Amounts become decimals before any arithmetic. ``{name}`` stands for a given table, ``{{...}}`` is not used.
+rows. Amounts become decimals before any arithmetic. ``{name}`` stands for a given table.
+
+Remainders of keys decide which derived rows carry a defect or have no partner (an invoice without withholding, a
+payment that is not booked). They shape the data; every query runs over all rows of its tables.
 """
 
 from __future__ import annotations

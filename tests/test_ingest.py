@@ -35,6 +35,8 @@ def test_six_lines_load_once(spark, tmp_path):
     mark = ingest.stored_high_water_mark(spark, log).first()
     assert str(mark.last_date) == "2025-02-28" and mark.records == 6
     assert tuple(ingest.stored_high_water_mark(spark, str(tmp_path / "none")).first()) == (None, 0)
+    ingest.compact(spark, log, str(tmp_path / "compact"))
+    assert ingest.current_rows(spark, str(tmp_path / "compact")).count() == 6
 
 
 def test_first_and_last_wins(spark, tmp_path):
