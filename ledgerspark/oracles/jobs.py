@@ -264,7 +264,7 @@ TAX = {
         CASE WHEN porcentaje_retencion_iva = 0.70 THEN CAST(valor_retenido_iva AS VARCHAR) ELSE '0.00' END AS "valorRetServicios",
         CASE WHEN porcentaje_retencion_iva = 1.00 THEN CAST(valor_retenido_iva AS VARCHAR) ELSE '0.00' END AS "valRetServ100",
         CAST(valor_retenido_renta AS VARCHAR) AS "valorRetRenta" FROM val WHERE valido""", "compras", VAL),
-    "tax_annex_header": q("""SELECT 'R' AS "TipoIDInformante", '1790016919001' AS "IdInformante", 'EMPRESA DEMO S.A.' AS "razonSocial",
+    "tax_annex_header": q("""SELECT 'R' AS "TipoIDInformante", '1790000000001' AS "IdInformante", 'Declarante' AS "razonSocial",
         right(fecha_emision, 4) AS "Anio", substr(fecha_emision, 4, 2) AS "Mes", count(*) AS compras FROM val WHERE valido GROUP BY 4, 5""", "compras", VAL),
 }
 

@@ -205,10 +205,15 @@ def subgroup_over_group(fs: DataFrame) -> DataFrame:
 
 def missing_years(fs: DataFrame) -> DataFrame:
     """Years inside a company's span that other companies reported and it did not."""
-    reported = (
+    names = (
         fs.filter("date is not null and period_type = 'ANUAL'")
-        .groupBy("ruc", F.year("date").alias("missing_year"))
-        .agg(F.max_by("company_name", "date").alias("company_name"), F.max_by("entity_type", "date").alias("entity_type"))
+        .groupBy("ruc", F.year("date").alias("missing_year"), "company_name", "entity_type")
+        .agg(F.max("date").alias("_seen"))
+    )
+    reported = staged(
+        names.groupBy("ruc", "missing_year").agg(
+            F.max_by("company_name", "_seen").alias("company_name"), F.max_by("entity_type", "_seen").alias("entity_type")
+        )
     )
     span = reported.groupBy("ruc").agg(
         F.max_by("company_name", "missing_year").alias("company_name"),

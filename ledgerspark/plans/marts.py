@@ -67,15 +67,18 @@ def account_categories(fs: DataFrame) -> DataFrame:
         F.substring_index("account_code", ".", 1).alias("root_segment"),
         code_depth().alias("_depth"),
     )
-    grouped = parsed.groupBy(
-        "fiscal_year", "period_type", "entity_type", "entity_subtype", "account_class", "root_segment"
-    ).agg(
+    keys = ["fiscal_year", "period_type", "entity_type", "entity_subtype", "account_class", "root_segment"]
+    # one row per account first: a hash aggregate that leaves only chart-sized groups to the ordered first name
+    accounts = parsed.groupBy(*keys, "account_code", "account_name", "_depth").agg(
+        F.sum("value").alias("_v"), F.count(F.lit(1)).alias("_n"), F.min("value").alias("_lo"), F.max("value").alias("_hi")
+    )
+    grouped = accounts.groupBy(*keys).agg(
         F.min_by("account_name", F.struct("_depth", "account_code")).alias("root_name"),
         F.count_distinct("account_code").alias("cuentas_distintas"),
-        F.count(F.lit(1)).alias("filas"),
-        F.sum("value").alias("_total"),
-        F.min("value").alias("_min"),
-        F.max("value").alias("_max"),
+        F.sum("_n").alias("filas"),
+        F.sum("_v").alias("_total"),
+        F.min("_lo").alias("_min"),
+        F.max("_hi").alias("_max"),
     )
     whole = F.sum("_total").over(Window.partitionBy("fiscal_year", "period_type", "account_class"))
     return grouped.select(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerspark.functions import cleaning
 from ledgerspark.functions.numbers import as_double
-from ledgerspark.operators.keyed import keep_one, merge_batches
+from ledgerspark.operators.keyed import merge_batches
 from ledgerspark.operators.prefix import code_depth, code_depth_label, with_leaf_flag
 from ledgerspark.plans import (
     anomaly,
@@ -172,12 +172,9 @@ def _clean(raw: DataFrame, keep: str, sector_text: str | None = None) -> DataFra
 
 
 def _keyed_load(raw: DataFrame, wins: str) -> DataFrame:
-    """Two batches: every batch is reduced to one row per key first, then merged with what is stored."""
-    good = ingest.cleaned(raw)
-    good = good.filter(ingest.usable(good))
-    parts = [good.filter(F.col("batch_seq") == b) for b in (1, 2)]
-    reduced = [keep_one(p, ingest.KEY, RAW_ORDER, wins) for p in parts]
-    return merge_batches(*reduced, ingest.KEY, ["batch_seq", *RAW_ORDER], wins).select(*STATEMENT_COLUMNS, "batch_seq")
+    """Two loads merged by key in one aggregate; batch and line decide which row stays."""
+    first, second = (_usable(raw.filter(F.col("batch_seq") == b)) for b in (1, 2))
+    return merge_batches(first, second, ingest.KEY, ["batch_seq", *RAW_ORDER], wins).select(*STATEMENT_COLUMNS, "batch_seq")
 
 
 def _distinct_counts(raw: DataFrame, column: str, clean) -> DataFrame:
@@ -342,7 +339,7 @@ JOBS: dict[str, Query] = {
     ),
     "purchase_validation_summary": _on(lambda c: tax.validation_summary(tax.validate(c)), "compras"),
     "tax_annex_rows": _on(lambda c: tax.annex_rows(_valid_purchases(c)), "compras"),
-    "tax_annex_header": _on(lambda c: tax.annex_header(_valid_purchases(c), "1790016919001", "EMPRESA DEMO S.A."), "compras"),
+    "tax_annex_header": _on(lambda c: tax.annex_header(_valid_purchases(c), "1790000000001", "Declarante"), "compras"),
 }
 
 RULES_YEAR = 2026

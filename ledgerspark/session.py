@@ -78,6 +78,14 @@ def written_once(spark: SparkSession, name: str, source: str, build, partition_b
     return spark.read.parquet(_WRITTEN[key])
 
 
+def release(spark: SparkSession) -> None:
+    """Delete what this application stored and staged in the shared folder; call it when its results are no longer read."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-{os.getpid()}")
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    for key in [k for k in _WRITTEN if k[0] == spark.sparkContext.applicationId]:
+        del _WRITTEN[key]
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Deal a table of fewer files than cores out over the cores by a hash of its keys.
 
