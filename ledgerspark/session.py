@@ -42,7 +42,7 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-_WRITTEN: dict[tuple[str, str, str], str] = {}
+_WRITTEN: dict[tuple[str, str, str], object] = {}
 
 
 def _place(spark: SparkSession, name: str, source: str) -> str:
@@ -74,8 +74,8 @@ def written_once(spark: SparkSession, name: str, source: str, build, partition_b
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
-        _WRITTEN[key] = path
-    return spark.read.parquet(_WRITTEN[key])
+        _WRITTEN[key] = spark.read.parquet(path)  # kept, so the footers are read once
+    return _WRITTEN[key]
 
 
 def release(spark: SparkSession) -> None:

@@ -14,6 +14,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerspark.session import spread, written_once
+from ledgerspark.sources.tables import table
 
 AS_OF = "2001-08-01"  # the reporting day of the batch tables: the last order date
 PAY_YEAR, PAY_MONTH = 2024, 1  # the month covered by the events
@@ -236,9 +237,8 @@ TABLES: dict[str, str] = {
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table as a DataFrame."""
-    folder = sf_dir.rstrip("/")
     names = set(re.findall(r"\{(\w+)\}", TABLES[name]))
-    return spark.sql(TABLES[name].format(**{n: f"parquet.`{folder}/{n}.parquet`" for n in names}))
+    return spark.sql(TABLES[name], **{n: table(spark, sf_dir, n) for n in names})
 
 
 def raw_statements(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,16 @@ from pyspark.sql import functions as F
 from ledgerspark.session import spread, written_once
 
 
+_READ: dict[tuple[str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A given table; its schema is read once per application."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _READ:
+        _READ[key] = spark.read.parquet(path)
+    return _READ[key]
 
 
 # Chart of accounts of the derived statements: (code, name, measure, line status, return flag).
