@@ -94,33 +94,43 @@ def due_soon(aged: DataFrame) -> DataFrame:
 
 
 def measures(aged: DataFrame, as_of: str, top: int = 10) -> DataFrame:
-    """All receivable measures as one row; everything but the top-N sum comes from one aggregate."""
-    s = F.col("saldo_pendiente")
+    """All receivable measures as one row.
 
-    def when_sum(test: Column) -> Column:
-        return F.coalesce(F.sum(F.when(test, s)), F.lit(0).cast("decimal(24,2)"))
+    A narrow aggregate per bucket and flag reads the invoices; the many measures are then taken from its few rows.
+    """
+    s, late = F.col("saldo_pendiente"), F.col("dias_vencido")
+    age = F.datediff(_day(as_of), F.col("fecha_emision"))
+    per = aged.groupBy("aging_bucket", "alerta_por_vencer").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(s).alias("s"),
+        F.sum(F.when(late > 0, late)).alias("late"),
+        F.count_if(late > 0).alias("late_n"),
+        F.sum(F.when(s > 0, age)).alias("age"),
+        F.count_if(s > 0).alias("age_n"),
+    )
+
+    def when_sum(test: Column, column: str = "s") -> Column:
+        return F.coalesce(F.sum(F.when(test, F.col(column))), F.lit(0).cast("decimal(24,2)" if column == "s" else "bigint"))
 
     in_bucket = {b: F.col("aging_bucket") == b for b in BUCKETS}
     provision = sum(when_sum(in_bucket[b]) * F.lit(rate).cast("decimal(4,2)") for b, rate in PROVISION.items())
-    age = F.datediff(_day(as_of), F.col("fecha_emision"))
-    late = F.col("dias_vencido")
-    one = aged.agg(
-        F.count(F.lit(1)).alias("total_facturas"),
-        F.count_if(overdue()).alias("facturas_vencidas"),
-        F.count_if(in_bucket["Vigente"]).alias("facturas_vigentes"),
-        F.count_if(in_bucket["Pagada"]).alias("facturas_pagadas"),
-        as_double(F.sum(s)).alias("saldo_total"),
+    one = per.agg(
+        F.sum("n").alias("total_facturas"),
+        when_sum(overdue(), "n").alias("facturas_vencidas"),
+        when_sum(in_bucket["Vigente"], "n").alias("facturas_vigentes"),
+        when_sum(in_bucket["Pagada"], "n").alias("facturas_pagadas"),
+        as_double(F.sum("s")).alias("saldo_total"),
         as_double(when_sum(overdue())).alias("saldo_vencido"),
         as_double(when_sum(in_bucket["Vigente"])).alias("saldo_vigente"),
         *[as_double(when_sum(in_bucket[b])).alias(n) for b, n in zip(PROVISION, ("saldo_1_30", "saldo_31_60", "saldo_61_90", "saldo_mas_90"))],
         cents(provision).alias("provision_estimada"),
-        F.round(F.avg(F.when(overdue() & (late > 0), late)), 4).alias("dias_promedio_mora"),
-        F.round(F.avg(F.when(s > 0, age)), 4).alias("antiguedad_promedio"),
-        F.count_if("alerta_por_vencer").alias("facturas_por_vencer_7d"),
+        ratio(F.sum(F.when(overdue(), F.col("late"))), F.sum(F.when(overdue(), F.col("late_n"))), 4).alias("dias_promedio_mora"),
+        ratio(F.sum("age"), F.sum("age_n"), 4).alias("antiguedad_promedio"),
+        when_sum(F.col("alerta_por_vencer"), "n").alias("facturas_por_vencer_7d"),
         as_double(when_sum(F.col("alerta_por_vencer"))).alias("saldo_por_vencer_7d"),
     )
     debtors = (
-        aged.filter(overdue()).groupBy("nombre_comercial").agg(F.sum(s).alias("_s"))
+        aged.filter(overdue()).groupBy("nombre_comercial").agg(F.sum("saldo_pendiente").alias("_s"))
         .orderBy(F.desc("_s"), "nombre_comercial").limit(top)
         .agg(as_double(F.sum("_s")).alias("top_n_deudores_saldo"))
     )

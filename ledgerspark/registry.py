@@ -35,7 +35,7 @@ from ledgerspark.plans import (
 )
 from ledgerspark.plans import star as st
 from ledgerspark.session import shared_folder, text_once
-from ledgerspark.sources.adapters import AS_OF, PAY_MONTH, PAY_YEAR, load, raw_statements
+from ledgerspark.sources.adapters import AS_OF, PAY_MONTH, PAY_YEAR, load
 from ledgerspark.sources.files import STATEMENT_COLUMNS, read_statements
 from ledgerspark.sources.tables import statements, table
 from ledgerspark.streaming import sales as live
@@ -150,7 +150,7 @@ RAW_ORDER = ["line_no", "part_no"]
 def _raw_files(spark: SparkSession, sf: str) -> str:
     """Tab-separated statement files written from the raw rows, as a user would receive them."""
     line = F.concat_ws("\t", *STATEMENT_COLUMNS).alias("value")
-    return text_once(spark, "raw_statement_files", sf, lambda: raw_statements(spark, sf).select(line))
+    return text_once(spark, "raw_statement_files", sf, lambda: load(spark, sf, "raw_statements").select(line))
 
 
 def _read_statements(spark: SparkSession, sf: str) -> DataFrame:
@@ -160,11 +160,7 @@ def _read_statements(spark: SparkSession, sf: str) -> DataFrame:
 
 def _on(fn, *names: str, **params) -> Query:
     """Query on adapter tables, in the order of the function's arguments."""
-    return lambda spark, sf: fn(*[_source(spark, sf, n) for n in names], **params)
-
-
-def _source(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return raw_statements(spark, sf) if name == "raw_statements" else load(spark, sf, name)
+    return lambda spark, sf: fn(*[load(spark, sf, n) for n in names], **params)
 
 
 def _clean(raw: DataFrame, keep: str, sector_text: str | None = None) -> DataFrame:

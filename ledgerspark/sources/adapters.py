@@ -235,17 +235,15 @@ TABLES: dict[str, str] = {
 }
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived table as a DataFrame."""
+def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A domain table computed from the given tables."""
     names = set(re.findall(r"\{(\w+)\}", TABLES[name]))
     return spark.sql(TABLES[name], **{n: table(spark, sf_dir, n) for n in names})
 
 
-def raw_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The delivered statement rows as a stored landing table, so that cleaning starts from plain columns."""
-    return written_once(
-        spark, "raw_statements", sf_dir, lambda: spread(load(spark, sf_dir, "raw_statements"), "line_no", "part_no")
-    )
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A domain table as it would be delivered: stored once, so that queries start from plain columns."""
+    return written_once(spark, f"domain_{name}", sf_dir, lambda: spread(derive(spark, sf_dir, name)))
 
 
 def as_cte(name: str, alias: str | None = None) -> str:
