@@ -28,6 +28,7 @@ def main() -> None:
     from ledgerspark.plans.star import star
     from ledgerspark.registry import QUERIES
     from ledgerspark.session import build_session
+    from ledgerspark.sources.adapters import TABLES, load
     from ledgerspark.sources.tables import statements
 
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -52,6 +53,7 @@ def main() -> None:
         return round(time.perf_counter() - start, 3)
 
     times = {"etl_statements": timed(lambda: statements(spark, folder).count()), "etl_star": timed(lambda: star(spark, folder))}
+    times["etl_domain_tables"] = timed(lambda: [load(spark, folder, name) for name in TABLES])
     for name in names:
         times[name] = timed(lambda: QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save())
         print(f"{name} {times[name]}", file=sys.stderr, flush=True)
