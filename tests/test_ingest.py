@@ -1,6 +1,5 @@
 import pytest
 from pyspark.sql import Observation
-from pyspark.sql import functions as F
 
 from ledgerspark.plans import ingest
 from ledgerspark.sources import files

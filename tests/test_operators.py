@@ -4,7 +4,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from ledgerspark.operators.keyed import keep_one
 from ledgerspark.operators.ladder import ladder, quantiles, with_rank

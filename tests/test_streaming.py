@@ -1,9 +1,6 @@
-import datetime
-
 from pyspark.sql import functions as F
 
 from ledgerspark.plans import ingest
-from ledgerspark.sources.files import STATEMENT_COLUMNS
 from ledgerspark.streaming import sales as live
 from test_ingest import LINES, write
 
