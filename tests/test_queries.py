@@ -3,10 +3,12 @@
 import pytest
 
 import compare
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from ledgerspark.oracles import all_sql
+from ledgerspark.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUERIES, TWINS = queries(), oracle_sql()
+TWINS = all_sql()
 ROWS_ONLY = {"rag_chunks"}
 
 
