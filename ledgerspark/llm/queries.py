@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.llm import bpe, quality, tokens, urls
+from ledgerspark.llm import bpe, quality, tokens, urls, windows
 from ledgerspark.llm.scratch import place
 
 #: Rules of the URL query: host, path, verdict.
@@ -33,6 +33,10 @@ def op2_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.starts(tokens.checksums(tokens.read_tokens(spark, folder)))
 
 
+def op3_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.removed(_table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(list(RULES), "host string, path string, verdict string")
     return urls.judge(_table(spark, sf_dir, "pages"), rules)
@@ -42,11 +46,25 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_repetition_quality, op2_orc_tokens, op4_url_rules, op6_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_repetition_quality, op2_orc_tokens, op3_window_dedup, op4_url_rules, op6_byte_bpe)}
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
 SQL = {
+    "op3_window_dedup": f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w),
+win AS MATERIALIZED (SELECT doc_id, i, array_to_string(ws[i : i + 12], ' ') AS key FROM starts),
+firsts AS (SELECT key, min(doc_id) AS least FROM win GROUP BY key),
+hits AS (SELECT doc_id, i FROM win JOIN firsts USING (key) WHERE doc_id > least),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM hits),
+gone_lists AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(len(ps), 0) AS n_removed,
+       sha256(array_to_string([ws[p] FOR p IN range(1, len(ws) + 1) IF ps IS NULL OR NOT list_contains(ps, p)], ' ')) AS kept_sha256
+FROM w LEFT JOIN gone_lists USING (doc_id)
+""",
     "op4_url_rules": f"""
 WITH rules(rule_host, rule_path, rule_verdict) AS (VALUES {_RULE_ROWS}),
 cut AS (
