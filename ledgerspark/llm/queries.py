@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.llm import bpe, quality, tokens, urls, windows
+from ledgerspark.llm import bpe, jaccard, quality, tokens, urls, windows
 from ledgerspark.llm.scratch import place
 
 #: Rules of the URL query: host, path, verdict.
@@ -46,7 +46,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_repetition_quality, op2_orc_tokens, op3_window_dedup, op4_url_rules, op6_byte_bpe)}
+def op10_shingle_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_repetition_quality, op2_orc_tokens, op3_window_dedup, op4_url_rules, op6_byte_bpe, op10_shingle_jaccard)}
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
 
@@ -64,6 +68,25 @@ gone_lists AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id)
 SELECT doc_id, len(ws) AS n_words, coalesce(len(ps), 0) AS n_removed,
        sha256(array_to_string([ws[p] FOR p IN range(1, len(ws) + 1) IF ps IS NULL OR NOT list_contains(ps, p)], ' ')) AS kept_sha256
 FROM w LEFT JOIN gone_lists USING (doc_id)
+""",
+    "op10_shingle_jaccard": """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+         ELSE [array_to_string(ws[i : i + 4], ' ') FOR i IN range(1, len(ws) - 3)] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+often AS (SELECT g FROM s GROUP BY g HAVING count(*) > 1),
+p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+  FROM s x JOIN often USING (g) JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (
+  SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(d, r) AS (SELECT DISTINCT a, a FROM both_ways UNION SELECT d, b FROM reach JOIN both_ways ON a = r)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least(w.doc_id, m), w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT d, min(r) AS m FROM reach GROUP BY d) q ON q.d = w.doc_id
 """,
     "op4_url_rules": f"""
 WITH rules(rule_host, rule_path, rule_verdict) AS (VALUES {_RULE_ROWS}),
