@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.llm import bpe, jaccard, lm, quality, tokens, urls, windows
+from ledgerspark.llm import bpe, jaccard, lm, quality, repeats, tokens, urls, windows
 from ledgerspark.llm.scratch import place
 
 #: Rules of the URL query: host, path, verdict.
@@ -47,6 +47,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed(_table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
 def op8_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     training = docs.filter(~lm.held_out(F.col("doc_id")))
@@ -59,7 +63,7 @@ def op10_shingle_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_repetition_quality, op2_orc_tokens, op3_window_dedup, op4_url_rules, op6_byte_bpe, op8_lattice_scores, op10_shingle_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_repetition_quality, op2_orc_tokens, op3_window_dedup, op4_url_rules, op6_byte_bpe, op7_byte_repeats, op8_lattice_scores, op10_shingle_jaccard)}
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
 
