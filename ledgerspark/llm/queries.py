@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.llm import bpe, jaccard, lm, quality, repeats, tokens, urls, windows
+from ledgerspark.llm import bpe, jaccard, lm, pii, quality, repeats, tokens, urls, windows
 from ledgerspark.llm.scratch import place
 
 #: Rules of the URL query: host, path, verdict.
@@ -59,11 +59,15 @@ def op8_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", lm.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op9_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans(_table(spark, sf_dir, "documents"))
+
+
 def op10_shingle_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_repetition_quality, op2_orc_tokens, op3_window_dedup, op4_url_rules, op6_byte_bpe, op7_byte_repeats, op8_lattice_scores, op10_shingle_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_repetition_quality, op2_orc_tokens, op3_window_dedup, op4_url_rules, op6_byte_bpe, op7_byte_repeats, op8_lattice_scores, op9_contextual_pii, op10_shingle_jaccard)}
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
 
