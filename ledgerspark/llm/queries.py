@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.llm import bpe, jaccard, lm, pii, quality, repeats, tokens, urls, windows
+from ledgerspark.llm import bpe, decontam, jaccard, lm, pii, quality, repeats, tokens, urls, windows
 from ledgerspark.llm.scratch import place
 
 #: Rules of the URL query: host, path, verdict.
@@ -43,6 +43,10 @@ def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"), rules)
 
 
+def op5_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -67,7 +71,7 @@ def op10_shingle_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_repetition_quality, op2_orc_tokens, op3_window_dedup, op4_url_rules, op6_byte_bpe, op7_byte_repeats, op8_lattice_scores, op9_contextual_pii, op10_shingle_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_repetition_quality, op2_orc_tokens, op3_window_dedup, op4_url_rules, op5_latent_decontamination, op6_byte_bpe, op7_byte_repeats, op8_lattice_scores, op9_contextual_pii, op10_shingle_jaccard)}
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
 
