@@ -414,6 +414,25 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
     return tokens.select(F.col("doc_id").cast("long"), "ids").mapInArrow(decoded, "doc_id long, text string")
 
 
+TOKENIZED = "doc_id long, text string, n_tokens long, ids array<int>"
+
+
+def tokenized(docs: DataFrame, path: str) -> DataFrame:
+    """``doc_id, text, n_tokens, ids``: each text's ids, and the text as those ids spell it."""
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch):
+                ids, offsets = encode_texts(piece.column("text"), path)
+                texts = [decode_ids(ids[a:b], path) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("doc_id"), pa.array(texts, pa.string()), pa.array(np.diff(offsets), pa.int64()), lists], ["doc_id", "text", "n_tokens", "ids"]
+                )
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(both, TOKENIZED)
+
+
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 

@@ -339,7 +339,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that have the smallest doc_id of their component; rows that share that id and text stay one."""
-    found = near_duplicates(docs)
-    stay = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col("doc_id") == F.col("_stay"), "left_semi")
+    """One row of each component: the one with the smallest doc_id (null counts as larger), the first of those that share it.
+
+    Rows without words are linked with nothing and all stay.
+    """
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id"), F.col("_row"))
+    stay = rows.select("_row", "doc_id").join(found, "_row").groupBy("component_id").agg(F.min(order).alias("first"))
+    return rows.join(stay.select(F.col("first._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
