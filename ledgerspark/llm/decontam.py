@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.scratch import stored
+from ledgerspark.llm.scratch import numbered
 from ledgerspark.llm.words import Words, slices
 
 FEATURES = 1 << 15
@@ -289,7 +289,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item; rows with a null doc_id are judged by their text like all others."""
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    rows = stored(rows, "numbered")
-    held = leaks(rows.select(F.col("_row").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_row")).distinct()
-    return rows.join(held, "_row", "left_anti").select(*docs.columns)
+    rows = numbered(docs)
+    held = leaks(rows.select(F.col("_row").alias("doc_id"), F.col("_rest.text").alias("text")), benchmark).select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(held, "_row", "left_anti").select("_rest.*")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ledgerspark.llm import sketch
 from ledgerspark.llm.components import components
 from ledgerspark.llm.exchange import packed, part_of
-from ledgerspark.llm.scratch import parts, stored
+from ledgerspark.llm.scratch import numbered, parts, stored
 from ledgerspark.llm.words import Words, mixed, slices, windows
 
 SIZE = 5
@@ -343,8 +343,9 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     Rows without words are linked with nothing and all stay.
     """
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    rows = numbered(docs)
+    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), F.col("_rest.text").alias("text"))).select(F.col("doc_id").alias("_row"), "component_id")
+    ids = rows.select("_row", F.col("_rest.doc_id").alias("doc_id"))
     order = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id"), F.col("_row"))
-    stay = rows.select("_row", "doc_id").join(found, "_row").groupBy("component_id").agg(F.min(order).alias("first"))
-    return rows.join(stay.select(F.col("first._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    stay = ids.join(found, "_row").groupBy("component_id").agg(F.min(order).alias("first"))
+    return rows.join(stay.select(F.col("first._row").alias("_row")), "_row", "left_semi").select("_rest.*")

@@ -172,8 +172,8 @@ def spans(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span in ``text`` replaced by its kind in angle brackets; overlapping spans go as the first of them."""
-    columns = docs.columns
-    rows = stored(_found(docs.withColumn("_row", F.monotonically_increasing_id())).select("_row", *columns, "base", "seeds", "open"), "texts")
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*(docs[c] for c in docs.columns)).alias("_rest"), F.col("text").cast("string"))
+    rows = stored(_found(rows).select("_row", "_rest", "base", "seeds", "open"), "texts").withColumn("text", F.col("_rest.text").cast("string"))
     more = _discovered(rows, trusted_patterns(rows))
     rows = rows.drop("seeds", "open").join(more, "_row", "left")
     every = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,stop:int>>"))))
@@ -187,4 +187,4 @@ def redact(docs: DataFrame) -> DataFrame:
 
     done = F.aggregate("_all", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
     rows = rows.withColumn("_all", every).withColumn("text", F.when(F.size("_all") > 0, done).otherwise(F.col("text")))
-    return rows.select(*columns)
+    return rows.select(F.col("_rest").withField("text", F.col("text")).alias("_rest")).select("_rest.*")

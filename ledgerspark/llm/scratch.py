@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerspark.session import shared_folder
 
@@ -22,6 +23,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """Rows as ``_row``, their number, and ``_rest``, all their columns: no column's name can clash with a working column.
+
+    Stored, so that a row keeps its number whenever it is read again.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*(docs[c] for c in docs.columns)).alias("_rest"))
+    return stored(rows, "numbered")
+
+
 def parts(spark: SparkSession, least: int = 64) -> int:
     """How many parts a blocked exchange is cut into; follows the session's shuffle partitions, which follow the cluster."""
     return max(least, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
