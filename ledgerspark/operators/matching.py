@@ -7,36 +7,34 @@ from pyspark.sql import functions as F
 
 from ledgerspark.session import staged
 
-TIE_DIGITS = 2  # leading hex digits of the digest: 256 parts
-DAY_LIMIT = 1_000_000  # rows of one amount and day that one task may sort
+PART_ROWS = 65_536  # rows of one amount and day that a part holds on average, at most
 
 
-def _numbered(df: DataFrame, amount: str, day: str, key: str, limit: int = DAY_LIMIT) -> DataFrame:
+def _numbered(df: DataFrame, amount: str, day: str, key: str) -> DataFrame:
     """Place of every row inside its amount and day, counted from 0, in the order of a digest of its key.
 
-    The largest amount and day is looked up first. Up to ``limit`` rows one window numbers them. Beyond it the
-    leading digits of the digest cut each day into 256 parts in the same order: the parts are counted and only rows
-    of one part meet in a window, so a day on which one amount fills a third of the table is spread out.
+    Leading digits of the digest cut each amount and day into parts in the same order. How many digits follows from the
+    number of its rows, so a part holds PART_ROWS on average at any size: the parts are counted, and only rows of one part meet
+    in a window, also on a day on which one amount fills a third of the table.
     """
     rows = df.withColumn("_digest", F.md5(F.col(key).cast("string")))
-    largest = df.groupBy(amount, day).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest <= limit:
-        order = Window.partitionBy(amount, day).orderBy("_digest", key)
-        return rows.withColumn("_place", F.row_number().over(order).cast("bigint") - 1).drop("_digest")
-    rows = rows.withColumn("_part", F.left("_digest", F.lit(TIE_DIGITS)))
+    totals = df.groupBy(amount, day).agg(F.count(F.lit(1)).alias("_total"))
+    digits = F.ceil(F.greatest(F.lit(0.0), F.log(F.col("_total") / PART_ROWS) / F.log(F.lit(16.0)))).cast("int")
+    rows = rows.join(totals.select(amount, day, digits.alias("_digits")), [amount, day])
+    rows = rows.withColumn("_part", F.left("_digest", F.col("_digits")))
     sizes = rows.groupBy(amount, day, "_part").agg(F.count(F.lit(1)).alias("_n"))
     run = Window.partitionBy(amount, day).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(amount, day, "_part", F.coalesce(F.sum("_n").over(run), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(amount, day, "_part").orderBy("_digest", key)
     placed = rows.withColumn("_row", F.row_number().over(inside) - 1)
     return placed.join(offsets, [amount, day, "_part"]).withColumn("_place", F.col("_before") + F.col("_row")).drop(
-        "_part", "_digest", "_before", "_row"
+        "_part", "_digest", "_digits", "_before", "_row"
     )
 
 
 def match_in_window(
     left: DataFrame, right: DataFrame, amount: str, left_day: str, right_day: str, left_key: str, right_key: str,
-    days: int = 3, limit: int = DAY_LIMIT,
+    days: int = 3,
 ) -> DataFrame:
     """Greedy one-to-one pairs of equal amount whose dates differ by at most ``days``.
 
@@ -55,7 +53,7 @@ def match_in_window(
     known = F.col(amount).isNotNull() & F.col(d).isNotNull()
     left = staged(left.select(amount, F.col(left_day).alias(d), F.col(left_key).alias("_l")).filter(known))
     right = staged(right.select(amount, F.col(right_day).alias(d), F.col(right_key).alias("_r")).filter(known))
-    l, r = _numbered(left, amount, d, "_l", limit), _numbered(right, amount, d, "_r", limit)
+    l, r = _numbered(left, amount, d, "_l"), _numbered(right, amount, d, "_r")
 
     left_days = left.groupBy(amount, d).agg(F.count(F.lit(1)).alias("b"))
     right_days = right.groupBy(amount, d).agg(F.count(F.lit(1)).alias("c"))
@@ -92,14 +90,17 @@ def match_in_window(
     return numbered_left.join(numbered_right, [amount, "_no"]).select(left_key, right_key)
 
 
-def contained_ids(files: DataFrame, ids: DataFrame, file: str, ident: str, size: int) -> DataFrame:
-    """Pairs (id, file) where the id is a substring of the file name: every window of ``size`` digits, equi-joined."""
-    runs = F.regexp_extract_all(file, F.lit(f"([0-9]{{{size},}})"), F.lit(1))
-    windows = files.select(file, F.explode(runs).alias("_run")).select(
-        file,
-        F.explode(F.transform(F.sequence(F.lit(1), F.length("_run") - size + 1), lambda i: F.col("_run").substr(i, F.lit(size)))).alias(ident),
-    )
-    return windows.distinct().join(ids.select(ident).distinct(), ident)
+def contained_ids(files: DataFrame, ids: DataFrame, file: str, ident: str) -> DataFrame:
+    """Pairs (id, file) where the id is a substring of the file name, whatever its length and characters.
+
+    Every window of a name that is as long as some id is equi-joined; the different lengths of ids, no more than the
+    longest has characters, are part of the plan. Empty ids are in no name.
+    """
+    ids = ids.select(ident).filter(F.length(ident) > 0).distinct()
+    lengths = sorted(r.n for r in ids.select(F.length(ident).alias("n")).distinct().collect())
+    fitting = F.filter(F.lit(lengths).cast("array<int>"), lambda n: n <= F.length(file))
+    cut = F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(1), F.length(file) - n + 1), lambda i: F.col(file).substr(i, n)))
+    return files.select(file, F.explode(F.flatten(cut)).alias(ident)).distinct().join(ids, ident)
 
 
 def assign_one_to_one(pairs: DataFrame, ident: str, file: str) -> DataFrame:

@@ -349,13 +349,16 @@ PAIR = """
       SELECT c.ruc, c.company_name, c.entity_type, c.date, c.period_type, p.account_code AS parent_code,
              p.account_name AS parent_name, {pv} AS parent_value, c.account_code AS child_code, c.account_name AS child_name,
              {cv} AS child_value, {ex} AS excess, '{kind}' AS anomaly_type, '{sev}' AS severity
-      FROM fs c JOIN fs p ON p.ruc = c.ruc AND p.date = c.date AND p.period_type = c.period_type
-        AND p.account_code = left(c.account_code, {n})
-      WHERE length(c.account_code) = {m} AND c.value > p.value AND p.value > 0 AND c.value > 0"""
+      FROM children c JOIN parents p ON p.ruc = c.ruc AND p.date = c.date AND p.period_type = c.period_type
+        AND p.account_code = c.parent
+      WHERE c.value > p.value"""
+SIDES = """
+parents AS MATERIALIZED (SELECT * FROM fs WHERE length(account_code) = {n} AND value > 0),
+children AS MATERIALIZED (SELECT *, left(account_code, {n}) AS parent FROM fs WHERE length(account_code) = {m} AND value > 0)"""
 
 
 def _pair(n: int, m: int, kind: str, sev: str) -> str:
-    return with_fs(PAIR.format(pv=D("p.value"), cv=D("c.value"), ex=D("c.value - p.value"), kind=kind, sev=sev, n=n, m=m))
+    return with_fs(PAIR.format(pv=D("p.value"), cv=D("c.value"), ex=D("c.value - p.value"), kind=kind, sev=sev), SIDES.format(n=n, m=m))
 
 
 COMPOSITE = f"""

@@ -66,7 +66,8 @@ INGEST = {
                     ELSE 'insertado' END AS res
             FROM (SELECT fila, trim(cedula) AS ced, trim(nombre) AS nom, trim(apellido) AS ape, trim(email) AS em, trim(grupo_id) AS g FROM nomina_csv)
             WHERE ced || nom || ape || em || g <> '')""", "nomina_csv", "empleados"),
-    "row_visibility": q("SELECT s_suppkey AS usuario, id, cedula, grupo_id FROM empleados JOIN supplier ON s_nationkey = grupo_id", "empleados"),
+    "row_visibility": q("""SELECT CAST(1 AS BIGINT) AS usuario, id, cedula, grupo_id FROM empleados WHERE grupo_id IN (SELECT s_nationkey FROM supplier WHERE s_suppkey = 1)
+        UNION ALL SELECT 0, id, cedula, grupo_id FROM empleados""", "empleados"),
     "text_search": q("SELECT id, cedula, apellidos, nombres FROM empleados WHERE concat_ws('|', cedula, apellidos, nombres) ILIKE '%mach%' OR cedula ILIKE '%mach%'", "empleados"),
     "email_valid": q("SELECT id, email, regexp_full_match(email, '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\\.[a-zA-Z0-9-.]+') AS email_valido FROM empleados", "empleados"),
     "national_id_valid": q("""SELECT id, cedula, (CAST(left(cedula, 2) AS INT) BETWEEN 1 AND 24 OR left(cedula, 2) = '30')

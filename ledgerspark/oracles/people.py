@@ -41,7 +41,7 @@ pay AS (SELECT *, {C('ing * 0.0945::DOUBLE')} AS aporte, {IR('ing')} AS ir FROM
                  FROM hrs WHERE fecha BETWEEN DATE '2024-01-01' AND DATE '2024-01-31' GROUP BY 1) h ON h.empleado_id = e.id
       LEFT JOIN (SELECT empleado_id, arg_max(cuota_mensual, id) FILTER (tipo = 'Quirografario') AS qu,
                         arg_max(cuota_mensual, id) FILTER (tipo = 'Hipotecario') AS hi FROM prestamos WHERE activo GROUP BY 1) l ON l.empleado_id = e.id
-      LEFT JOIN borradores d ON d.empleado_id = e.id WHERE e.activo)))"""
+      LEFT JOIN borradores d ON d.empleado_id = e.id AND d.anio = 2024 AND d.mes = 1 WHERE e.activo)))"""
 OUT = "(aporte + ir + mul + qu + hi + ant + pen + ode)"
 
 
@@ -248,8 +248,8 @@ SALES = {
 CENT = """
 qs AS (SELECT label AS query_id, list(m ORDER BY i) AS v FROM (
     SELECT label, i, avg(CAST(x AS DOUBLE)) AS m FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2) GROUP BY 1),
-knn AS (SELECT query_id, vec_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank
-  FROM (SELECT query_id, vec_id, round(list_cosine_similarity(v, CAST(embedding AS DOUBLE[])), 6) AS similarity FROM qs, embeddings) QUALIFY rank <= 4)"""
+knn AS (SELECT query_id, vec_id, round(s, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank
+  FROM (SELECT query_id, vec_id, list_cosine_similarity(v, CAST(embedding AS DOUBLE[])) AS s FROM qs, embeddings) QUALIFY rank <= 4)"""
 RETRIEVAL = {
     "knn_topk": f"WITH {CENT.strip()} SELECT * FROM knn",
     "rag_retrieve": f"""WITH {CENT.strip()} SELECT query_id, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, count(*) AS passages

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,9 +82,14 @@ def compact(spark: SparkSession, path: str, target: str, wins: str = "last") ->
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    """Whether a table can be read there; only a missing path counts as no."""
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+    return True
 
 
 def high_water_mark(df: DataFrame) -> DataFrame:
@@ -97,7 +103,7 @@ def stored_high_water_mark(spark: SparkSession, path: str) -> DataFrame:
     return high_water_mark(current_rows(spark, path))
 
 
-def run_metrics(raw: DataFrame, order: list[str], keep: str = "first") -> DataFrame:
+def run_metrics(raw: DataFrame) -> DataFrame:
     """Rows read, kept and discarded, with the reason, from one aggregate over the cleaned rows."""
     c = cleaned(raw)
     ok = usable(c)
@@ -150,9 +156,11 @@ def roster_counts(outcome: DataFrame) -> DataFrame:
     )
 
 
-def visible_rows(rows: DataFrame, assignments: DataFrame) -> DataFrame:
-    """What an operator may see: rows of the groups assigned to the user, per user."""
-    return assignments.join(rows, "grupo_id")
+def visible_rows(rows: DataFrame, assignments: DataFrame, user: int, supervisor: bool = False) -> DataFrame:
+    """What one user may see: a supervisor all rows, an operator those of the assigned groups, without groups none."""
+    if supervisor:
+        return rows
+    return rows.join(assignments.filter(F.col("usuario") == user), "grupo_id", "left_semi")
 
 
 def search(df: DataFrame, text: str, columns: list[str]) -> DataFrame:

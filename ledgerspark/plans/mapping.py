@@ -12,9 +12,9 @@ from ledgerspark.session import staged
 UNKNOWN = "DESCONOCIDO"
 
 
-def map_files(people: DataFrame, files: DataFrame, id_size: int = 10) -> DataFrame:
+def map_files(people: DataFrame, files: DataFrame) -> DataFrame:
     """Preview table: every person with the assigned file, and every file nobody took."""
-    pairs = contained_ids(files, people, "archivo", "cedula", id_size)
+    pairs = contained_ids(files, people, "archivo", "cedula")
     assigned = staged(assign_one_to_one(pairs, "cedula", "archivo"))
     ok = email_valid("email")
     warning = F.concat(F.lit("Email '"), F.coalesce("email", F.lit("")), F.lit("' inválido/en blanco."))

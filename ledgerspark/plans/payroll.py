@@ -126,6 +126,10 @@ def payroll_month(
     owed = loans.filter("activo").groupBy("empleado_id").agg(
         last_loan("Quirografario").alias("_quiro"), last_loan("Hipotecario").alias("_hipo")
     )
+    # drafts of the month only, the latest of each person
+    others = [c for c in drafts.columns if c not in ("empleado_id", "anio", "mes", "id")]
+    own = drafts.filter((F.col("anio") == year) & (F.col("mes") == month))
+    drafts = own.groupBy("empleado_id").agg(F.max_by(F.struct(*others), "id").alias("_draft")).select("empleado_id", "_draft.*")
     zero = F.lit(0.0)
 
     def amount(name: str) -> Column:

@@ -73,14 +73,19 @@ def chunks(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "source", "text").mapInPandas(cut, "doc_id bigint, source string, chunk_no int, chunk string")
 
 
-def label_questions(vectors: DataFrame, size: int = 64) -> DataFrame:
-    """Mean vector of every label: one plain aggregate per dimension."""
-    means = [F.avg(F.col("embedding")[i].cast("double")) for i in range(size)]
-    return vectors.groupBy(F.col("label").alias("query_id")).agg(F.array(*means).alias("query"))
+def label_questions(vectors: DataFrame) -> DataFrame:
+    """Mean vector of every label, place by place, as long as its longest vector."""
+    places = vectors.select(F.col("label").alias("query_id"), F.posexplode("embedding").alias("place", "x"))
+    means = places.groupBy("query_id", "place").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+    ordered = F.array_sort(F.collect_list(F.struct("place", "mean")))
+    return means.groupBy("query_id").agg(F.transform(ordered, lambda p: p["mean"]).alias("query"))
 
 
 def nearest(vectors: DataFrame, questions: DataFrame, k: int = NEIGHBOURS, limit: int = MAX_QUESTIONS) -> DataFrame:
-    """The k most similar vectors (cosine) of every question; ties go to the smaller id.
+    """The k most similar vectors (cosine) of every question; ties go to the smaller id, and only the result is rounded.
+
+    Vectors that are null, hold a null, have no length or another number of places than the question have no similarity
+    and are no neighbours; questions of that kind have none.
 
     The questions travel to every task, so their number is checked: up to ``limit`` go at once, more are processed
     in blocks by a hash of their id. A task keeps k candidates per question and batch, and the final choice sees
@@ -89,32 +94,44 @@ def nearest(vectors: DataFrame, questions: DataFrame, k: int = NEIGHBOURS, limit
     import numpy as np
     import pandas as pd
 
+    def unit(vector) -> np.ndarray | None:
+        if vector is None or any(x is None for x in vector):
+            return None
+        v = np.asarray(vector, dtype=np.float64)
+        size = np.linalg.norm(v)
+        return v / size if len(v) and np.isfinite(size) and size > 0 else None
+
     total = questions.count()
     blocks = max(1, -(-total // limit))
     schema = "query_id int, vec_id bigint, similarity double"
 
     def block(part: int) -> DataFrame:
         wanted = questions.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == part).collect()
-        ids = np.array([row.query_id for row in wanted], dtype=np.int64)
-        matrix = np.array([row.query for row in wanted], dtype=np.float64) if wanted else np.empty((0, 1))
-        norms = np.linalg.norm(matrix, axis=1)
+        asked: dict[int, tuple[list, list]] = {}
+        for row in wanted:
+            v = unit(row.query)
+            if v is not None:
+                ids, rows = asked.setdefault(len(v), ([], []))
+                ids.append(row.query_id)
+                rows.append(v)
+        matrices = {size: (np.array(ids, dtype=np.int64), np.array(rows)) for size, (ids, rows) in asked.items()}
 
         def best(batches):
             for batch in batches:
-                if len(ids) == 0 or len(batch) == 0:
-                    continue
-                rows = np.stack([np.asarray(v, dtype=np.float64) for v in batch["embedding"]])
-                rows = rows / np.linalg.norm(rows, axis=1)[:, None]
-                keys = batch["vec_id"].to_numpy()
-                keep = min(k, len(keys))
-                for start in range(0, len(ids), BLOCK):
-                    some = slice(start, start + BLOCK)
-                    cosine = np.round(rows @ (matrix[some] / norms[some, None]).T, 6)
-                    for j, query in enumerate(ids[some]):
-                        column = cosine[:, j]
-                        near = np.flatnonzero(column >= np.partition(column, -keep)[-keep])
-                        near = near[np.lexsort((keys[near], -column[near]))[:keep]]
-                        yield pd.DataFrame({"query_id": query, "vec_id": keys[near], "similarity": column[near]})
+                units = [unit(v) for v in batch["embedding"]]
+                for size, (ids, matrix) in matrices.items():
+                    fit = [i for i, v in enumerate(units) if v is not None and len(v) == size]
+                    if not fit:
+                        continue
+                    rows, keys = np.array([units[i] for i in fit]), batch["vec_id"].to_numpy()[fit]
+                    keep = min(k, len(keys))
+                    for start in range(0, len(ids), BLOCK):
+                        cosine = rows @ matrix[start : start + BLOCK].T
+                        for j, query in enumerate(ids[start : start + BLOCK]):
+                            column = cosine[:, j]
+                            near = np.flatnonzero(column >= np.partition(column, -keep)[-keep])
+                            near = near[np.lexsort((keys[near], -column[near]))[:keep]]
+                            yield pd.DataFrame({"query_id": query, "vec_id": keys[near], "similarity": column[near]})
 
         return vectors.select("vec_id", "embedding").mapInPandas(best, schema)
 
@@ -122,7 +139,8 @@ def nearest(vectors: DataFrame, questions: DataFrame, k: int = NEIGHBOURS, limit
     for part in range(1, blocks):
         found = found.unionByName(block(part))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.withColumn("similarity", F.round("similarity", 6))
 
 
 def answer_sources(found: DataFrame, documents: DataFrame) -> DataFrame:

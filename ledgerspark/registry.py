@@ -149,7 +149,7 @@ RAW_ORDER = ["line_no", "part_no"]
 
 def _raw_files(spark: SparkSession, sf: str) -> str:
     """Tab-separated statement files written from the raw rows, as a user would receive them."""
-    line = F.concat_ws("\t", *STATEMENT_COLUMNS).alias("value")
+    line = F.concat_ws("\t", *(F.coalesce(c, F.lit("")) for c in STATEMENT_COLUMNS)).alias("value")
     return text_once(spark, "raw_statement_files", sf, lambda: load(spark, sf, "raw_statements").select(line))
 
 
@@ -191,7 +191,9 @@ def _roster(spark: SparkSession, sf: str) -> DataFrame:
 
 def _visibility(spark: SparkSession, sf: str) -> DataFrame:
     assigned = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("usuario"), F.col("s_nationkey").alias("grupo_id"))
-    return ingest.visible_rows(load(spark, sf, "empleados").select("id", "cedula", "grupo_id"), assigned)
+    people = load(spark, sf, "empleados").select("id", "cedula", "grupo_id")
+    seen = [ingest.visible_rows(people, assigned, user, boss).withColumn("usuario", F.lit(user).cast("long")) for user, boss in ((1, False), (-1, False), (0, True))]
+    return seen[0].unionByName(seen[1]).unionByName(seen[2])
 
 
 def _account_depth(raw: DataFrame) -> DataFrame:
@@ -278,7 +280,7 @@ JOBS: dict[str, Query] = {
     "load_first_wins": _on(lambda raw: _keyed_load(raw, "first"), "raw_statements"),
     "load_last_wins": _on(lambda raw: _keyed_load(raw, "last"), "raw_statements"),
     "high_water_mark": _on(lambda raw: ingest.high_water_mark(_usable(raw)), "raw_statements"),
-    "run_metrics": _on(lambda raw: ingest.run_metrics(raw, RAW_ORDER), "raw_statements"),
+    "run_metrics": _on(ingest.run_metrics, "raw_statements"),
     "q_nulls": _on(validation.nulls, "raw_statements"),
     "q_dates": _on(validation.dates, "raw_statements"),
     "q_domains": _on(validation.domains, "raw_statements"),

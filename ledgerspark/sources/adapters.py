@@ -28,7 +28,8 @@ def _plus(date: str, days: str) -> str:
 
 
 def _digits(expr: str, size: int) -> str:
-    return f"lpad(CAST({expr} AS STRING), {size}, '0')"
+    """At least ``size`` digits; a longer number keeps all of its digits."""
+    return f"lpad(CAST({expr} AS STRING), greatest({size}, CAST(length(CAST({expr} AS STRING)) AS INT)), '0')"
 
 
 def _comma(expr: str) -> str:
@@ -36,7 +37,7 @@ def _comma(expr: str) -> str:
 
 
 _BALANCE = f"CAST({_PRICE} * CAST((o_orderkey % 5) * 0.25 AS DECIMAL(4,2)) AS DECIMAL(14,2))"
-_ID10 = "concat(lpad(CAST(c_custkey % 24 + 1 AS STRING), 2, '0'), lpad(CAST(c_custkey * 37 % 100000000 AS STRING), 8, '0'))"
+_ID10 = f"concat({_digits('c_custkey % 24 + 1', 2)}, {_digits('c_custkey * 37', 8)})"
 _WHOLE = "CAST(floor(l_extendedprice) AS BIGINT)"
 _Y, _M, _D = "CAST(year(l_shipdate) AS STRING)", _digits("month(l_shipdate)", 2), _digits("day(l_shipdate)", 2)
 
@@ -92,10 +93,10 @@ TABLES: dict[str, str] = {
                CAST(p_retailprice AS DECIMAL(12,2)) AS precio_empresa
         FROM {part}""",
     "precios_competidor": """
-        SELECT concat(p_name, ' #', CAST(p_partkey AS STRING)) AS nombre,
+        SELECT concat(CASE WHEN p_partkey % 10 = 0 THEN 'Otro ' ELSE '' END, p_name, ' #', CAST(p_partkey AS STRING)) AS nombre,
                CAST(CAST(p_retailprice AS DECIMAL(12,2)) * CAST(0.85 + (p_partkey * 7 % 30) * 0.01 AS DECIMAL(4,2)) AS DECIMAL(12,2)) AS precio_competidor,
                CASE p_size % 3 WHEN 0 THEN 'In Stock' WHEN 1 THEN 'Out of Stock' ELSE 'Bajo pedido' END AS disponibilidad
-        FROM {part} WHERE p_partkey % 10 <> 0""",
+        FROM {part}""",
     # tax portal exports: text columns with a decimal comma
     "comprobantes": f"""
         SELECT {_digits('o_custkey', 13)} AS ruc_emisor, concat('Emisor ', CAST(o_custkey AS STRING)) AS razon_social,
@@ -104,10 +105,11 @@ TABLES: dict[str, str] = {
                {_comma(f'CAST({_PRICE} * 1.15 AS DECIMAL(12,2))')} AS importe_total
         FROM {{orders}}""",
     "retenciones": f"""
-        SELECT {_digits('o_custkey', 13)} AS ruc_emisor, {_digits('o_orderkey', 49)} AS doc_sustento, {_digits('o_orderkey', 9)} AS numero,
+        SELECT {_digits('o_custkey', 13)} AS ruc_emisor, 
+               concat(CASE WHEN o_orderkey % 3 = 0 THEN 'S/N ' ELSE '' END, {_digits('o_orderkey', 49)}) AS doc_sustento, {_digits('o_orderkey', 9)} AS numero,
                CASE WHEN o_orderkey % 11 = 0 THEN 'n/d' ELSE {_comma(f'CAST({_PRICE} + CASE o_orderkey % 7 WHEN 0 THEN 0.02 WHEN 1 THEN 0.01 ELSE 0 END AS DECIMAL(12,2))')} END AS base_imponible,
                {_comma(f'CAST({_PRICE} * 0.01 AS DECIMAL(12,2))')} AS valor_retenido
-        FROM {{orders}} WHERE o_orderkey % 3 <> 0""",
+        FROM {{orders}}""",
     # bank statement and ledger; every third order has the same amount
     "banco": f"""
         SELECT o_orderkey AS id, {_digits('o_orderkey', 10)} AS referencia, {_DAY} AS fecha_transaccion,
@@ -118,8 +120,9 @@ TABLES: dict[str, str] = {
     "libro": f"""
         SELECT o_orderkey AS id, {_digits('o_orderkey', 10)} AS comprobante,
                {_plus(_DAY, 'o_orderkey % 6')} AS fecha_registro, concat('Asiento ', o_orderpriority) AS concepto,
-               CASE WHEN o_orderkey % 3 = 0 THEN CAST(1000 AS DECIMAL(18,2)) ELSE CAST(o_totalprice AS DECIMAL(18,2)) END AS monto
-        FROM {{orders}} WHERE o_orderkey % 8 <> 0
+               CASE WHEN o_orderkey % 8 = 0 THEN -CAST(o_totalprice AS DECIMAL(18,2))
+                    WHEN o_orderkey % 3 = 0 THEN CAST(1000 AS DECIMAL(18,2)) ELSE CAST(o_totalprice AS DECIMAL(18,2)) END AS monto
+        FROM {{orders}}
         UNION ALL
         SELECT -1 - c_custkey, concat('C', {_digits('c_custkey', 9)}), CAST('1998-01-01' AS DATE), 'Ajuste', CAST(c_acctbal AS DECIMAL(18,2))
         FROM {{customer}}""",
@@ -169,18 +172,19 @@ TABLES: dict[str, str] = {
     "permisos": """
         SELECT event_id AS id, user_id AS empleado_id, CASE event_id % 3 WHEN 0 THEN 'Enfermedad' ELSE 'Vacaciones' END AS tipo,
                CAST(ts AS DATE) AS fecha_inicio, CAST(1 + event_id % 3 AS INT) AS dias,
-               CASE event_id % 4 WHEN 0 THEN 'Pendiente' ELSE 'Aprobado' END AS estado
-        FROM {events} WHERE event_type = 'signup'""",
+               CASE WHEN event_type <> 'signup' THEN 'Rechazado' WHEN event_id % 4 = 0 THEN 'Pendiente' ELSE 'Aprobado' END AS estado
+        FROM {events}""",
     "prestamos": f"""
         SELECT o_orderkey AS id, o_custkey AS empleado_id, CASE o_orderkey % 3 WHEN 0 THEN 'Hipotecario' ELSE 'Quirografario' END AS tipo,
                {_PRICE} AS monto_total, CAST({_PRICE} * 0.001 AS DECIMAL(10,2)) AS cuota_mensual, o_orderkey % 4 = 0 AS activo
         FROM {{orders}}""",
-    "borradores": """
-        SELECT c_custkey AS empleado_id, CAST(c_custkey % 50 AS DECIMAL(10,2)) AS comisiones, CAST(c_custkey % 7 * 10 AS DECIMAL(10,2)) AS bonos,
+    "borradores": f"""
+        SELECT c_custkey AS empleado_id, CAST({PAY_YEAR} AS INT) AS anio, CAST(CASE WHEN c_custkey % 5 = 0 THEN {PAY_MONTH} ELSE {PAY_MONTH} + c_custkey % 5 END AS INT) AS mes,
+               c_custkey AS id, CAST(c_custkey % 50 AS DECIMAL(10,2)) AS comisiones, CAST(c_custkey % 7 * 10 AS DECIMAL(10,2)) AS bonos,
                CAST(c_custkey % 3 AS DECIMAL(10,2)) AS otros_ingresos, CAST(c_custkey % 5 * 8 AS DECIMAL(10,2)) AS anticipo_sueldo,
                CAST(CASE WHEN c_custkey % 9 = 0 THEN 60 ELSE 0 END AS DECIMAL(10,2)) AS pension_alimenticia,
                CAST(c_custkey % 2 AS DECIMAL(10,2)) AS otras_deducciones
-        FROM {customer} WHERE c_custkey % 5 = 0""",
+        FROM {{customer}}""",
     "roles_pago": f"""
         SELECT o_custkey AS empleado_id, year(o_orderdate) AS anio, month(o_orderdate) AS mes, max(o_orderkey) AS id,
                concat(CAST(year(o_orderdate) AS STRING), '-', {_digits('month(o_orderdate)', 2)}) AS periodo,
@@ -206,8 +210,8 @@ TABLES: dict[str, str] = {
         FROM {events}""",
     # uploaded files and the people they belong to
     "archivos": f"""
-        SELECT concat('nomina_', {_ID10}, '_demo.pdf') AS archivo FROM {{customer}} WHERE c_custkey % 10 <> 0
-        UNION ALL SELECT concat('anexo-', {_ID10}, '.pdf') FROM {{customer}} WHERE c_custkey % 7 = 0
+        SELECT concat('nomina_', CASE WHEN c_custkey % 10 = 0 THEN concat('cliente', CAST(c_custkey AS STRING)) ELSE {_ID10} END, '_demo.pdf') AS archivo FROM {{customer}}
+        UNION ALL SELECT concat('anexo-', CASE WHEN c_custkey % 7 = 0 THEN {_ID10} ELSE concat('cliente', CAST(c_custkey AS STRING)) END, '.pdf') FROM {{customer}}
         UNION ALL SELECT concat('proveedor_', {_digits('s_suppkey', 6)}, '.pdf') FROM {{supplier}}
         UNION ALL SELECT concat('lote_', {_digits('s_suppkey * 1234567 + 99000000000', 13)}, '_v2.pdf') FROM {{supplier}}""",
     # roster as uploaded

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import codecs
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.cleaning import normal_header
@@ -15,43 +15,43 @@ STATEMENT_COLUMNS = (
     "entity_subtype",
 )
 DATA_FILES = "*.{csv,tsv,txt,CSV,TSV,TXT}"
-HEAD_BYTES = 8192
 SEPARATORS = ("\t", ";", ",")
 
 
-def _profile_batches(batches):
-    """First bytes of each listed file -> encoding and separator."""
-    import pandas as pd
-    from pyarrow import fs
-
-    for batch in batches:
-        rows = []
-        for path, size in zip(batch["path"], batch["length"]):
-            system, place = fs.FileSystem.from_uri(path)
-            with system.open_input_stream(place) as stream:
-                head = stream.read(HEAD_BYTES)
-            try:
-                # a character cut by the end of the head is no error when the file goes on
-                codecs.getincrementaldecoder("utf-8")().decode(head, final=size <= HEAD_BYTES)
-                encoding = "UTF-8"
-            except UnicodeDecodeError:
-                encoding = "ISO-8859-1"
-            line = head.split(b"\n", 1)[0]
-            separator = max(SEPARATORS, key=lambda ch: line.count(ch.encode()))
-            rows.append((path, encoding, separator, line.count(separator.encode()) + 1))
-        yield pd.DataFrame(rows, columns=["path", "encoding", "separator", "fields"])
-
-
-def file_profile(spark: SparkSession, path: str) -> DataFrame:
-    """Encoding and separator of every non-empty data file, from its first bytes only.
-
-    UTF-8 when the head decodes cleanly (a byte order mark does), Latin-1 otherwise. The separator is the most
-    frequent one of the first line; ties go to tab, then semicolon, then comma. The listing comes from Spark, and
-    the executors open each file for its head, so large files are not read here.
+def _count(text: Column, mark: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+
+
+def _first_lines(lines: DataFrame) -> Column:
+    """First line of a file among its ``value`` rows, by block and place in the block."""
+    return F.min_by("value", F.struct("block_start", "row_in_block"))
+
+
+def file_profile(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``path, encoding, separator, fields`` of every data file with a line.
+
+    UTF-8 when every line of the file is valid (a byte order mark is), Latin-1 otherwise. The separator is the most frequent
+    one of the first line; ties go to tab, then semicolon, then comma. Spark reads the lines as bytes in splits, and each
+    task sends one row per file.
     """
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", DATA_FILES).load(path)
-    files = listing.filter("length > 0").select("path", "length")
-    return files.mapInPandas(_profile_batches, "path string, encoding string, separator string, fields int")
+    lines = _in_file_order(spark.read.text(path, pathGlobFilter=DATA_FILES))
+    files = lines.groupBy(F.col("source_file").alias("path")).agg(F.every(F.is_valid_utf8("value")).alias("utf8"), _first_lines(lines).alias("head"))
+    counts = {m: _count(F.col("head"), m) for m in SEPARATORS}
+    best = F.greatest(*counts.values())
+    separator = F.lit(SEPARATORS[-1])
+    for mark in reversed(SEPARATORS[:-1]):
+        separator = F.when(counts[mark] == best, mark).otherwise(separator)
+    return files.select(
+        "path", F.when(F.col("utf8"), "UTF-8").otherwise("ISO-8859-1").alias("encoding"), separator.alias("separator"), (best + 1).cast("int").alias("fields")
+    )
+
+
+def _refuse(narrow: DataFrame, separator: str | None = None) -> None:
+    """Raise for files (``path``) with too few columns; the message names the first of them."""
+    names = [r.path for r in narrow.select("path").orderBy("path").limit(5).collect()]
+    if names:
+        by = f" separated by {separator!r}" if separator else ""
+        raise ValueError(f"expected at least {len(STATEMENT_COLUMNS)} columns{by} in {', '.join(names)}")
 
 
 def _in_file_order(df: DataFrame) -> DataFrame:
@@ -76,16 +76,21 @@ def read_statements(
 ) -> DataFrame:
     """Statement lines as ten text columns plus their file order; extra columns are dropped.
 
-    Spark fills short lines with nulls, so the width is checked on the first lines and a file with fewer than ten
-    columns is refused.
+    Every file's first line is looked at, and a file with fewer than ten columns is refused by name. In tab files a quote is
+    a character like any other.
     """
     schema = ", ".join(f"{c} string" for c in STATEMENT_COLUMNS)
-    first = spark.read.text(path, pathGlobFilter=DATA_FILES).first()
-    if first is not None and len(first[0].split(separator)) < len(STATEMENT_COLUMNS):
-        raise ValueError(f"expected at least {len(STATEMENT_COLUMNS)} columns separated by {separator!r}")
+    text = _in_file_order(spark.read.text(path, pathGlobFilter=DATA_FILES))
+    heads = text.groupBy(F.col("source_file").alias("path")).agg(_first_lines(text).alias("head"))
+    _refuse(heads.filter(_count(F.col("head"), separator) + 1 < len(STATEMENT_COLUMNS)), separator)
+    return _statement_lines(spark, path, schema, separator, encoding, has_header)
+
+
+def _statement_lines(spark: SparkSession, path: str | list[str], schema: str, separator: str, encoding: str, has_header: bool) -> DataFrame:
     lines = (
         spark.read.schema(schema)
         .option("sep", separator)
+        .option("quote", "" if separator == "\t" else '"')
         .option("encoding", encoding)
         .option("header", has_header)
         .option("mode", "PERMISSIVE")
@@ -96,15 +101,21 @@ def read_statements(
 
 
 def read_mixed_statements(spark: SparkSession, path: str) -> DataFrame:
-    """Statement files of different encodings and separators in one table: one reader per combination."""
-    kinds = file_profile(spark, path).groupBy("encoding", "separator").agg(F.collect_list("path").alias("paths")).collect()
-    if not kinds:
+    """Statement files of different encodings and separators in one table: one reader per combination.
+
+    A file with fewer than ten columns is refused by name. The list of files goes through the driver, as every listing does.
+    """
+    files = file_profile(spark, path).persist()
+    _refuse(files.filter(F.col("fields") < len(STATEMENT_COLUMNS)))
+    by_kind: dict[tuple[str, str], list[str]] = {}
+    for row in files.toLocalIterator():
+        by_kind.setdefault((row.encoding, row.separator), []).append(row.path)
+    files.unpersist()
+    if not by_kind:
         raise FileNotFoundError(f"no data files under {path}")
-    parts = [read_statements(spark, row.paths, row.separator, row.encoding) for row in kinds]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    schema = ", ".join(f"{c} string" for c in STATEMENT_COLUMNS)
+    parts = [_statement_lines(spark, paths, schema, separator, encoding, False) for (encoding, separator), paths in by_kind.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_table(spark: SparkSession, path: str, separator: str = ",", dates: tuple[str, ...] = (), upper: bool = False) -> DataFrame:

@@ -33,9 +33,17 @@ def sales_of(events: DataFrame) -> DataFrame:
     )
 
 
-def day_totals(sales: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Running total of every day against the daily target; the same function serves streams and stored tables."""
-    rows = sales.withWatermark("ts", delay) if sales.isStreaming else sales
+def _watched(sales: DataFrame, delay: str | None) -> DataFrame:
+    return sales.withWatermark("ts", delay) if delay and sales.isStreaming else sales
+
+
+def day_totals(sales: DataFrame, delay: str | None = None) -> DataFrame:
+    """Running total of every day against the daily target; the same function serves streams and stored tables.
+
+    The state is one row per day, so it is kept and a sale counts however late it comes. With a ``delay``, days older than
+    that leave the state and their late sales are lost.
+    """
+    rows = _watched(sales, delay)
     g = rows.groupBy(F.window("ts", "1 day").alias("w")).agg(F.sum("total").alias("_v"), F.count(F.lit(1)).alias("ventas"))
     return g.select(
         F.to_date("w.start").alias("fecha"), cents("_v").alias("total"), "ventas",
@@ -43,14 +51,16 @@ def day_totals(sales: DataFrame, delay: str = "1 day") -> DataFrame:
     )
 
 
-def hourly(sales: DataFrame, delay: str = "1 day") -> DataFrame:
-    rows = sales.withWatermark("ts", delay) if sales.isStreaming else sales
+def hourly(sales: DataFrame, delay: str | None = None) -> DataFrame:
+    """Totals per hour, zone and seller; late sales as in ``day_totals``."""
+    rows = _watched(sales, delay)
     g = rows.groupBy(F.window("ts", "1 hour").alias("w"), "zona", "vendedor_id").agg(F.sum("total").alias("_v"), F.count(F.lit(1)).alias("ventas"))
     return g.select(F.col("w.start").alias("hora"), "zona", "vendedor_id", cents("_v").alias("total"), "ventas")
 
 
 def unique_invoices(sales: DataFrame, delay: str = "1 day") -> DataFrame:
-    """One row per invoice; the state is bounded by the watermark. On a stored table: one row per invoice."""
+    """One row per invoice. On a stream the state is bounded by the watermark: a repeat within ``delay`` is dropped, and a sale
+    that comes later than that is lost; where none may be, append all rows and call this on the stored table."""
     if sales.isStreaming:
         return sales.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["factura_id"])
     return sales.dropDuplicates(["factura_id"])

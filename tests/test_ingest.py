@@ -65,7 +65,7 @@ def test_unusable_rows_and_observation(spark, tmp_path):
     rows = ingest.clean_statements(raw, observation=seen).collect()
     assert len(rows) == 1 and rows[0].date is None
     assert seen.get == {"rows_read": 5}
-    counts = ingest.run_metrics(raw, files.FILE_ORDER).first()
+    counts = ingest.run_metrics(raw).first()
     assert (counts.rows_read, counts.rows_loaded, counts.rows_discarded) == (5, 1, 4)
 
 
@@ -98,12 +98,33 @@ def test_mixed_encodings_and_separators(spark, tmp_path):
     assert {r.company_name for r in rows.collect()} == {"Compañía Ñandú"}
 
 
-def test_profile_with_cut_character(spark, tmp_path):
-    text = "a" * (files.HEAD_BYTES - 1) + "ñ" + "b" * 100
-    (tmp_path / "cut.txt").write_bytes(text.encode())
+def test_profile_looks_at_whole_files(spark, tmp_path):
+    (tmp_path / "far.txt").write_bytes(b"a;b\n" * 5000 + "Compañía;x\n".encode("latin-1"))
+    (tmp_path / "long.txt").write_bytes(("a" * 9000 + "ñ" + "b" * 100).encode())
     (tmp_path / "bom.txt").write_bytes("﻿x;y".encode())
     got = {r.path.rsplit("/", 1)[-1]: r.encoding for r in files.file_profile(spark, str(tmp_path)).collect()}
-    assert got == {"cut.txt": "UTF-8", "bom.txt": "UTF-8"}
+    assert got == {"far.txt": "ISO-8859-1", "long.txt": "UTF-8", "bom.txt": "UTF-8"}
+
+
+def test_late_latin_character_is_read(spark, tmp_path):
+    lines = LINES * 800
+    write(tmp_path / "in.tsv", [*lines, LINES[0].replace("Empresa Uno", "Compañía Uno")], "latin-1")
+    rows = files.read_mixed_statements(spark, str(tmp_path))
+    assert rows.filter("company_name = 'Compañía Uno'").count() == 1
+
+
+def test_each_narrow_file_is_refused_by_name(spark, tmp_path):
+    write(tmp_path / "a.tsv", LINES)
+    write(tmp_path / "b.tsv", ["x\ty\tz", "1\t2\t3"])
+    for read in (files.read_statements, files.read_mixed_statements):
+        with pytest.raises(ValueError, match="b.tsv"):
+            read(spark, str(tmp_path))
+
+
+def test_a_quote_is_a_character(spark, tmp_path):
+    odd = LINES[0].replace("Empresa Uno", '"Uno')
+    rows = files.read_statements(spark, write(tmp_path / "q.tsv", [odd, *LINES[1:3]])).collect()
+    assert len(rows) == 3 and {r.company_name for r in rows} >= {'"Uno'} and all(r.value for r in rows)
 
 
 def test_header_tables_and_exports(spark, tmp_path):

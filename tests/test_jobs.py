@@ -104,3 +104,17 @@ def test_nearest_equals_brute_force(spark, limit):
     for i in range(5):
         for place, j in enumerate(np.lexsort((np.arange(60), -cosine[i]))[:4], 1):
             assert got[i, place] == j
+
+
+def test_nearest_leaves_out_vectors_without_direction(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [0.9, 0.1]), (5, [1.0, None]), (6, [1.0, 0.0, 0.0]), (7, []), (8, [-1.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    questions = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None)], "query_id int, query array<double>")
+    got = [(r.query_id, r.vec_id, r.similarity, r.rank) for r in retrieval.nearest(vectors, questions).orderBy("rank").collect()]
+    assert got == [(1, 1, 1.0, 1), (1, 4, 0.993884, 2), (1, 8, -1.0, 3)]
+
+
+def test_mean_vectors_keep_their_length(spark):
+    rows = [(1, 0, [float(i) for i in range(70)]), (2, 0, [2.0] * 70), (3, 1, [1.0, 3.0])]
+    got = {r.query_id: r.query for r in retrieval.label_questions(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect()}
+    assert got[0] == [(i + 2.0) / 2 for i in range(70)] and got[1] == [1.0, 3.0]

@@ -7,6 +7,7 @@ import pytest
 
 from ledgerspark.operators.keyed import keep_one
 from ledgerspark.operators.ladder import ladder, quantiles, with_rank
+from ledgerspark.operators import matching
 from ledgerspark.operators.matching import assign_one_to_one, contained_ids, match_in_window
 from ledgerspark.operators.prefix import with_leaf_flag
 
@@ -95,8 +96,9 @@ def greedy(left, right, days):
     return pairs
 
 
-@pytest.mark.parametrize("seed, limit", [(s, l) for s in range(6) for l in (1_000_000, 1)])
-def test_match_in_window(spark, seed, limit):
+@pytest.mark.parametrize("seed, part_rows", [(s, n) for s in range(6) for n in (65_536, 2)])
+def test_match_in_window(spark, monkeypatch, seed, part_rows):
+    monkeypatch.setattr(matching, "PART_ROWS", part_rows)
     r = random.Random(seed)
     span = r.choice([5, 20, 60])
 
@@ -108,7 +110,7 @@ def test_match_in_window(spark, seed, limit):
 
     left, right = rows(80), rows(70)
     to = lambda rows, k, d: spark.createDataFrame(rows, f"{k} long, monto double, {d} date")
-    got = match_in_window(to(left, "l", "dl"), to(right, "r", "dr"), "monto", "dl", "dr", "l", "r", 3, limit)
+    got = match_in_window(to(left, "l", "dl"), to(right, "r", "dr"), "monto", "dl", "dr", "l", "r", 3)
     assert {tuple(x) for x in got.collect()} == greedy(left, right, 3)
 
 
@@ -130,5 +132,12 @@ def test_assign_equals_sequential_walk(spark, seed):
 def test_contained_ids(spark):
     files = spark.createDataFrame([("a_0123456789_b.pdf",), ("x12345678901y.pdf",), ("short_123.pdf",)], "f string")
     ids = spark.createDataFrame([("0123456789",), ("1234567890",), ("2345678901",), ("9999999999",)], "i string")
-    got = {tuple(r) for r in contained_ids(files, ids, "f", "i", 10).select("i", "f").collect()}
+    got = {tuple(r) for r in contained_ids(files, ids, "f", "i").select("i", "f").collect()}
     assert got == {("0123456789", "a_0123456789_b.pdf"), ("1234567890", "x12345678901y.pdf"), ("2345678901", "x12345678901y.pdf")}
+
+
+def test_contained_ids_of_any_kind(spark):
+    files = spark.createDataFrame([("rol_A1234567.pdf",), ("x_0991290915001_y.pdf",), ("z0123456789.pdf",), ("a",)], "f string")
+    ids = spark.createDataFrame([("A1234567",), ("0991290915001",), ("0123456789",), ("",), (None,), ("A12345678",)], "i string")
+    got = {tuple(r) for r in contained_ids(files, ids, "f", "i").select("i", "f").collect()}
+    assert got == {("A1234567", "rol_A1234567.pdf"), ("0991290915001", "x_0991290915001_y.pdf"), ("0123456789", "z0123456789.pdf")}

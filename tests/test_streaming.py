@@ -35,6 +35,19 @@ def test_streams_equal_batch(spark, tmp_path):
     assert rows(unique) == rows(batch) and rows(live.unique_invoices(batch)) == rows(batch)
 
 
+def test_late_sales_count(spark, tmp_path):
+    schema = "factura_id long, ts timestamp, vendedor_id long, zona string, total decimal(12,2)"
+    days = [(1, "2024-03-10 10:00:00"), (2, "2024-03-20 10:00:00"), (3, "2024-03-01 09:00:00")]
+    for i, ts in days:
+        one = spark.createDataFrame([(i, ts, 1, "Zona 1", 10.0)], "factura_id long, ts string, vendedor_id long, zona string, total double")
+        one.withColumns({"ts": F.to_timestamp("ts"), "total": F.col("total").cast("decimal(12,2)")}).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    day = live.run_updates(spark, live.day_totals(stream), ["fecha"], str(tmp_path / "day"))
+    assert {str(r.fecha): r.ventas for r in day.collect()} == {"2024-03-10": 1, "2024-03-20": 1, "2024-03-01": 1}
+    hour = live.run_updates(spark, live.hourly(stream), ["hora", "zona", "vendedor_id"], str(tmp_path / "hour"))
+    assert hour.count() == 3
+
+
 def test_statement_upsert(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
