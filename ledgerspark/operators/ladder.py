@@ -1,8 +1,8 @@
 """Order statistics of large groups without putting a group into one task.
 
 ``rank() over (partition by year)`` sends every company of a year to one task. Here a fixed monotone rule cuts the
-value axis into ordered buckets; only the bucket sizes -- a few thousand rows per group, whatever the data -- go
-through a running sum. Equal values are counted before they are shuffled, so a value held by a third of all rows
+value axis into ordered buckets, and a bucket with many rows is cut again between its own least and greatest value, so values
+that lie close together are spread as well; only the sizes of these parts go through a running sum. Equal values are counted before they are shuffled, so a value held by a third of all rows
 is one row, and the place inside a bucket comes from a window over that bucket alone.
 
 The input is read several times. Callers pass a stored table or a staged one (``session.staged``).
@@ -17,11 +17,23 @@ from pyspark.sql import functions as F
 
 PER_DOUBLING = 64  # buckets per doubling of the scaled absolute value
 SCALE = float(1 << 20)  # keeps values below one apart
+PART_ROWS = 10_000  # rows of a bucket per part that it is cut into
+_TOP = (1 << 31) - 1
 
 
 def _bucket(value: Column) -> Column:
-    """Order-preserving bucket number; an amount in cents near 10^9 shares its bucket with about 10^9 others at most."""
-    return (F.signum(value) * F.floor(F.log2(F.abs(value) * SCALE + 1) * PER_DOUBLING)).cast("int")
+    """Order-preserving bucket number; infinite values and NaN, the greatest, have buckets of their own."""
+    number = (F.signum(value) * F.floor(F.log2(F.abs(value) * SCALE + 1) * PER_DOUBLING)).cast("int")
+    infinite = F.abs(value) == float("inf")
+    return F.when(F.isnan(value), _TOP).when(infinite, F.signum(value).cast("int") * (_TOP - 1)).otherwise(number)
+
+
+def _parted(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Add ``_s``, the part of a row's bucket: one for each PART_ROWS rows, of equal width from its least to its greatest value."""
+    sizes = rows.groupBy(*by, "_b").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("_k"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    rows = null_safe_join(rows, sizes, by, ["_b"])
+    place = F.least(F.col("_k") - 1, F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_k")))
+    return rows.withColumn("_s", F.when((F.col("_hi") > F.col("_lo")) & (F.col("_k") > 1), place).otherwise(0).cast("long")).drop("_k", "_lo", "_hi", "_v")
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, by: list[str], exact: list[str] = (), how: str = "inner") -> DataFrame:
@@ -35,20 +47,21 @@ def null_safe_join(left: DataFrame, right: DataFrame, by: list[str], exact: list
 def ladder(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Distinct values per group with ``n`` (rows), ``below`` (rows with a smaller value) and ``total``."""
     v = F.col(value).cast("double")
-    rows = df.filter(F.col(value).isNotNull()).select(*by, value, _bucket(v).alias("_b"))
-    sizes = rows.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_rows"))
+    rows = _parted(df.filter(F.col(value).isNotNull()).select(*by, value, v.alias("_v"), _bucket(v).alias("_b")), by)
+    sizes = rows.groupBy(*by, "_b", "_s").agg(F.count(F.lit(1)).alias("_rows"))
     whole = Window.partitionBy(*by)
-    run = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    run = whole.orderBy("_b", "_s").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         *by,
         "_b",
+        "_s",
         F.coalesce(F.sum("_rows").over(run), F.lit(0)).alias("_before"),
         F.sum("_rows").over(whole).alias("total"),
     )
-    counts = rows.groupBy(*by, "_b", value).agg(F.count(F.lit(1)).alias("n"))
-    inside = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*by, "_b", "_s", value).agg(F.count(F.lit(1)).alias("n"))
+    inside = Window.partitionBy(*by, "_b", "_s").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    return null_safe_join(counts, offsets, by, ["_b"]).select(
+    return null_safe_join(counts, offsets, by, ["_b", "_s"]).select(
         *by, value, "n", (F.col("_before") + F.col("_inside")).alias("below"), "total"
     )
 

@@ -5,9 +5,12 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from ledgerspark.operators import ladder as ladder_module
+from ledgerspark.operators import matching
 from ledgerspark.operators.keyed import keep_one
 from ledgerspark.operators.ladder import ladder, quantiles, with_rank
-from ledgerspark.operators import matching
 from ledgerspark.operators.matching import assign_one_to_one, contained_ids, match_in_window
 from ledgerspark.operators.prefix import with_leaf_flag
 
@@ -141,3 +144,18 @@ def test_contained_ids_of_any_kind(spark):
     ids = spark.createDataFrame([("A1234567",), ("0991290915001",), ("0123456789",), ("",), (None,), ("A12345678",)], "i string")
     got = {tuple(r) for r in contained_ids(files, ids, "f", "i").select("i", "f").collect()}
     assert got == {("A1234567", "rol_A1234567.pdf"), ("0991290915001", "x_0991290915001_y.pdf"), ("0123456789", "z0123456789.pdf")}
+
+
+def test_ladder_of_narrow_tied_and_odd_values(spark, monkeypatch):
+    monkeypatch.setattr(ladder_module, "PART_ROWS", 20)
+    r = random.Random(5)
+    values = [1000.0 + r.random() * 0.2 for _ in range(600)] + [1000.1] * 300 + [float("nan"), float("inf"), float("-inf"), -3.0, 0.0, None]
+    df = spark.createDataFrame([("g", v) for v in values] + [(None, 5.0), (None, 5.0)], "g string, v double")
+    got = {(x.g, repr(x.v)): (x.n, x.below, x.total) for x in ladder_module.ladder(df, ["g"], "v").collect()}
+    order = sorted((v for v in values if v is not None), key=lambda v: (v != v, 0 if v != v else v))
+    known = [repr(v) for v in order]
+    want = {("g", x): (known.count(x), known.index(x), len(known)) for x in set(known)} | {(None, "5.0"): (2, 0, 2)}
+    assert got == want
+    rows = df.filter("g = 'g' and v is not null").select("g", F.col("v").alias("_v"), ladder_module._bucket(F.col("v")).alias("_b"))
+    sizes = [x["count"] for x in ladder_module._parted(rows.filter("_v <> 1000.1"), ["g"]).groupBy("_b", "_s").count().collect()]
+    assert max(sizes) < 100
