@@ -30,10 +30,10 @@ def _bucket(value: Column) -> Column:
 
 def _parted(rows: DataFrame, by: list[str]) -> DataFrame:
     """Add ``_s``, the part of a row's bucket: one for each PART_ROWS rows, of equal width from its least to its greatest value."""
-    sizes = rows.groupBy(*by, "_b").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("_k"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    sizes = rows.groupBy(*by, "_b").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("_k"), F.min("_axis").alias("_lo"), F.max("_axis").alias("_hi"))
     rows = null_safe_join(rows, sizes, by, ["_b"])
-    place = F.least(F.col("_k") - 1, F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_k")))
-    return rows.withColumn("_s", F.when((F.col("_hi") > F.col("_lo")) & (F.col("_k") > 1), place).otherwise(0).cast("long")).drop("_k", "_lo", "_hi", "_v")
+    place = F.least(F.col("_k") - 1, F.floor((F.col("_axis") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_k")))
+    return rows.withColumn("_s", F.when((F.col("_hi") > F.col("_lo")) & (F.col("_k") > 1), place).otherwise(0).cast("long")).drop("_k", "_lo", "_hi", "_axis")
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, by: list[str], exact: list[str] = (), how: str = "inner") -> DataFrame:
@@ -47,7 +47,7 @@ def null_safe_join(left: DataFrame, right: DataFrame, by: list[str], exact: list
 def ladder(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Distinct values per group with ``n`` (rows), ``below`` (rows with a smaller value) and ``total``."""
     v = F.col(value).cast("double")
-    rows = _parted(df.filter(F.col(value).isNotNull()).select(*by, value, v.alias("_v"), _bucket(v).alias("_b")), by)
+    rows = _parted(df.filter(F.col(value).isNotNull()).select(*by, value, v.alias("_axis"), _bucket(v).alias("_b")), by)
     sizes = rows.groupBy(*by, "_b", "_s").agg(F.count(F.lit(1)).alias("_rows"))
     whole = Window.partitionBy(*by)
     run = whole.orderBy("_b", "_s").rowsBetween(Window.unboundedPreceding, -1)

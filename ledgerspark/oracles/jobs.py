@@ -31,6 +31,11 @@ UP, DOWN = "line_no, part_no", "line_no DESC, part_no DESC"
 INGEST = {
     "read_statements": q("""SELECT sector_code, entity_type, NULLIF(ruc, '') AS ruc, company_name, date, period_type, NULLIF(account_code, '') AS account_code,
         account_name, value, NULLIF(entity_subtype, '') AS entity_subtype, count(*) AS copies FROM raw_statements GROUP BY ALL""", "raw_statements"),
+    "file_profile": """SELECT 'UTF-8' AS encoding, CASE 1 + l_linenumber % 2 WHEN 1 THEN chr(9) ELSE ';' END AS separator, CAST(10 AS INT) AS fields
+        FROM lineitem GROUP BY ALL""",
+    "read_table": q("SELECT CAST(id_factura AS VARCHAR) AS id_factura, CAST(id_cliente AS VARCHAR) AS id_cliente, fecha_emision, estado FROM facturas", "facturas"),
+    "read_portal_table": q('SELECT ruc_emisor AS "RUC_EMISOR", clave_acceso AS "CLAVE_ACCESO", importe_total AS "IMPORTE_TOTAL" FROM comprobantes', "comprobantes"),
+    "read_entities": q("SELECT entity_type, company_name, line_no, part_no FROM raw_statements WHERE entity_type = 'Casa de Valores '", "raw_statements"),
     "clean_number": q(f"SELECT value AS raw_value, {NUM} AS value, count(*) AS n FROM raw_statements GROUP BY 1, 2", "raw_statements"),
     "clean_date": q(f"SELECT date AS raw_date, {DATE} AS date, count(*) AS n FROM raw_statements GROUP BY 1, 2", "raw_statements"),
     "clean_statements": q(f"SELECT {COLS} FROM good {PICK.format(UP)}", "raw_statements", CLEAN, GOOD),
@@ -93,6 +98,7 @@ INGEST = {
     "notice_text": q("""SELECT id, 'Nómina – enero 2024 | Empresa Demo' AS asunto, 'Estimado/a ' || nombres || ' ' || apellidos || ', adjuntamos tu documento del período enero 2024. Empresa Demo' AS cuerpo
         FROM empleados""", "empleados"),
 }
+INGEST["read_mixed_statements"] = INGEST["read_statements"]
 
 AGE = f"""
 aged AS (SELECT *, CASE WHEN saldo_pendiente = 0 THEN 'Pagada' WHEN coalesce(dias_vencido, 0) = 0 THEN 'Vigente'

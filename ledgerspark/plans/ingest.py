@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -117,6 +119,15 @@ def run_metrics(raw: DataFrame) -> DataFrame:
     return total.withColumn("rows_discarded", F.col("rows_read") - F.col("rows_loaded"))
 
 
+def timed_load(raw: DataFrame, path: str, batch: int, keep: str = "first", order: list[str] = FILE_ORDER) -> dict[str, float]:
+    """Clean, store as one batch and report rows read, loaded and discarded with the elapsed seconds, from one pass."""
+    spark, start, seen = raw.sparkSession, time.perf_counter(), Observation("timed_load")
+    append_batch(clean_statements(raw, order, keep, observation=seen), path, batch)
+    loaded = spark.read.parquet(f"{path.rstrip('/')}/batch={batch}").count()
+    read = seen.get["rows_read"]
+    return {"rows_read": read, "rows_loaded": loaded, "rows_discarded": read - loaded, "seconds": time.perf_counter() - start}
+
+
 def roster_import(rows: DataFrame, existing: DataFrame, groups: DataFrame, default_group: int | None = None) -> DataFrame:
     """Outcome of every non-blank roster row: inserted, omitted (known or repeated id) or error with its text.
 

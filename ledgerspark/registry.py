@@ -36,6 +36,7 @@ from ledgerspark.plans import (
 from ledgerspark.plans import star as st
 from ledgerspark.session import shared_folder, text_once
 from ledgerspark.sources.adapters import AS_OF, PAY_MONTH, PAY_YEAR, load
+from ledgerspark.sources import files
 from ledgerspark.sources.files import STATEMENT_COLUMNS, read_statements
 from ledgerspark.sources.tables import statements, table
 from ledgerspark.streaming import sales as live
@@ -270,8 +271,54 @@ def _valid_purchases(df: DataFrame) -> DataFrame:
     return tax.validate(df).filter("valido")
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-files/{name}-{uuid.uuid4().hex[:8]}"
+
+
+def _mixed_folder(spark: SparkSession, sf: str) -> str:
+    """Statement files of two separators below one folder: first loads by tab, second loads by semicolon."""
+    folder = _folder(spark, "mixed")
+    for batch, mark in ((1, "\t"), (2, ";")):
+        rows = load(spark, sf, "raw_statements").filter(F.col("batch_seq") == batch)
+        rows.select(F.concat_ws(mark, *(F.coalesce(c, F.lit("")) for c in STATEMENT_COLUMNS)).alias("value")).write.text(f"{folder}/{batch}")
+    return f"{folder}/*"
+
+
+def _read_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    rows = files.read_mixed_statements(spark, _mixed_folder(spark, sf))
+    return rows.groupBy(*STATEMENT_COLUMNS).agg(F.count(F.lit(1)).alias("copies"))
+
+
+def _file_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return files.file_profile(spark, _mixed_folder(spark, sf)).select("encoding", "separator", "fields").distinct()
+
+
+def _read_table(spark: SparkSession, sf: str) -> DataFrame:
+    folder = _folder(spark, "csv")
+    files.export_csv(load(spark, sf, "facturas").select("id_factura", "id_cliente", "fecha_emision", "estado"), folder)
+    return files.read_table(spark, folder, dates=("fecha_emision",))
+
+
+def _read_portal(spark: SparkSession, sf: str) -> DataFrame:
+    folder = _folder(spark, "portal")
+    rows = load(spark, sf, "comprobantes").select(F.col("ruc_emisor").alias(" ruc emisor"), "clave_acceso", "importe_total")
+    rows.write.option("header", True).option("sep", ";").option("ignoreLeadingWhiteSpace", False).csv(folder)
+    return files.read_portal_table(spark, folder)
+
+
+def _read_entities(spark: SparkSession, sf: str) -> DataFrame:
+    folder = _folder(spark, "parquet")
+    files.export_parquet(load(spark, sf, "raw_statements").select("entity_type", "company_name", "line_no", "part_no"), folder)
+    return files.read_entities(spark, folder, ["Casa de Valores "])
+
+
 JOBS: dict[str, Query] = {
     "read_statements": _read_statements,
+    "read_mixed_statements": _read_mixed,
+    "file_profile": _file_profile,
+    "read_table": _read_table,
+    "read_portal_table": _read_portal,
+    "read_entities": _read_entities,
     "clean_number": _on(lambda raw: _distinct_counts(raw, "value", cleaning.clean_number), "raw_statements"),
     "clean_date": _on(lambda raw: _distinct_counts(raw, "date", cleaning.clean_date), "raw_statements"),
     "clean_statements": _on(lambda raw: _clean(raw, "first"), "raw_statements"),

@@ -137,6 +137,26 @@ def read_portal_table(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"no separator found in {path}")
 
 
+# The columns of an uploaded roster.
+ROSTER_REQUIRED = ("cedula", "nombre", "apellido")
+ROSTER_OPTIONAL = ("email", "grupo_id", "departamento", "cargo")
+
+
+def read_roster(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
+    """Roster lines as text with their line number ``fila``: names in lower case, missing optional columns null.
+
+    Raises an error that names the required columns the header does not have.
+    """
+    df = read_table(spark, path, separator)
+    df = df.toDF(*[c.lower() for c in df.columns])
+    missing = [c for c in ROSTER_REQUIRED if c not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    columns = [F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in ROSTER_REQUIRED + ROSTER_OPTIONAL]
+    # the header is line 1; numbers grow with the lines and are gapless within a split
+    return df.select((F.monotonically_increasing_id() + 2).alias("fila"), *columns)
+
+
 def read_entities(spark: SparkSession, path: str, entity_types: list[str]) -> DataFrame:
     """Parquet statements of some entity types; the filter reaches the scan."""
     return spark.read.parquet(path).filter(F.col("entity_type").isin(*entity_types))

@@ -159,3 +159,27 @@ def test_roster(spark):
     assert tuple(ingest.roster_counts(out).first()) == (2, 2, 1)
     message = out.filter("fila = 3").first().mensaje
     assert message == "Fila 3: cedula, nombre y apellido son obligatorios."
+
+
+def test_roster_header(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("Cedula,NOMBRE,apellido,Email\n01,Ana,Paz,a@b.ec\n02,Eva,Gil,\n")
+    rows = files.read_roster(spark, str(tmp_path / "r.csv")).collect()
+    assert [(r.fila, r.cedula, r.email, r.cargo) for r in rows] == [(2, "01", "a@b.ec", None), (3, "02", None, None)]
+    (tmp_path / "bad.csv").write_text("cedula,correo\n01,x\n")
+    with pytest.raises(ValueError, match="nombre, apellido"):
+        files.read_roster(spark, str(tmp_path / "bad.csv"))
+
+
+def test_timed_load(spark, tmp_path):
+    raw = files.read_statements(spark, write(tmp_path / "a.tsv", LINES + LINES[:1]))
+    seen = ingest.timed_load(raw, str(tmp_path / "log"), 1)
+    assert (seen["rows_read"], seen["rows_loaded"], seen["rows_discarded"]) == (7, 6, 1) and seen["seconds"] > 0
+
+
+def test_visibility_by_role(spark):
+    rows = spark.createDataFrame([(1, 10), (2, 20), (3, None)], "id int, grupo_id int")
+    given = spark.createDataFrame([(7, 10), (7, 10), (8, 30)], "usuario int, grupo_id int")
+    ids = lambda df: sorted(r.id for r in df.collect())
+    assert ids(ingest.visible_rows(rows, given, 7)) == [1]
+    assert ids(ingest.visible_rows(rows, given, 9)) == []
+    assert ids(ingest.visible_rows(rows, given, 9, supervisor=True)) == [1, 2, 3]

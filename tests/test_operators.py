@@ -156,6 +156,6 @@ def test_ladder_of_narrow_tied_and_odd_values(spark, monkeypatch):
     known = [repr(v) for v in order]
     want = {("g", x): (known.count(x), known.index(x), len(known)) for x in set(known)} | {(None, "5.0"): (2, 0, 2)}
     assert got == want
-    rows = df.filter("g = 'g' and v is not null").select("g", F.col("v").alias("_v"), ladder_module._bucket(F.col("v")).alias("_b"))
-    sizes = [x["count"] for x in ladder_module._parted(rows.filter("_v <> 1000.1"), ["g"]).groupBy("_b", "_s").count().collect()]
+    rows = df.filter("g = 'g' and v is not null").select("g", F.col("v").alias("_axis"), ladder_module._bucket(F.col("v")).alias("_b"))
+    sizes = [x["count"] for x in ladder_module._parted(rows.filter("_axis <> 1000.1"), ["g"]).groupBy("_b", "_s").count().collect()]
     assert max(sizes) < 100
