@@ -27,7 +27,7 @@ HEADLINE = (
 def main() -> None:
     from ledgerspark.plans.star import star
     from ledgerspark.registry import QUERIES
-    from ledgerspark.session import build_session
+    from ledgerspark.session import build_session, release
     from ledgerspark.sources.adapters import TABLES, load
     from ledgerspark.sources.tables import statements
 
@@ -57,6 +57,7 @@ def main() -> None:
     for name in names:
         times[name] = timed(lambda: QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save())
         print(f"{name} {times[name]}", file=sys.stderr, flush=True)
+    release(spark)
     sf = folder.rstrip("/").rsplit("sf", 1)[-1]
     print(json.dumps({"metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": sf}))
 

@@ -1,6 +1,6 @@
 import pytest
 
-from ledgerspark.session import build_session
+from ledgerspark.session import build_session, release
 
 
 @pytest.fixture(scope="session")
@@ -12,4 +12,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
     session.stop()
