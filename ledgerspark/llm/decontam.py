@@ -1,7 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Terms (lower-cased runs of letters and digits) fall into FEATURES columns by hash. Three passes over all texts:
-1. in how many passages of WINDOW words each column occurs (inverse document frequencies);
+1. in how many passages of WINDOW words each column occurs (inverse document frequencies, squared: with them as they are the
+   words that all texts share fill the latent space);
 2. the randomised range finder B = A'A R over the TF-IDF rows A of all passages of the corpus and, with equal total weight, of
    the benchmark; every task sums its own share of B, the shares are added slice by slice, and an orthonormal basis of B's
    columns spans the latent space;
@@ -33,9 +34,9 @@ from ledgerspark.llm.words import Words, slices
 FEATURES = 1 << 15
 RANK = 64
 WINDOW = 64
-STEP = 16
+STEP = 32
 MARGIN = 48
-MIN_COSINE = 0.5
+MIN_COSINE = 0.65
 MIN_COMMON = 0.7
 MIN_ANSWER = 0.6
 MIN_ITEM = 5
@@ -52,17 +53,10 @@ for _a, _b in ((48, 58), (97, 123)):
 class Terms(Words):
     """Lower-cased runs of ASCII letters and digits and of characters beyond ASCII."""
 
+    member = _TERM
+
     def __init__(self, column: pa.Array):
         super().__init__(column, lower=True)
-        inside = _TERM[self.data]
-        edge = np.zeros(len(self.data) + 1, dtype=bool)
-        edge[self.offsets] = True
-        begin, finish = inside.copy(), inside.copy()
-        begin[1:] &= ~inside[:-1] | edge[1:-1]
-        finish[:-1] &= ~inside[1:] | edge[1:-1]
-        self.starts, self.ends = np.flatnonzero(begin), np.flatnonzero(finish) + 1
-        self.first = np.searchsorted(self.starts, self.offsets)
-        self.counts = np.diff(self.first)
 
     def columns(self) -> tuple[np.ndarray, np.ndarray]:
         """Hash of each term and its column."""
@@ -140,12 +134,13 @@ def _project(column: np.ndarray, basis: np.ndarray, starts: np.ndarray) -> np.nd
 def _range(column: np.ndarray, starts: np.ndarray, weighted: np.ndarray, idf: np.ndarray, into: np.ndarray) -> None:
     """Add A'(A R) of some passages to ``into``: weighted holds the rows of R times idf."""
     x = _project(column, weighted, starts)
-    passage = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(column)]))
+    order = np.argsort(column.astype(np.uint16), kind="stable")
+    passage = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(column)]))[order]
+    ordered = column[order]
     for a in range(0, len(column), _RUN):
-        order = np.argsort(column[a : a + _RUN], kind="stable")
-        own = column[a : a + _RUN][order]
+        own = ordered[a : a + _RUN]
         begin = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        sums = np.add.reduceat(x[passage[a : a + _RUN][order]], begin, axis=0)
+        sums = np.add.reduceat(x[passage[a : a + _RUN]], begin, axis=0)
         into[own[begin]] += sums * idf[own[begin], None]
 
 
@@ -264,7 +259,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("item_id is not null and text is not null")
     seen, passages = _frequencies(docs)
-    idf = np.log((1.0 + passages) / (1.0 + seen)).astype(np.float32)
+    idf = (np.log((1.0 + passages) / (1.0 + seen)) ** 2).astype(np.float32)
     last, out = None, spark.createDataFrame([], RESULT)
     while True:
         some = items if last is None else items.filter(F.col("item_id") > last)
