@@ -35,8 +35,8 @@ FEATURES = 1 << 15
 RANK = 64
 WINDOW = 64
 STEP = 32
-MARGIN = 48
-MIN_COSINE = 0.65
+MARGIN = 64
+MIN_COSINE = 0.55
 MIN_COMMON = 0.7
 MIN_ANSWER = 0.6
 MIN_ITEM = 5
