@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ RANK = 64
 WINDOW = 64
 STEP = 32
 MARGIN = 64
-MIN_COSINE = 0.55
+MIN_COSINE = 0.6
 MIN_COMMON = 0.7
 MIN_ANSWER = 0.6
 MIN_ITEM = 5
@@ -51,12 +52,12 @@ for _a, _b in ((48, 58), (97, 123)):
 
 
 class Terms(Words):
-    """Lower-cased runs of ASCII letters and digits and of characters beyond ASCII."""
+    """Lower-cased runs of ASCII letters and digits and of characters beyond ASCII; all letters are lower-cased."""
 
     member = _TERM
 
     def __init__(self, column: pa.Array):
-        super().__init__(column, lower=True)
+        super().__init__(pc.utf8_lower(column.cast(pa.large_string())))
 
     def columns(self) -> tuple[np.ndarray, np.ndarray]:
         """Hash of each term and its column."""
