@@ -26,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.scratch import numbered
 from ledgerspark.llm.words import Words, slices
 
 FEATURES = 1 << 15
@@ -37,7 +37,7 @@ RANK = 64
 WINDOW = 64
 STEP = 32
 MARGIN = 64
-MIN_COSINE = 0.6
+MIN_COSINE = 0.4
 MIN_COMMON = 0.7
 MIN_ANSWER = 0.6
 MIN_ITEM = 5
@@ -203,7 +203,11 @@ class Items:
             vectors[i] = (basis[columns] * idf[columns, None]).sum(axis=0)
             rarest = np.argsort(-idf[columns], kind="stable")[: max(1, len(columns) // 4)]
             answers.append({terms[k] for k in rarest.tolist()})
-        return {"ids": self.ids, "terms": self.terms, "answers": answers, "vectors": vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)}
+        owner = np.repeat(np.arange(len(answers)), [len(a) for a in answers])
+        term = np.array([t for a in answers for t in a], dtype=np.uint64)
+        order = np.argsort(term, kind="stable")
+        need = np.ceil(MIN_ANSWER * np.array([len(a) for a in answers]) - 1e-9)
+        return {"asked": (term[order], owner[order], need), "ids": self.ids, "terms": self.terms, "answers": answers, "vectors": vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)}
 
 
 RESULT = "doc_id long, item_id long, first_word long, cosine double, common double, answer double"
@@ -224,6 +228,28 @@ def _windows(terms: Terms, chunk_sums: np.ndarray, before: np.ndarray) -> tuple[
     return rows, text, terms.first[text] + inside * STEP
 
 
+def _answered(terms: Terms, hashes: np.ndarray, text: np.ndarray, asked: tuple) -> np.ndarray:
+    """Numbers window * items + item of the pairs whose window, with its margins, holds enough of the item's answer."""
+    term, owner, need = asked
+    begin, stop = np.searchsorted(term, hashes, side="left"), np.searchsorted(term, hashes, side="right")
+    word = np.flatnonzero(stop > begin)
+    n_windows = np.bincount(text, minlength=len(terms.counts))
+    first = np.r_[0, np.cumsum(n_windows)]
+    of = np.searchsorted(terms.first, word, side="right") - 1
+    inside = word - terms.first[of]
+    pairs = [np.zeros(0, np.int64)]
+    for back in range((WINDOW + 2 * MARGIN) // STEP + 1):
+        k = (inside + MARGIN) // STEP - back  # windows that may reach the word, from the last on
+        ok = (k >= 0) & (k < n_windows[of]) & (inside >= k * STEP - MARGIN) & (inside < k * STEP + WINDOW + MARGIN)
+        pairs.append((first[of[ok]] + k[ok]) * len(term) + begin[word[ok]])
+    pairs = np.unique(np.concatenate(pairs))
+    window, at = pairs // len(term), pairs % len(term)
+    size = np.searchsorted(term, term[at], side="right") - at
+    item = owner[np.repeat(at, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
+    found, counts = np.unique(np.repeat(window, size) * len(need) + item, return_counts=True)
+    return found[counts >= need[found % len(need)]]
+
+
 def _confirmed(piece: pa.RecordBatch, items: dict, weighted: np.ndarray) -> pa.RecordBatch:
     terms = Terms(piece.column("text"))
     starts, before = terms.chunks(STEP)
@@ -231,9 +257,12 @@ def _confirmed(piece: pa.RecordBatch, items: dict, weighted: np.ndarray) -> pa.R
     if len(starts) and items["ids"]:
         hashes, column = terms.columns()
         rows, text, first = _windows(terms, _project(column, weighted, starts), before)
+        answered, n = _answered(terms, hashes, text, items["asked"]), len(items["ids"])
         for a in range(0, len(rows), 4096):
             cosine = rows[a : a + 4096] @ items["vectors"].T
-            for w, i in zip(*(x.tolist() for x in np.nonzero(cosine >= MIN_COSINE))):
+            near = np.flatnonzero(cosine >= MIN_COSINE)
+            near = near[np.isin(near + a * n, answered)]
+            for w, i in zip((near // n).tolist(), (near % n).tolist()):
                 t, at = int(text[a + w]), int(first[a + w])
                 begin, stop = max(int(terms.first[t]), at - MARGIN), min(int(terms.first[t + 1]), at + WINDOW + MARGIN)
                 around = hashes[begin:stop].tolist()
@@ -254,25 +283,33 @@ def _confirmed(piece: pa.RecordBatch, items: dict, weighted: np.ndarray) -> pa.R
     return pa.RecordBatch.from_pylist(out, schema=_RESULT)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``doc_id, item_id, first_word, cosine, common, answer`` of the items that rows of ``docs`` hold."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+def _blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[Broadcast]:
+    """The benchmark's blocks, ready for the search over all rows of ``docs``."""
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("item_id is not null and text is not null")
+    if items.isEmpty():
+        return
+    docs = docs.select(F.col("text").cast("string"))
     seen, passages = _frequencies(docs)
     idf = (np.log((1.0 + passages) / (1.0 + seen)) ** 2).astype(np.float32)
-    last, out = None, spark.createDataFrame([], RESULT)
+    last = None
     while True:
         some = items if last is None else items.filter(F.col("item_id") > last)
         rows = [(r.item_id, r.text) for r in some.orderBy("item_id").limit(BLOCK).collect()]
         if not rows:
-            return out
+            return
         last = rows[-1][0]
         if len(rows) == BLOCK:  # items that share the last id belong to this block
             rows = [x for x in rows if x[0] != last] + [(r.item_id, r.text) for r in items.filter(F.col("item_id") == last).collect()]
         block = Items(rows)
         basis = latent_basis(docs, block.columns, idf, passages)
-        ready = spark.sparkContext.broadcast((block.ready(idf, basis), basis * idf[:, None]))
+        yield docs.sparkSession.sparkContext.broadcast((block.ready(idf, basis), basis * idf[:, None]))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``doc_id, item_id, first_word, cosine, common, answer`` of the items that rows of ``docs`` hold."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    out = docs.sparkSession.createDataFrame([], RESULT)
+    for ready in _blocks(docs, benchmark):
 
         def search(batches: Iterator[pa.RecordBatch], ready=ready) -> Iterator[pa.RecordBatch]:
             found, weighted = ready.value
@@ -281,10 +318,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     yield _confirmed(piece, found, weighted)
 
         out = out.union(docs.mapInArrow(search, RESULT))
+    return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item; rows with a null doc_id are judged by their text like all others."""
-    rows = numbered(docs)
-    held = leaks(rows.select(F.col("_row").alias("doc_id"), F.col("_rest.text").alias("text")), benchmark).select(F.col("doc_id").alias("_row")).distinct()
-    return rows.join(held, "_row", "left_anti").select("_rest.*")
+    """The rows of ``docs`` that hold no benchmark item, with the columns they came with; each row is judged by its text."""
+    out = docs
+    for ready in _blocks(docs, benchmark):
+
+        def keep(batches: Iterator[pa.RecordBatch], ready=ready) -> Iterator[pa.RecordBatch]:
+            found, weighted = ready.value
+            for batch in batches:
+                for piece in slices(batch):
+                    rows = pa.RecordBatch.from_arrays([pa.array(range(piece.num_rows), pa.int64()), piece.column("text")], ["doc_id", "text"])
+                    held = set(_confirmed(rows, found, weighted).column("doc_id").to_pylist())
+                    yield piece.filter(pa.array([i not in held for i in range(piece.num_rows)], pa.bool_()))
+
+        out = out.mapInArrow(keep, docs.schema)
+    return out
