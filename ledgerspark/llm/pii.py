@@ -175,8 +175,11 @@ def redact(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*(docs[c] for c in docs.columns)).alias("_rest"), F.col("text").cast("string"))
     rows = stored(_found(rows).select("_row", "_rest", "base", "seeds", "open"), "texts").withColumn("text", F.col("_rest.text").cast("string"))
     more = _discovered(rows, trusted_patterns(rows))
-    rows = rows.drop("seeds", "open").join(more, "_row", "left")
-    every = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,stop:int>>"))))
+    # only rows with open instances can have further spans: the others do not travel
+    none = F.array().cast("array<struct<start:int,kind:int,stop:int>>")
+    still = rows.filter(F.size("open") == 0).withColumn("more", none)
+    rows = still.unionByName(rows.filter(F.size("open") > 0).join(more, "_row", "left")).drop("seeds", "open")
+    every = F.array_sort(F.concat("base", F.coalesce("more", none)))
     names = F.array(*map(F.lit, KINDS))
 
     def step(acc: Column, s: Column) -> Column:
