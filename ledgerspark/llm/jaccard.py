@@ -35,8 +35,8 @@ from ledgerspark.llm.words import Words, mixed, slices, windows
 
 SIZE = 5
 PERCENT = 80
-ROUNDS = 4  # sortings in step 2
-BACK = 4  # sets before it that a set is compared with
+ROUNDS = 5  # sortings in step 2
+BACK = 16  # sets before it that a set is compared with
 COMMON = 16  # shingles in more sets than this come last in the order
 FRAGMENTS = 8
 BITMAP_BITS = 1024
