@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are worked on in slices of about so many bytes, so a task's memory does not follow the batch (one text is never cut).
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 5  # 5 modulo 8: its powers have the longest period modulo 2**64
@@ -81,11 +81,14 @@ class Words:
     ``first[i] : first[i + 1]`` are the words of text i; ``starts`` and ``ends`` are byte positions in ``data``.
     """
 
+    #: Bytes that words consist of.
+    member = ~_SPACE
+
     def __init__(self, column: pa.Array, lower: bool = False):
         self.data, self.offsets = text_bytes(column)
         if lower:
             self.data = LOWER[self.data]
-        inside = ~_SPACE[self.data]
+        inside = self.member[self.data]
         edge = self.edges(inside)
         edge[self.offsets] = True
         begin, finish = inside.copy(), inside.copy()
