@@ -215,6 +215,64 @@ WIDTH = 4
 RESULT = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
+def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each wanted key is among the sorted keys, and its value or 0."""
+    if not len(keys):
+        return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    hit = keys[at] == wanted
+    return hit, np.where(hit, values[at], 0)
+
+
+class _Asked:
+    """Rows of a task with what is known of them, and the words whose counts they still need."""
+
+    def __init__(self, n_parts: int, bucket_of):
+        self.n_parts, self.bucket_of = n_parts, bucket_of
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids, self.marks, self.values, self.key, self.row, self.times = ([] for _ in range(6))
+        self.rows = self.pairs = 0
+
+    def add(self, ids, marks, values, key, row, times) -> None:
+        for name, x in (("ids", ids), ("marks", marks), ("values", values), ("key", key), ("row", row + self.rows), ("times", times.astype(np.int32))):
+            getattr(self, name).append(x)
+        self.rows += len(ids)
+        self.pairs += len(key)
+
+    def sent(self) -> Iterator[pa.RecordBatch]:
+        if not self.rows:
+            return
+        ids, marks, values, key, row, times = (np.concatenate(x) for x in (self.ids, self.marks, self.values, self.key, self.row, self.times))
+        for p in packed(self.bucket_of(ids, marks), self.n_parts, {"ids": ids, "marks": marks, "values": values}):
+            yield pa.RecordBatch.from_pylist([{**p, "kind": b"row"}], schema=_SENT)
+        for p in packed(part_of(key, self.n_parts), self.n_parts, {"key": key, "row": row, "times": times}):
+            used, place = np.unique(np.frombuffer(p["row"], dtype=np.int64), return_inverse=True)
+            p = {**p, "kind": b"ask", "row": place.astype(np.uint32).tobytes(), "ids": ids[used].tobytes(), "marks": marks[used].tobytes()}
+            yield pa.RecordBatch.from_pylist([p], schema=_SENT)
+
+
+class _Replies:
+    """Answers of a task, kept until they are many."""
+
+    def __init__(self):
+        self.ids, self.marks, self.values, self.rows = [], [], [], 0
+
+    def add(self, ids, marks, values) -> None:
+        self.ids.append(ids)
+        self.marks.append(marks)
+        self.values.append(values)
+        self.rows += len(ids)
+
+    def sent(self, n_parts: int, bucket_of) -> Iterator[pa.RecordBatch]:
+        if self.rows:
+            ids, marks, values = (np.concatenate(x) for x in (self.ids, self.marks, self.values))
+            for p in packed(bucket_of(ids, marks), n_parts, {"ids": ids, "marks": marks, "values": values}):
+                yield pa.RecordBatch.from_pylist([{"bucket": p.pop("part"), "whole": False, **p}], schema=_BACK)
+        self.__init__()
+
+
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """``doc_id, n_tokens, n_known, base_score, score`` for each row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
@@ -227,7 +285,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         return (mixed(ids.astype(np.uint64) ^ mixed(marks.astype(np.uint64))) % np.uint64(n_parts)).astype(np.int64)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known = shared.value, {}
+        m, known, held = shared.value, {}, _Asked(n_parts, bucket_of)
         heavy, heavy_count = m["heavy"]
         for batch in batches:
             for piece in slices(batch):
@@ -246,27 +304,23 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 values = np.zeros((n, WIDTH))
                 values[:, 3] = (np.bincount(owner, weights=log[codes], minlength=n) + m["end_log"]) / LOG10
                 values[:, 2] = words.counts + 1
-                at = np.minimum(np.searchsorted(heavy, unique), max(0, len(heavy) - 1))
-                hit = heavy[at] == unique if len(heavy) else np.zeros(len(unique), bool)
-                part_log = np.where(hit, np.log10(np.where(hit, heavy_count[at] if len(heavy) else 0, 0) + 1.0) - divisor, 0.0)
+                hit, count = _looked_up(heavy, heavy_count, unique)
+                part_log = np.where(hit, np.log10(count + 1.0) - divisor, 0.0)
                 values[:, 0] = np.bincount(owner, weights=part_log[codes], minlength=n) + math.log10(m["ends"] + 1) - divisor
                 values[:, 1] = np.bincount(owner, weights=hit[codes], minlength=n) + (m["ends"] > 0)
-                ids = piece.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
-                marks = piece.column("mark").to_numpy(zero_copy_only=False)
-                for p in packed(bucket_of(ids, marks), n_parts, {"ids": ids, "marks": marks, "values": values}):
-                    yield pa.RecordBatch.from_pylist([{**p, "kind": b"row"}], schema=_SENT)
                 rare = np.flatnonzero(~hit[codes])
-                pair, times = np.unique(owner[rare] * len(unique) + codes[rare], return_counts=True) if len(rare) else (rare, rare)
-                row, key = pair // max(1, len(unique)), unique[pair % max(1, len(unique))]
-                for p in packed(part_of(key, n_parts), n_parts, {"key": key, "row": row, "times": times.astype(np.int32)}):
-                    used, place = np.unique(np.frombuffer(p["row"], dtype=np.int64), return_inverse=True)
-                    yield pa.RecordBatch.from_pylist(
-                        [{**p, "kind": b"ask", "row": place.astype(np.uint32).tobytes(), "ids": ids[used].tobytes(), "marks": marks[used].tobytes()}], schema=_SENT
-                    )
+                width = max(1, len(unique))
+                pair, times = np.unique(owner[rare] * width + codes[rare], return_counts=True)
+                ids = piece.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
+                held.add(ids, piece.column("mark").to_numpy(zero_copy_only=False), values, unique[pair % width], pair // width, times)
+                if held.pairs >= FLUSH:
+                    yield from held.sent()
+                    held.clear()
+        yield from held.sent()
 
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows come sorted by part with the counts first: the questions are answered as they stream by
-        part, key, count = -1, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        part, key, count, replies = -1, np.zeros(0, np.uint64), np.zeros(0, np.int64), _Replies()
         for batch in batches:
             for row in batch.to_pylist():
                 if row["kind"] == b"row":
@@ -281,15 +335,15 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                     continue
                 asked, times = np.frombuffer(row["key"], dtype=np.uint64), np.frombuffer(row["times"], dtype=np.int32)
                 of = np.frombuffer(row["row"], dtype=np.uint32)
-                at = np.minimum(np.searchsorted(key, asked), max(0, len(key) - 1))
-                hit = key[at] == asked if len(key) else np.zeros(len(asked), bool)
-                c = np.where(hit, count[at] if len(key) else 0, 0)
+                hit, c = _looked_up(key, count, asked)
                 ids, marks = (np.frombuffer(row[x], dtype=np.int64) for x in ("ids", "marks"))
                 values = np.zeros((len(ids), WIDTH))
                 values[:, 0] = np.bincount(of, weights=(np.log10(c + 1.0) - divisor) * times, minlength=len(ids))
                 values[:, 1] = np.bincount(of, weights=hit * times, minlength=len(ids))
-                for p in packed(bucket_of(ids, marks), n_parts, {"ids": ids, "marks": marks, "values": values}):
-                    yield pa.RecordBatch.from_pylist([{"bucket": p.pop("part"), "whole": False, **p}], schema=_BACK)
+                replies.add(ids, marks, values)
+                if replies.rows >= FLUSH:
+                    yield from replies.sent(n_parts, bucket_of)
+        yield from replies.sent(n_parts, bucket_of)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, marks, values, whole = [], [], [], []
