@@ -3,7 +3,8 @@
 Anchors. Of every LENGTH bytes the least hash of GRAM bytes marks an anchor (winnowing), so equal strings of LENGTH bytes hold
 the same anchor at the same place. A merged sketch over anchor hashes leaves those that may occur twice; each of these is sent
 to its hash's part with the bytes around it, at most LENGTH - GRAM before and LENGTH after, which is all that a string of
-LENGTH bytes holding the anchor can touch. A task sends equal contexts once.
+LENGTH bytes holding the anchor can touch. A task sends equal contexts once, and
+compressed: most of them overlap nothing that travels with them.
 
 Intervals. In a part the suffixes that begin at the anchors are sorted (a sparse suffix array) and a stack over their common
 prefixes gives the LCP intervals. Inside an interval the bytes before the anchors are sorted backwards in the same way:
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ from ledgerspark.llm.scratch import parts
 from ledgerspark.llm.words import _byte_values, _powers, mixed, slices, text_bytes
 
 LENGTH = 400
-GRAM = 100
+GRAM = 64
 LEFT = LENGTH - GRAM
 FLUSH_BYTES = 48_000_000  # context bytes that a task holds before it sends them
 NO_ID = np.iinfo(np.int64).max
@@ -95,8 +97,8 @@ def _name(text: bytes) -> int:
 class _Held:
     """Anchors of a task that may repeat, with their contexts; equal contexts are kept once."""
 
-    def __init__(self, n_parts: int):
-        self.n_parts = n_parts
+    def __init__(self, n_parts: int, named: bool):
+        self.n_parts, self.named = n_parts, named
         self.clear()
 
     def clear(self) -> None:
@@ -130,7 +132,7 @@ class _Held:
         rows, groups = [], []
         for g, ((key, left, text), members) in enumerate(self.context.items()):
             if len(members) > 1 and len(text) >= LENGTH:
-                group = _name(text)
+                group = _name(text) if self.named else 0
                 rows += [(i, m, p - left, p - left + len(text), group) for i, m, p in members]
         if rows:
             found = np.array(rows, dtype=np.int64)
@@ -142,10 +144,10 @@ class _Held:
         right = np.array([len(n[2]) - n[1] for n in names], dtype=np.int32)
         first = np.array([x[0] for x in self.context.values()], dtype=np.int64)
         open_ = np.array([len(x) == 1 for x in self.context.values()], dtype=np.uint8)
-        index = np.arange(len(names))
+        index, squeeze = np.arange(len(names)), zstandard.ZstdCompressor(level=7)
         for p in packed(part_of(key, self.n_parts), self.n_parts, {"key": key, "left": left, "right": right, "open": open_, "place": first[:, 2], "ids": first[:, 0], "marks": first[:, 1], "row": index}):
             at = np.frombuffer(p.pop("row"), dtype=np.int64).tolist()
-            yield pa.RecordBatch.from_pylist([{**p, "text": b"".join(names[i][2] for i in at)}], schema=_SENT)
+            yield pa.RecordBatch.from_pylist([{**p, "text": squeeze.compress(b"".join(names[i][2] for i in at))}], schema=_SENT)
 
 
 def _shared(a: list[bytes], b: list[bytes], most: int) -> np.ndarray:
@@ -189,10 +191,11 @@ def _group_spans(rights: list[bytes], lefts: list[bytes], common: list[int]) ->
                 yield i, own, after
 
 
-def _part_spans(rows: list[dict], n_parts: int) -> Iterator[pa.RecordBatch]:
+def _part_spans(rows: list[dict], n_parts: int, named: bool) -> Iterator[pa.RecordBatch]:
     kinds = {"key": np.uint64, "left": np.int32, "right": np.int32, "open": np.uint8, "place": np.int64, "ids": np.int64, "marks": np.int64}
     col = {c: np.concatenate([np.frombuffer(r[c], dtype=t) for r in rows]) for c, t in kinds.items()}
-    raw = b"".join(r["text"] for r in rows)
+    expand = zstandard.ZstdDecompressor()
+    raw = b"".join(expand.decompress(r["text"]) for r in rows)
     stop = np.cumsum(col["left"].astype(np.int64) + col["right"])
     start = stop - col["left"] - col["right"]
     middle = start + col["left"]
@@ -226,22 +229,32 @@ def _part_spans(rows: list[dict], n_parts: int) -> Iterator[pa.RecordBatch]:
     if not found:
         return
     row, before, after = np.array(found, dtype=np.int64).T
+    if not named:
+        # all spans of an anchor hold it, so together they are one
+        row, at = np.unique(row, return_inverse=True)
+        most = np.zeros((2, len(row)), dtype=np.int64)
+        np.maximum.at(most[0], at, before)
+        np.maximum.at(most[1], at, after)
+        before, after = most
     place = col["place"][row]
-    name = np.array([_name(raw[a:b]) for a, b in zip((middle[row] - before).tolist(), (middle[row] + after).tolist())], dtype=np.int64)
+    name = np.zeros(len(row), dtype=np.int64) if not named else np.array([_name(raw[a:b]) for a, b in zip((middle[row] - before).tolist(), (middle[row] + after).tolist())], dtype=np.int64)
     spans = np.stack([place - before, place + after, name], axis=1)
     for p in _by_bucket(col["ids"][row], col["marks"][row], spans, n_parts):
         yield pa.RecordBatch.from_pylist([p], schema=_FOUND)
 
 
-def repeat_spans(docs: DataFrame) -> DataFrame:
-    """Repeated spans with their groups, in binary rows by bucket (``_bucket``) of the documents."""
+def repeat_spans(docs: DataFrame, named: bool = True) -> DataFrame:
+    """Repeated spans with their groups, in binary rows by bucket (``_bucket``) of the documents.
+
+    Without names, the spans of one anchor come as the one that they cover together.
+    """
     spark = docs.sparkSession
     n_parts = parts(spark)
     bits = sketch.cells_for(docs, (LENGTH - GRAM) / 2)
     plane = spark.sparkContext.broadcast(sketch.repeated(docs.select("text"), _keys, bits))
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Held(n_parts)
+        held = _Held(n_parts, named)
         for batch in batches:
             for piece in slices(batch):
                 held.add(piece, plane.value, bits)
@@ -259,7 +272,7 @@ def repeat_spans(docs: DataFrame) -> DataFrame:
                 else:
                     by_part.setdefault(row["part"], []).append(row)
         while by_part:
-            yield from _part_spans(by_part.popitem()[1], n_parts)
+            yield from _part_spans(by_part.popitem()[1], n_parts, named)
 
     rows = docs.select("doc_id", "text", mark()).mapInArrow(sent, _SENT_SQL)
     return rows.repartition(n_parts, "part").mapInArrow(found, _FOUND_SQL)
@@ -316,7 +329,7 @@ def removed(docs: DataFrame, with_text: bool = True) -> DataFrame:
         return pa.Table.from_pydict(out, schema=_RESULT)
 
     dealt = docs.select("doc_id", "text", mark()).mapInArrow(deal, "bucket int, doc_id long, text string, mark long")
-    return dealt.groupBy("bucket").cogroup(repeat_spans(docs).groupBy("bucket")).applyInArrow(kept, RESULT)
+    return dealt.groupBy("bucket").cogroup(repeat_spans(docs, named=False).groupBy("bucket")).applyInArrow(kept, RESULT)
 
 
 def _united(spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:

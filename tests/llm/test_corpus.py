@@ -94,7 +94,7 @@ def plain_repeats(rows, size):
     return out
 
 
-@pytest.mark.parametrize("size, gram", [(400, 100), (60, 20)])
+@pytest.mark.parametrize("size, gram", [(400, 64), (60, 20)])
 def test_byte_repeats(spark, odd, copies, empty, monkeypatch, size, gram):
     for name, value in (("LENGTH", size), ("GRAM", gram), ("LEFT", size - gram), ("FLUSH_BYTES", 20_000)):
         monkeypatch.setattr(repeats, name, value)
