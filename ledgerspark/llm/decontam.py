@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ledgerspark.llm.words import Words, slices
 
 FEATURES = 1 << 15
-RANK = 64
+RANK = 48
 WINDOW = 64
 STEP = 32
 MARGIN = 64
