@@ -6,10 +6,12 @@ Terms (lower-cased runs of letters and digits) fall into FEATURES columns by has
 2. the randomised range finder B = A'A R over the TF-IDF rows A of all passages of the corpus and, with equal total weight, of
    the benchmark; every task sums its own share of B, the shares are added slice by slice, and an orthonormal basis of B's
    columns spans the latent space;
-3. every window of WINDOW words, one each STEP words, is projected and compared with the projected benchmark items. Pairs whose
-   cosine reaches MIN_COSINE are candidates, and for these the longest common subsequence of item and window (with MARGIN words
-   on both sides) must hold MIN_COMMON of the item's words, and MIN_ANSWER of its answer: the quarter of its words that the
-   corpus has least often.
+3. every window of WINDOW words, one each STEP words, is projected and compared with the projected benchmark items. Windows
+   that hold (with MARGIN words on both sides) MIN_ANSWER of an item's answer, the quarter of its words that the corpus has least
+   often, are candidates, and for these the longest common subsequence of item and window, with the margins, must hold MIN_COMMON
+   of the item's words. Where the cosine does not reach MIN_COSINE the subsequence must lie close together, in a stretch of the
+   item's length divided by MIN_COMMON: an item that many rows hold has small weights and hardly a direction of its own, but its
+   words still stand there one after the other.
 
 The benchmark is the stated query set; it is taken in blocks of BLOCK items, each against all rows. Nothing else is collected
 but vectors of fixed size (FEATURES, and FEATURES x RANK for the basis).
@@ -184,6 +186,17 @@ def common_subsequence(item: list[int], text: list[int]) -> int:
     return len(item) - row.bit_count()
 
 
+def lies_close(item: list[int], text: list[int], least: int) -> bool:
+    """Whether ``least`` of the item's terms stand in order in a stretch of the item's length divided by MIN_COMMON."""
+    size = int(np.ceil(len(item) / MIN_COMMON))
+    if len(text) <= size:
+        return common_subsequence(item, text) >= least
+    own = set(item)
+    held = np.r_[0, np.cumsum([w in own for w in text])]
+    # a stretch may as well begin with one of the item's terms
+    return any(text[a] in own and held[min(a + size, len(text))] - held[a] >= least and common_subsequence(item, text[a : a + size]) >= least for a in range(len(text)))
+
+
 class Items:
     """A block of benchmark items as terms, and what the candidate search needs of them."""
 
@@ -258,23 +271,27 @@ def _confirmed(piece: pa.RecordBatch, items: dict, weighted: np.ndarray) -> pa.R
         hashes, column = terms.columns()
         rows, text, first = _windows(terms, _project(column, weighted, starts), before)
         answered, n = _answered(terms, hashes, text, items["asked"]), len(items["ids"])
-        for a in range(0, len(rows), 4096):
-            cosine = rows[a : a + 4096] @ items["vectors"].T
-            near = np.flatnonzero(cosine >= MIN_COSINE)
-            near = near[np.isin(near + a * n, answered)]
-            for w, i in zip((near // n).tolist(), (near % n).tolist()):
-                t, at = int(text[a + w]), int(first[a + w])
+        known, around, held_terms = -1, [], set()
+        window, of = answered // n, answered % n
+        cosines = np.concatenate([np.zeros(0, np.float32)] + [np.einsum("ij,ij->i", rows[window[a : a + _RUN]], items["vectors"][of[a : a + _RUN]]) for a in range(0, len(window), _RUN)])
+        for w, i, cosine in zip(window.tolist(), of.tolist(), cosines.tolist()):
+            t, at = int(text[w]), int(first[w])
+            if w != known:
                 begin, stop = max(int(terms.first[t]), at - MARGIN), min(int(terms.first[t + 1]), at + WINDOW + MARGIN)
-                around = hashes[begin:stop].tolist()
-                item, answer = items["terms"][i], items["answers"][i]
-                held = len(answer & set(around)) / len(answer)
-                if held < MIN_ANSWER:
-                    continue
-                common = common_subsequence(item, around) / len(item)
-                if common >= MIN_COMMON:
-                    found = (common, held, float(cosine[w, i]), -(at - int(terms.first[t])))
-                    if found > best.get((t, i), (0.0,)):
-                        best[t, i] = found
+                known, around = w, hashes[begin:stop].tolist()
+                held_terms = set(around)
+            item, answer = items["terms"][i], items["answers"][i]
+            least = int(np.ceil(MIN_COMMON * len(item) - 1e-9))
+            if sum(map(held_terms.__contains__, item)) < least:
+                continue
+            held = len(answer & held_terms) / len(answer)
+            if held < MIN_ANSWER:
+                continue
+            common = common_subsequence(item, around)
+            if common >= least and (cosine >= MIN_COSINE or lies_close(item, around, least)):
+                found = (common / len(item), held, cosine, -(at - int(terms.first[t])))
+                if found > best.get((t, i), (0.0,)):
+                    best[t, i] = found
     ids = piece.column("doc_id").to_pylist()
     out = [
         {"doc_id": ids[t], "item_id": items["ids"][i], "first_word": -at, "cosine": c, "common": common, "answer": held}

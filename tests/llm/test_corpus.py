@@ -256,6 +256,23 @@ def test_leaks_exact_and_changed(spark, odd):
     assert decontam.clean(odd_frame, bench).count() == len(rows)
 
 
+def test_leaks_of_an_item_that_many_rows_hold(spark):
+    rng = random.Random(22)
+    vocabulary = [f"t{k}" for k in range(900)]
+    weights = [1 / (k + 1) for k in range(900)]
+    draw = lambda n: rng.choices(vocabulary, weights, k=n)
+    items = [[f"q{k}x{j}" for j in range(5)] + draw(10) for k in range(5)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    for share, longest in ((3, 60), (1, 400)):
+        docs, truth = [draw(rng.randrange(5, longest)) for _ in range(300)], set()
+        for d in range(0, 300, share):
+            at = rng.randrange(len(docs[d]) + 1)
+            docs[d] = docs[d][:at] + items[0] + docs[d][at:]
+            truth.add((d, 0))
+        frame = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], "doc_id long, text string").repartition(3)
+        assert {(r.doc_id, r.item_id) for r in decontam.leaks(frame, bench).collect()} == truth
+
+
 def test_lattice_sums_all_segmentations():
     path = public_tokenizers.path("piece_bpe_32k.model")
     raw, weights = lattice.read_vocabulary(path)
