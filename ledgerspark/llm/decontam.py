@@ -13,6 +13,11 @@ Terms (lower-cased runs of letters and digits) fall into FEATURES columns by has
    item's length divided by MIN_COMMON: an item that many rows hold has small weights and hardly a direction of its own, but its
    words still stand there one after the other.
 
+Items of more than WINDOW terms are looked for by their passages of at most WINDOW terms, each with its part of the item's
+answer: who holds MIN_ANSWER of the whole answer holds as much of one part. The item is then judged as a whole, over as much
+text around the window as its terms before and after the passage, divided by MIN_COMMON, may take; so much text is close together
+for its length whatever the cosine.
+
 The benchmark is the stated query set; it is taken in blocks of BLOCK items, each against all rows. Nothing else is collected
 but vectors of fixed size (FEATURES, and FEATURES x RANK for the basis).
 
@@ -210,17 +215,26 @@ class Items:
         self.terms = [hashes[bounds[i] : bounds[i + 1]].tolist() for i in keep]
 
     def ready(self, idf: np.ndarray, basis: np.ndarray) -> dict:
-        vectors = np.zeros((len(self.ids), RANK), dtype=np.float32)
-        answers = []
+        vectors, answers, parts, places = [], [], [], []
         for i, (columns, terms) in enumerate(zip(self.columns, self.terms)):
-            vectors[i] = (basis[columns] * idf[columns, None]).sum(axis=0)
             rarest = np.argsort(-idf[columns], kind="stable")[: max(1, len(columns) // 4)]
             answers.append({terms[k] for k in rarest.tolist()})
-        owner = np.repeat(np.arange(len(answers)), [len(a) for a in answers])
-        term = np.array([t for a in answers for t in a], dtype=np.uint64)
+            left = set(answers[-1])
+            bounds = np.linspace(0, len(terms), -(-len(terms) // WINDOW) + 1).astype(int).tolist()
+            for a, b in zip(bounds, bounds[1:]):
+                part = left & set(terms[a:b])
+                left -= part
+                if part:
+                    vectors.append((basis[columns[a:b]] * idf[columns[a:b], None]).sum(axis=0))
+                    parts.append(part)
+                    places.append((i, a, len(terms) - b))
+        vectors = np.array(vectors, dtype=np.float32).reshape(-1, RANK)
+        owner = np.repeat(np.arange(len(parts)), [len(a) for a in parts])
+        term = np.array([t for a in parts for t in a], dtype=np.uint64)
         order = np.argsort(term, kind="stable")
-        need = np.ceil(MIN_ANSWER * np.array([len(a) for a in answers]) - 1e-9)
-        return {"asked": (term[order], owner[order], need), "ids": self.ids, "terms": self.terms, "answers": answers, "vectors": vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)}
+        need = np.ceil(MIN_ANSWER * np.array([len(a) for a in parts]) - 1e-9)
+        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+        return {"asked": (term[order], owner[order], need), "ids": self.ids, "terms": self.terms, "answers": answers, "places": places, "vectors": vectors}
 
 
 RESULT = "doc_id long, item_id long, first_word long, cosine double, common double, answer double"
@@ -270,15 +284,25 @@ def _confirmed(piece: pa.RecordBatch, items: dict, weighted: np.ndarray) -> pa.R
     if len(starts) and items["ids"]:
         hashes, column = terms.columns()
         rows, text, first = _windows(terms, _project(column, weighted, starts), before)
-        answered, n = _answered(terms, hashes, text, items["asked"]), len(items["ids"])
-        known, around, held_terms = -1, [], set()
+        answered, n = _answered(terms, hashes, text, items["asked"]), len(items["places"])
+        known, around, held_terms, judged = None, [], set(), set()
         window, of = answered // n, answered % n
         cosines = np.concatenate([np.zeros(0, np.float32)] + [np.einsum("ij,ij->i", rows[window[a : a + _RUN]], items["vectors"][of[a : a + _RUN]]) for a in range(0, len(window), _RUN)])
-        for w, i, cosine in zip(window.tolist(), of.tolist(), cosines.tolist()):
+        for w, k, cosine in zip(window.tolist(), of.tolist(), cosines.tolist()):
             t, at = int(text[w]), int(first[w])
-            if w != known:
-                begin, stop = max(int(terms.first[t]), at - MARGIN), min(int(terms.first[t + 1]), at + WINDOW + MARGIN)
-                known, around = w, hashes[begin:stop].tolist()
+            i, ahead, behind = items["places"][k]
+            before_it, after_it = MARGIN, WINDOW + MARGIN
+            if ahead or behind:
+                # passages and windows that place the item within the same WINDOW terms are judged once, with WINDOW terms more
+                place = (t, i, (at - ahead) // WINDOW)
+                if place in judged:
+                    continue
+                judged.add(place)
+                before_it += WINDOW + int(ahead / MIN_COMMON)
+                after_it += WINDOW + int(behind / MIN_COMMON)
+            begin, stop = max(int(terms.first[t]), at - before_it), min(int(terms.first[t + 1]), at + after_it)
+            if known != (begin, stop):
+                known, around = (begin, stop), hashes[begin:stop].tolist()
                 held_terms = set(around)
             item, answer = items["terms"][i], items["answers"][i]
             least = int(np.ceil(MIN_COMMON * len(item) - 1e-9))
@@ -288,7 +312,7 @@ def _confirmed(piece: pa.RecordBatch, items: dict, weighted: np.ndarray) -> pa.R
             if held < MIN_ANSWER:
                 continue
             common = common_subsequence(item, around)
-            if common >= least and (cosine >= MIN_COSINE or lies_close(item, around, least)):
+            if common >= least and (cosine >= MIN_COSINE or ahead or behind or lies_close(item, around, least)):
                 found = (common / len(item), held, cosine, -(at - int(terms.first[t])))
                 if found > best.get((t, i), (0.0,)):
                     best[t, i] = found

@@ -273,6 +273,32 @@ def test_leaks_of_an_item_that_many_rows_hold(spark):
         assert {(r.doc_id, r.item_id) for r in decontam.leaks(frame, bench).collect()} == truth
 
 
+def test_leaks_of_long_items(spark):
+    rng = random.Random(23)
+    vocabulary = [f"t{k}" for k in range(3000)]
+    weights = [1 / (k + 1) for k in range(3000)]
+    draw = lambda n: rng.choices(vocabulary, weights, k=n)
+    items = [draw(n) for n in (500, 500, 230, 1500, 30)]
+    docs, truth = [draw(rng.randrange(0, 2500)) for _ in range(60)], set()
+    for d in range(30):
+        body = list(items[d % 5])
+        if d >= 10:  # a tenth of the words changed, and a twentieth left out
+            for _ in range(len(body) // 10):
+                body[rng.randrange(len(body))] = rng.choice(vocabulary[100:])
+        if d >= 20:
+            for _ in range(len(body) // 20):
+                del body[rng.randrange(len(body))]
+        at = rng.randrange(len(docs[d]) + 1)
+        docs[d] = docs[d][:at] + body + docs[d][at:]
+        truth.add((d, d % 5))
+    for d in range(30, 40):  # a third of a long item is no leak of it
+        docs[d] = docs[d] + items[d % 4][: len(items[d % 4]) // 3]
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.leaks(frame, bench).collect()}
+    assert set(got) == truth and all(got[d, d % 5].common == 1.0 for d in range(10))
+
+
 def test_lattice_sums_all_segmentations():
     path = public_tokenizers.path("piece_bpe_32k.model")
     raw, weights = lattice.read_vocabulary(path)
