@@ -221,6 +221,19 @@ def test_context_finds_unseen_identifiers(spark):
     assert texts[12] == "the account <context> is new" and texts[0] == "call the account <card> today" and texts[14] == rows[14]
 
 
+def test_context_finds_each_kind(spark):
+    cards = [x for x in range(4000000000000000, 4000000000000400) if plain_spans(str(x))]
+    rows = [f"my mail: user{k}@example.org now" for k in range(12)] + [f"from ip: 10.0.0.{k} today" for k in range(12)]
+    rows += [f"my phone: +49 711 12345{k} thanks" for k in range(10, 22)] + [f"the card {str(x)[:4]} {str(x)[4:8]} {str(x)[8:12]} {str(x)[12:]} here" for x in cards[:12]]
+    unseen = {"my mail: someone@localhost now": 9, "from ip: 2001:db8:0:0:1 today": 9, "from ip: 300.400.10.77 now": 9, "my phone: 0711-1234567 or so": 10, "the card 4000 0000 0000 0001 is void": 9, "the card 400012345678 here": 9}
+    none = ["order 0711-1234567 or so", "see someone@localhost there", "the card holder came"]
+    frame = spark.createDataFrame(list(enumerate(rows + list(unseen) + none)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.spans(frame).collect()}
+    stops = {"my mail: someone@localhost now": 26, "from ip: 2001:db8:0:0:1 today": 23, "from ip: 300.400.10.77 now": 22, "my phone: 0711-1234567 or so": 22, "the card 4000 0000 0000 0001 is void": 28, "the card 400012345678 here": 21}
+    assert [got[len(rows) + k] for k in range(len(unseen))] == [f"context:{a}:{stops[t]}" for t, a in unseen.items()]
+    assert [got[len(rows) + len(unseen) + k] for k in range(len(none))] == ["", "", ""]
+
+
 def test_redaction_keeps_columns(odd, empty):
     frame, rows = odd
     done = pii.redact(frame)
