@@ -340,12 +340,7 @@ def encode_texts(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     out, bounds = [], None
     for block, some in _blocks(data, offsets):
         pieces = Pieces(block, some, merges.special)
-        raw = block.tobytes()
-
-        def text_of(places: np.ndarray) -> list[bytes]:
-            return [raw[a:b] for a, b in zip(pieces.starts[places].tolist(), pieces.ends[places].tolist())]
-
-        ids, at = kept.ids_of(pieces.hashes(), text_of)
+        ids, at = kept.ids_of(pieces)
         first = np.searchsorted(pieces.starts, some)
         if pieces.special:
             parts = np.split(ids, at[1:-1])

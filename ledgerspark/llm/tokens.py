@@ -17,7 +17,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,6 +26,7 @@ from ledgerspark.llm.scratch import parts
 from ledgerspark.llm.words import LOWER, Words, slices
 
 MAX_KEPT = 1_000_000
+MAX_KEPT_BYTES = 64_000_000
 
 #: Class of a byte (white space, ASCII letter, other ASCII, beyond ASCII) and the pairs of classes between which a chunk ends.
 _CLASS = np.full(256, 3, dtype=np.uint8)
@@ -67,31 +67,33 @@ class Ragged:
 
 
 class Kept:
-    """What the worker keeps of chunks seen: hash to row of a Ragged; cleared when it holds MAX_KEPT."""
+    """What the worker keeps of chunks seen: their bytes to row of a Ragged; cleared when it holds MAX_KEPT or MAX_KEPT_BYTES."""
 
     def __init__(self, encode, most: int = MAX_KEPT):
         self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
-        self.rows: dict[int, int] = {}
+        self.rows: dict[bytes, int] = {}
+        self.size = 0
         self.ids = Ragged()
 
-    def ids_of(self, hashes: np.ndarray, text_of) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and offsets for chunks given by hash; ``text_of(list of places)`` gives the texts of new ones."""
-        if len(self.rows) >= self.most:
+    def ids_of(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and offsets of the words; words of equal bytes, and no others, share an entry."""
+        if len(self.rows) >= self.most or self.size >= MAX_KEPT_BYTES:
             self.clear()
-        inverse, unique = pd.factorize(hashes)
-        first = np.flatnonzero(np.r_[True, inverse[1:] > np.maximum.accumulate(inverse)[:-1]]) if len(inverse) else inverse
-        known = [self.rows.get(h, -1) for h in unique.tolist()]
-        rows = np.array(known, dtype=np.int64)
+        codes, first = words.codes()
+        names = words.raw(first)
+        rows = np.fromiter((self.rows.get(x, -1) for x in names), dtype=np.int64, count=len(names))
         new = np.flatnonzero(rows < 0)
         if len(new):
+            fresh = [names[i] for i in new.tolist()]
             base = self.ids.rows
-            self.ids.extend(*self.encode(text_of(first[new])))
+            self.ids.extend(*self.encode(fresh))
             rows[new] = base + np.arange(len(new))
-            self.rows.update(zip(unique[new].tolist(), rows[new].tolist()))
-        return self.ids.gather(rows[inverse])
+            self.rows.update(zip(fresh, rows[new].tolist()))
+            self.size += sum(map(len, fresh))
+        return self.ids.gather(rows[codes])
 
 
 class Chunks(Words):
@@ -129,7 +131,8 @@ def _kept(path: str) -> Kept:
     closing = np.zeros(max(tokenizer.get_vocab(with_added_tokens=True).values()) + 1, dtype=bool)
     closing[[i for x, i in tokenizer.get_vocab(with_added_tokens=False).items() if x.endswith("</w>")]] = True
 
-    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [x.decode() for x in pieces]
         # a chunk of letters alone is one word to the tokenizer, and each word's last token is marked: many go in one call
         alone = np.fromiter(map(_letters, texts), dtype=bool, count=len(texts))
         ids: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
@@ -153,14 +156,9 @@ def _kept(path: str) -> Kept:
 def encode_texts(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of many texts and their offsets."""
     chunks = Chunks(column, lower=True)
-    raw = chunks.data.tobytes()
-
-    def text_of(places: np.ndarray) -> list[str]:
-        return [raw[a:b].decode() for a, b in zip(chunks.starts[places].tolist(), chunks.ends[places].tolist())]
-
-    ids, offsets = _kept(path).ids_of(chunks.hashes(), text_of)
+    ids, offsets = _kept(path).ids_of(chunks)
     bounds = offsets[chunks.first]
-    marked = _holding(raw, chunks.offsets, b"<|")
+    marked = _holding(chunks.data.tobytes(), chunks.offsets, b"<|")
     if not marked:
         return ids, bounds
     whole = {i: np.array(_tokenizer(path).encode(column[i].as_py(), add_special_tokens=False).ids, dtype=np.int32) for i in marked}

@@ -7,14 +7,19 @@ rule ``[^\\x20\\x09-\\x0D]+`` on code points. Null and empty texts have no words
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 #: Texts are worked on in slices of about so many bytes, so a task's memory does not follow the batch (one text is never cut).
 SLICE_BYTES = 1_000_000
 
+#: Words of more bytes are hashed by a digest of their bytes.
+LONG_WORD = 64
+
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 5  # 5 modulo 8: its powers have the longest period modulo 2**64
 _SPACE = np.zeros(256, dtype=bool)
@@ -107,26 +112,96 @@ class Words:
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
+    @functools.cached_property
+    def _eights(self) -> np.ndarray:
+        """The eight bytes from each place on, as numbers (zeros follow the data)."""
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        return np.ndarray((len(self.data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+
+    def _eight(self, words: np.ndarray, k: int) -> np.ndarray:
+        """Bytes 8 k to 8 k + 7 of words that are longer than 8 k, zeros after their ends."""
+        at = self.starts[words] + 8 * k
+        return self._eights[at] & _WHOLE[np.minimum(self.ends[words] - at, 8)]
+
     def hashes(self, seed: int = 1) -> np.ndarray:
-        """64-bit hash of each word's bytes, the same for equal words anywhere."""
-        up, down = _powers(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        np.cumsum(_byte_values(seed)[self.data] * up[: len(self.data)], out=total[1:])
-        return mixed((total[self.ends] - total[self.starts]) * down[self.starts])
+        """64-bit hash of each word's bytes, the same for equal words anywhere.
+
+        Eight bytes after eight pass through a bijection of all bits: words of one length up to eight have different hashes,
+        and longer ones no structure that makes them fall together. Words above LONG_WORD bytes take a BLAKE2 digest.
+        """
+        size = self.ends - self.starts
+        out = mixed(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 0xD1342543DE82EF95 & _MASK))
+        some, k = np.flatnonzero(size <= LONG_WORD), 0
+        while len(some):
+            out[some] = mixed(out[some] ^ self._eight(some, k))
+            k += 1
+            some = some[size[some] > 8 * k]
+        long = np.flatnonzero(size > LONG_WORD)
+        if len(long):
+            key = seed.to_bytes(8, "little")
+            digests = b"".join(hashlib.blake2b(x, digest_size=8, key=key).digest() for x in self.raw(long))
+            out[long] = np.frombuffer(digests, dtype="<u8")
+        return out
+
+    def same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether words ``a`` and ``b`` (places) hold the same bytes."""
+        size = self.ends - self.starts
+        out = size[a] == size[b]
+        some, k = np.flatnonzero(out & (size[a] <= LONG_WORD)), 0
+        while len(some):
+            out[some] = self._eight(a[some], k) == self._eight(b[some], k)
+            k += 1
+            some = some[out[some] & (size[a[some]] > 8 * k)]
+        long = np.flatnonzero(out & (size[a] > LONG_WORD))
+        if len(long):
+            out[long] = [x == y for x, y in zip(self.raw(a[long]), self.raw(b[long]))]
+        return out
+
+    def codes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Number of each word, the same for words of equal bytes and for no others, and the word at which each is met first."""
+        codes, first = _factorized(self.hashes())
+        if not self.same(np.arange(len(codes)), first[codes]).all():
+            numbers: dict[bytes, int] = {}
+            codes, first = _factorized(np.array([numbers.setdefault(x, len(numbers)) for x in self.raw(np.arange(len(codes)))]))
+        return codes, first
+
+    @functools.cached_property
+    def _body(self) -> bytes:
+        return self.data.tobytes()
+
+    def raw(self, words: np.ndarray) -> list[bytes]:
+        """Bytes of some words."""
+        body = self._body
+        return [body[a:b] for a, b in zip(self.starts[words].tolist(), self.ends[words].tolist())]
 
     def text(self, i: int) -> str:
         return self.data[self.starts[i] : self.ends[i]].tobytes().decode()
 
 
+#: Masks that keep the first n bytes of eight.
+_WHOLE = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+
+
+def _factorized(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each key in the order in which different ones are met, and where each is met first."""
+    codes, unique = pd.factorize(keys)
+    first = np.full(len(unique), len(codes), dtype=np.int64)
+    np.minimum.at(first, codes, np.arange(len(codes)))
+    return codes, first
+
+
 def windows(hashes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
-    """Hash of the ``size`` words from each place on (the last size - 1 places are left out); owners are not looked at."""
+    """Hash of the ``size`` words from each place on (the last size - 1 places are left out); owners are not looked at.
+
+    The upper bits are folded in at each word, so the hash is no polynomial of the words' hashes.
+    """
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     total = np.zeros(n, dtype=np.uint64)
     factor = np.uint64((0xC2B2AE3D27D4EB4F + 2 * seed) & _MASK | 1)
     for k in range(size):
-        total = total * factor + hashes[k : k + n]
+        total = (total ^ (total >> np.uint64(31))) * factor + hashes[k : k + n]
     return mixed(total)
 
 
