@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.llm import bpe, decontam, jaccard, lm, pii, quality, repeats, tokens, urls, windows
+from ledgerspark.llm import bpe, codes, decontam, jaccard, lm, packing, pii, quality, repeats, tokens, urls, whitening, windows
 from ledgerspark.llm.scratch import place
 
 #: Rules of the URL query: host, path, verdict.
@@ -18,6 +18,7 @@ RULES = (
     ("com", "/de/", "block"),
 )
 END_ID = 2
+PACKED_END_ID = 1
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,7 +72,26 @@ def op10_shingle_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_repetition_quality, op2_orc_tokens, op3_window_dedup, op4_url_rules, op5_latent_decontamination, op6_byte_bpe, op7_byte_repeats, op8_lattice_scores, op9_contextual_pii, op10_shingle_jaccard)}
+def op11_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), PACKED_END_ID)
+
+
+def op12_shifted_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_block_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.codes(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_repetition_quality, op2_orc_tokens, op3_window_dedup, op4_url_rules, op5_latent_decontamination, op6_byte_bpe,
+        op7_byte_repeats, op8_lattice_scores, op9_contextual_pii, op10_shingle_jaccard, op11_bin_completion,
+        op12_shifted_whitening, op13_block_codes,
+    )
+}
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
 

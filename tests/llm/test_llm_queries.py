@@ -11,7 +11,7 @@ from ledgerspark.llm.queries import QUERIES, SQL
 
 def test_registered():
     assert set(QUERIES) <= set(queries()) and "pipeline" in queries() and set(SQL) <= set(oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
