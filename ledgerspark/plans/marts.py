@@ -104,8 +104,7 @@ def company_ranking(fs: DataFrame) -> DataFrame:
     names = ("company_name", "entity_type", "entity_subtype")
     totals = rows.groupBy(*REPORT).agg(F.coalesce(root, leaves).alias("_a"), *[F.max(n).alias(n) for n in names])
     totals = staged(totals.withColumn("fiscal_year", F.year("date")))
-    ranked = with_rank(totals, ["fiscal_year", "period_type"], "_a", "ranking_global", "_pct")
-    ranked = with_rank(ranked, ["fiscal_year", "period_type", "entity_type"], "_a", "ranking_por_sector", of=totals)
+    ranked = with_rank(totals, ["fiscal_year", "period_type"], "_a", "ranking_global", "_pct", ["entity_type"], "ranking_por_sector")
     before = F.lag("_a").over(Window.partitionBy("ruc", "period_type").orderBy("fiscal_year", "date"))
     return ranked.withColumn("_prev", before).select(
         "ruc", "company_name", "entity_type", "entity_subtype", "fiscal_year", "period_type",

@@ -249,8 +249,7 @@ def company_ranking(s: Star) -> DataFrame:
         class_totals(s).filter("total_assets is not null").select("company_key", "fiscal_year", "period_type", "total_assets"),
     )
     base = staged(base)
-    ranked = with_rank(base, ["fiscal_year", "period_type"], "total_assets", "rank_global", "_pct")
-    ranked = with_rank(ranked, ["fiscal_year", "period_type", "sector_name"], "total_assets", "rank_in_sector", of=base)
+    ranked = with_rank(base, ["fiscal_year", "period_type"], "total_assets", "rank_global", "_pct", ["sector_name"], "rank_in_sector")
     before = F.lag("total_assets").over(Window.partitionBy("ruc", "period_type").orderBy("fiscal_year"))
     return ranked.withColumn("_prev", before).select(
         "ruc", "company_name", "sector_name", "fiscal_year", "period_type",
