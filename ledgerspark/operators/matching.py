@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerspark.operators.components import components
 from ledgerspark.session import staged
 
 PART_ROWS = 65_536  # rows of one amount and day that a part holds on average, at most
@@ -103,19 +108,57 @@ def contained_ids(files: DataFrame, ids: DataFrame, file: str, ident: str) -> Da
     return files.select(file, F.explode(F.flatten(cut)).alias(ident)).distinct().join(ids, ident)
 
 
-def assign_one_to_one(pairs: DataFrame, ident: str, file: str) -> DataFrame:
+GROUP_PAIRS = 200_000  # pairs that one task walks through
+
+
+def assign_one_to_one(pairs: DataFrame, ident: str, file: str, group_pairs: int = GROUP_PAIRS) -> DataFrame:
     """Ids in ascending order each take their smallest free file.
 
-    In every round the pairs that are first choice on both sides are fixed and their ids and files leave. The
-    smallest id of any file is never refused, so each round fixes something, and the outcome equals the sequential
-    walk. The first choices are minima, combined before the shuffle; names that hold one id each need one round.
+    Files that hold one id are nobody else's, so an id that only has such files takes the smallest at once. Ids and files that are
+    tied together by shared files form components (rounds grow with the logarithm of their size, also for a chain in which every choice
+    depends on the one before); components do not touch each other, so each is walked through in one task. A component of more
+    than ``group_pairs`` pairs is first cut down by rounds over all of it: pairs that are first choice on both sides are
+    fixed and leave, as the walk would choose them, and what is left falls apart or is small enough.
     """
-    rest = staged(pairs.select(ident, file).distinct())
-    fixed = None
-    while not rest.isEmpty():
+    kinds = pairs.select(ident, file).schema
+    known = staged(pairs.select(ident, file).distinct())
+    shared = known.groupBy(file).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(file)
+    tied = staged(known.join(known.join(shared, file, "left_semi").select(ident).distinct(), ident, "left_semi"))
+    out = [known.join(tied.select(ident).distinct(), ident, "left_anti").groupBy(ident).agg(F.min(file).alias(file))]
+    while not tied.isEmpty():
+        # nodes by hash: two that fall together only make a component larger
+        ends = tied.select(F.xxhash64(F.lit("id"), F.col(ident).cast("string")).alias("a"), F.xxhash64(F.lit("file"), F.col(file).cast("string")).alias("b"))
+        labels = components(ends).withColumnRenamed("node", "_node")
+        named = staged(tied.withColumn("_node", F.xxhash64(F.lit("id"), F.col(ident).cast("string"))).join(labels, "_node").drop("_node"))
+        sizes = named.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
+        small = named.join(sizes.filter(F.col("_n") <= group_pairs), "label", "left_semi")
+        out.append(_walked(small, ident, file))
+        rest = staged(named.join(sizes.filter(F.col("_n") > group_pairs), "label", "left_semi").select(ident, file))
+        if rest.isEmpty():
+            break
         best_file = rest.groupBy(ident).agg(F.min(file).alias(file))
         best_id = rest.groupBy(file).agg(F.min(ident).alias(ident))
         done = staged(best_file.join(best_id, [ident, file]))
-        fixed = done if fixed is None else fixed.unionByName(done)
-        rest = staged(rest.join(done.select(ident), ident, "left_anti").join(done.select(file), file, "left_anti"))
-    return fixed if fixed is not None else rest
+        out.append(done)
+        tied = staged(rest.join(done.select(ident), ident, "left_anti").join(done.select(file), file, "left_anti"))
+    return reduce(DataFrame.unionByName, [x.select(*kinds.names) for x in out])
+
+
+def _walked(named: DataFrame, ident: str, file: str) -> DataFrame:
+    """The walk over each component (``label``): rows come sorted, and a component's taken files are all that is kept."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label, done, taken = None, None, set()
+        for batch in batches:
+            keep = []
+            for row, (own, i, f) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("label", ident, file)))):
+                if own != label:
+                    label, done, taken = own, None, set()
+                if (done is None or done != i) and f not in taken:
+                    done = i
+                    taken.add(f)
+                    keep.append(row)
+            yield batch.select([ident, file]).take(pa.array(keep, pa.int64()))
+
+    rows = named.select("label", ident, file).repartition("label").sortWithinPartitions("label", ident, file)
+    return rows.mapInArrow(walk, named.select(ident, file).schema)

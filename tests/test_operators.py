@@ -132,6 +132,53 @@ def test_assign_equals_sequential_walk(spark, seed):
     assert {x.i: x.f for x in got.collect()} == want
 
 
+def walk(pairs):
+    free, out = {f for _, f in pairs}, {}
+    for i in sorted({i for i, _ in pairs}):
+        mine = sorted(f for j, f in pairs if j == i and f in free)
+        if mine:
+            out[i] = mine[0]
+            free.discard(mine[0])
+    return out
+
+
+def test_assign_along_a_chain(spark, monkeypatch):
+    """Every choice depends on the one before; the rounds stay within twice the logarithm of the chain."""
+    from ledgerspark.operators import components
+
+    made, plain = [], components.rounds
+
+    def counted(links):
+        out = plain(links)
+        made.append(out[1])
+        return out
+
+    monkeypatch.setattr(components, "rounds", counted)
+    pairs = [("i0000", "f0000")] + [(f"i{k:04d}", f"f{k + d:04d}") for k in range(1, 1000) for d in (-1, 0)]
+    got = assign_one_to_one(spark.createDataFrame(pairs, "i string, f string"), "i", "f")
+    assert {x.i: x.f for x in got.collect()} == {f"i{k:04d}": f"f{k:04d}" for k in range(1000)}
+    assert len(made) == 1 and made[0] <= 20
+
+
+def test_assign_in_large_components(spark):
+    r = random.Random(1)
+    pairs = sorted({(r.randrange(40), f"f{r.randrange(35)}") for _ in range(90)} | {(500 + k, f"own{k}") for k in range(5)})
+    frame = spark.createDataFrame(pairs, "i int, f string")
+    for group_pairs in (30, 10_000):
+        got = assign_one_to_one(frame, "i", "f", group_pairs)
+        assert {x.i: x.f for x in got.collect()} == walk(pairs)
+
+
+def test_components_of_negative_and_large_ids(spark):
+    from ledgerspark.operators.components import components
+
+    links = spark.createDataFrame([(-5, 2**62), (2**62, -(2**63)), (0, 0), (7, 8)], "a long, b long")
+    groups = {}
+    for x in components(links).collect():
+        groups.setdefault(x.label, set()).add(x.node)
+    assert sorted(map(sorted, groups.values())) == [[-(2**63), -5, 2**62], [0], [7, 8]]
+
+
 def test_contained_ids(spark):
     files = spark.createDataFrame([("a_0123456789_b.pdf",), ("x12345678901y.pdf",), ("short_123.pdf",)], "f string")
     ids = spark.createDataFrame([("0123456789",), ("1234567890",), ("2345678901",), ("9999999999",)], "i string")
@@ -156,6 +203,40 @@ def test_ladder_of_narrow_tied_and_odd_values(spark, monkeypatch):
     known = [repr(v) for v in order]
     want = {("g", x): (known.count(x), known.index(x), len(known)) for x in set(known)} | {(None, "5.0"): (2, 0, 2)}
     assert got == want
-    rows = df.filter("g = 'g' and v is not null").select("g", F.col("v").alias("_axis"), ladder_module._bucket(F.col("v")).alias("_b"))
-    sizes = [x["count"] for x in ladder_module._parted(rows.filter("_axis <> 1000.1"), ["g"]).groupBy("_b", "_s").count().collect()]
-    assert max(sizes) < 100
+    rows = df.filter("g = 'g' and v is not null and v <> 1000.1").distinct()
+    parted = ladder_module._parted(rows, ladder_module._splitters(rows, ["g"], "v"), ["g"], "v")
+    sizes = [x["count"] for x in parted.groupBy("_part").count().collect()]
+    assert len(sizes) > 20 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+
+
+@pytest.mark.parametrize("kind", ["narrow", "tied", "outlier"])
+def test_parts_are_even_and_ranks_exact(spark, monkeypatch, kind):
+    """No part holds above twice the mean, a tied value is dealt to several tasks, and both ranks equal a plain count."""
+    monkeypatch.setattr(ladder_module, "PART_ROWS", 25)
+    r = random.Random(7)
+    draw = {
+        "narrow": lambda: 5e9 + r.random() * 1e-3,
+        "tied": lambda: r.choice([7.0, 7.0, r.gauss(7, 1)]),
+        "outlier": lambda: r.choice([1e300, -1e300]) if r.random() < 0.01 else r.random() * 1e-6,
+    }[kind]
+    rows = [(i, r.choice(["a", "b", None]), r.choice(["x", "y"]), draw()) for i in range(900)]
+    df = spark.createDataFrame(rows, "id int, g string, s string, v double")
+    got = with_rank(df, ["g"], "v", "rk", "pr", ["s"], "rs")
+    by_id = {x.id: (x.rk, x.pr, x.rs) for x in got.collect()}
+    for i, g, s, v in rows:
+        peers = [x for _, h, _, x in rows if h == g]
+        inside = [x for _, h, t, x in rows if h == g and t == s]
+        assert by_id[i] == (1 + sum(x > v for x in peers), sum(x < v for x in peers) / (len(peers) - 1), 1 + sum(x > v for x in inside))
+    splitters = ladder_module._splitters(df, ["g"], "v")
+    parts = ladder_module._parted(df, splitters, ["g"], "v").groupBy("g", "_part").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+    mixed = [x.n for x in parts if x.lo != x.hi]
+    assert len(parts) > 3 and max(mixed, default=0) <= 2 * 25
+
+
+def test_ranks_of_decimals_that_one_double_stands_for(spark, monkeypatch):
+    monkeypatch.setattr(ladder_module, "PART_ROWS", 10)
+    rows = [(i, f"9007199254740993.{i % 7:04d}") for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, t string").select("id", F.col("t").cast("decimal(28,4)").alias("v"))
+    got = {x.id: x.rk for x in with_rank(df, [], "v", "rk").collect()}
+    for i, t in rows:
+        assert got[i] == 1 + sum(u > t for _, u in rows)
