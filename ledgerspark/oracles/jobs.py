@@ -44,6 +44,8 @@ INGEST = {
         {PICK.format(DOWN)}""", "raw_statements", CLEAN, GOOD),
     "load_first_wins": q(f"SELECT {COLS}, batch_seq FROM good {PICK.format('batch_seq, ' + UP)}", "raw_statements", CLEAN, GOOD),
     "load_last_wins": q(f"SELECT {COLS}, batch_seq FROM good {PICK.format('batch_seq DESC, ' + DOWN)}", "raw_statements", CLEAN, GOOD),
+    "table_first_wins": q(f"SELECT {COLS}, batch_seq FROM good {PICK.format('batch_seq, ' + UP)}", "raw_statements", CLEAN, GOOD),
+    "table_last_wins": q(f"SELECT {COLS}, batch_seq FROM good {PICK.format('batch_seq DESC, ' + DOWN)}", "raw_statements", CLEAN, GOOD),
     "high_water_mark": q("SELECT max(date) AS last_date, count(*) AS records FROM good", "raw_statements", CLEAN, GOOD),
     "run_metrics": q("""SELECT (SELECT count(*) FROM cl) AS rows_read,
         (SELECT count(DISTINCT (ruc, account_code, coalesce(date, DATE '0001-01-01'), period_type)) FROM good) AS rows_loaded,

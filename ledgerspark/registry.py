@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerspark.functions import cleaning
 from ledgerspark.functions.numbers import as_double
-from ledgerspark.operators.keyed import merge_batches
+from ledgerspark.operators.keyed import keep_one, merge_batches
 from ledgerspark.operators.prefix import code_depth, code_depth_label, with_leaf_flag
 from ledgerspark.plans import (
     anomaly,
@@ -34,7 +34,7 @@ from ledgerspark.plans import (
     validation,
 )
 from ledgerspark.plans import star as st
-from ledgerspark.session import shared_folder, text_once
+from ledgerspark.session import app_folder, text_once
 from ledgerspark.sources.adapters import AS_OF, PAY_MONTH, PAY_YEAR, load
 from ledgerspark.sources import files
 from ledgerspark.sources.files import STATEMENT_COLUMNS, read_statements
@@ -174,6 +174,20 @@ def _keyed_load(raw: DataFrame, wins: str) -> DataFrame:
     return merge_batches(first, second, ingest.KEY, ["batch_seq", *RAW_ORDER], wins).select(*STATEMENT_COLUMNS, "batch_seq")
 
 
+def _table_load(wins: str) -> Query:
+    """Two loads into a keyed table, of which the second reads only files that may hold its keys."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        table_ = live.statement_table(spark, _folder(spark, "table"))
+        for batch in (1, 2):
+            rows = _usable(load(spark, sf, "raw_statements").filter(F.col("batch_seq") == batch))
+            one = keep_one(rows, ingest.KEY, RAW_ORDER, wins)
+            table_.upsert(one.select(*STATEMENT_COLUMNS, "batch_seq"), batch, wins)
+        return table_.read()
+
+    return run
+
+
 def _distinct_counts(raw: DataFrame, column: str, clean) -> DataFrame:
     counted = raw.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     return counted.select(F.col(column).alias(f"raw_{column}"), clean(column).alias(column), "n")
@@ -272,7 +286,7 @@ def _valid_purchases(df: DataFrame) -> DataFrame:
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-files/{name}-{uuid.uuid4().hex[:8]}"
+    return f"{app_folder(spark)}/files/{name}-{uuid.uuid4().hex[:8]}"
 
 
 def _mixed_folder(spark: SparkSession, sf: str) -> str:
@@ -326,6 +340,8 @@ JOBS: dict[str, Query] = {
     "sector_filter": _on(lambda raw: _clean(raw, "last", "administradora de fondos y fideicomisos"), "raw_statements"),
     "load_first_wins": _on(lambda raw: _keyed_load(raw, "first"), "raw_statements"),
     "load_last_wins": _on(lambda raw: _keyed_load(raw, "last"), "raw_statements"),
+    "table_first_wins": _table_load("first"),
+    "table_last_wins": _table_load("last"),
     "high_water_mark": _on(lambda raw: ingest.high_water_mark(_usable(raw)), "raw_statements"),
     "run_metrics": _on(ingest.run_metrics, "raw_statements"),
     "q_nulls": _on(validation.nulls, "raw_statements"),
@@ -483,7 +499,7 @@ def _rag(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _stream_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-stream/{name}-{uuid.uuid4().hex[:8]}"
+    return f"{app_folder(spark)}/stream/{name}-{uuid.uuid4().hex[:8]}"
 
 
 def _sales_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -503,14 +519,14 @@ def _stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Every fifth invoice arrives twice; the stream keeps one row of each."""
     copies = F.when(F.col("factura_id") % 5 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     doubled = _sales_stream(spark, sf).withColumn("_copy", F.explode(copies)).drop("_copy")
-    unique = live.run_append(spark, live.unique_invoices(doubled), _stream_folder(spark, "dedup"))
+    unique = live.run_unique(spark, doubled, _stream_folder(spark, "dedup"))
     return unique.select("factura_id", "ts", "vendedor_id", "zona", as_double("total").alias("total"))
 
 
 def _stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
     folder = _stream_folder(spark, "upsert")
-    live.run_statement_upsert(spark, _raw_files(spark, sf), f"{folder}/log", f"{folder}/checkpoint")
-    return ingest.current_rows(spark, f"{folder}/log").select("ruc", "account_code", "date", "period_type", "company_name")
+    rows = live.run_table_upsert(spark, _raw_files(spark, sf), f"{folder}/table", f"{folder}/checkpoint")
+    return rows.select("ruc", "account_code", "date", "period_type", "company_name")
 
 
 def _batch_day_total(spark: SparkSession, sf: str) -> DataFrame:

@@ -42,12 +42,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def app_folder(spark: SparkSession) -> str:
+    """What this application stores and stages; ``release`` deletes it."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-{os.getpid()}"
+
+
 _WRITTEN: dict[tuple[str, str, str], object] = {}
 
 
 def _place(spark: SparkSession, name: str, source: str) -> str:
     digest = hashlib.md5(source.encode()).hexdigest()[:12]
-    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-{os.getpid()}/{digest}/{name}"
+    return f"{app_folder(spark)}/{digest}/{name}"
 
 
 def text_once(spark: SparkSession, name: str, source: str, build) -> str:
@@ -80,7 +85,7 @@ def written_once(spark: SparkSession, name: str, source: str, build, partition_b
 
 def release(spark: SparkSession) -> None:
     """Delete what this application stored and staged in the shared folder; call it when its results are no longer read."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-{os.getpid()}")
+    place = spark._jvm.org.apache.hadoop.fs.Path(app_folder(spark))
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
     for key in [k for k in _WRITTEN if k[0] == spark.sparkContext.applicationId]:
         del _WRITTEN[key]
@@ -106,6 +111,6 @@ def staged(df: DataFrame) -> DataFrame:
     the aggregation before it.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-{os.getpid()}/staged/{next(_STAGED)}"
+    path = f"{app_folder(spark)}/staged/{next(_STAGED)}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
