@@ -1,35 +1,7 @@
-"""Connected components of links between numbered nodes, as DataFrame joins on a shrinking link table."""
+"""Connected components: the library's general operator."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from ledgerspark.operators.components import components, rounds
 
-from ledgerspark.llm.scratch import stored
-
-
-def components(links: DataFrame) -> DataFrame:
-    """``node, label`` for every node of ``links(a, b)``; the label is some node of its component, one for all of them.
-
-    Each round every node points to the smallest of its neighbours and itself, and links are carried over to what their ends
-    point to, until none is left between different nodes. Rounds grow with the logarithm of a component's size. A node with
-    many links is combined on the map side, and each round's tables are stored, so nothing is gathered and nothing recomputed.
-    Links of a node to itself keep that node in the result.
-    """
-    names = stored(links.select("a", "b").distinct(), "links")
-    first, labels = True, None
-    while True:
-        both = names.union(names.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")).withColumnRenamed("a", "node"), "steps")
-        if first:
-            labels, first = step.withColumnRenamed("to", "label"), False
-        else:
-            moved = step.withColumnRenamed("node", "label")
-            labels = stored(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
-        a, b = (step.select(F.col("node").alias(c), F.col("to").alias(f"to_{c}")) for c in "ab")
-        names = names.join(a, "a").join(b, "b").filter("to_a <> to_b")
-        names = stored(names.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), "links")
-        # a node may point to one that points on: those chains are links too
-        if names.isEmpty():
-            break
-    return labels
+__all__ = ["components", "rounds"]

@@ -2,15 +2,18 @@
 
 1. Equal sets form one class, and only one member of a class goes on. A merged sketch (``sketch``) tells which shingles may
    occur in two documents; a document with fewer than 80 % of such shingles can have no link and is done.
-2. Near neighbours first: class sets are sorted by their least shingle hashes and compared with the ones before them, which
+2. The global order of all shingles is that of their level in a merged count sketch, rare ones first, then of their hash. Every
+   task has the sketch, so every task knows the order and nothing is sent back to the sets. The order is cut
+   into FRAGMENTS of about equal weight; each set is cut at the same places, and an overlap is the sum of the fragments'
+   overlaps, counted one by one from the rarest on until the sum, or what is still possible, decides.
+3. Near neighbours first: class sets are sorted by their least shingle hashes and compared with the ones before them, which
    joins most of a group of near copies by few links and without its pairs.
-3. The rest is exact. The order of all shingles (how often they occur, then hash) is cut into parts. A set's rarest
-   n - ceil(0.8 n) + 1 shingles meet those of other components in their part; pairs there are kept unless their lengths or a
-   parity bitmap (its distance never exceeds the sets' difference) rule a link out.
-4. Sets are cut into FRAGMENTS by hash; every fragment counts the overlap of a pair apart, and the sums decide.
+4. The rest is exact. The order is cut into parts. A set's first n - ceil(0.8 n) + 1 shingles meet those of other components in
+   their part; pairs there are kept unless their lengths or a parity bitmap (its distance never exceeds the sets'
+   difference) rule a link out. The fragments of the pairs left are joined, counted apart and summed per pair.
 
-No group of copies is expanded into its pairs: copies are classes, near copies are mostly one component before step 3, and
-step 3 pairs only sets of different components. A shingle that many sets hold comes last in the order, so it is met in step 3
+No group of copies is expanded into its pairs: copies are classes, near copies are mostly one component before step 4, and
+step 4 pairs only sets of different components. A shingle that many sets hold comes last in the order, so it is met in step 4
 only for sets that have hardly others.
 
 Defined cases: null or empty text has the empty set and is linked with nothing; with fewer than five words the whole sequence
@@ -37,8 +40,7 @@ SIZE = 5
 PERCENT = 80
 ROUNDS = 5  # sortings in step 2
 BACK = 16  # sets before it that a set is compared with
-COMMON = 16  # shingles in more sets than this come last in the order
-FRAGMENTS = 8
+FRAGMENTS = 6
 BITMAP_BITS = 1024
 
 _MASK = (1 << 64) - 1
@@ -106,6 +108,40 @@ def document_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(sets, _SETS_SQL)
 
 
+class Order:
+    """Global order of shingles: level in the merged count sketch, then hash; ``cuts`` are where fragments end."""
+
+    def __init__(self, plane: np.ndarray):
+        self.plane = plane
+        weight = np.bincount(plane, weights=2.0 ** (plane / sketch.STEPS) - (plane == 0), minlength=256)
+        total = np.r_[0.0, np.cumsum(weight)]
+        wanted = total[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS
+        level = np.clip(np.searchsorted(total, wanted, side="right") - 1, 0, 255)
+        inside = (wanted - total[level]) / np.maximum(weight[level], 1e-300)
+        self.cuts = (level.astype(np.uint64) << np.uint64(56)) | (np.clip(inside, 0, 1 - 1e-9) * 2.0**56).astype(np.uint64)
+
+    def places(self, found: np.ndarray) -> np.ndarray:
+        """Numbers that sort like the order (equal only for shingles that agree in all but 8 bits)."""
+        return (sketch.level_of(self.plane, found).astype(np.uint64) << np.uint64(56)) | (found >> np.uint64(8))
+
+    def first(self, found: np.ndarray, n: int) -> np.ndarray:
+        return found[np.lexsort((found, self.places(found)))[:n]]
+
+    def fragments(self, found: np.ndarray) -> list[np.ndarray]:
+        """The set cut at the cuts, each fragment sorted by hash."""
+        which = np.searchsorted(self.cuts, self.places(found), side="right")
+        return [found[which == f] for f in range(FRAGMENTS)]
+
+
+def shingle_order(classes: DataFrame) -> Order:
+    total = classes.select(F.sum(F.octet_length("shingles") / 8).alias("n")).first().n or 0
+
+    def keys(batch: pa.RecordBatch) -> np.ndarray:
+        return np.frombuffer(b"".join(batch.column("shingles").to_pylist()), dtype=np.uint64)
+
+    return Order(sketch.levels(classes.select("shingles"), keys, int(total)))
+
+
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     both = np.concatenate([a, b])
     both.sort()
@@ -116,7 +152,21 @@ def _linked(overlap: int, a: int, b: int) -> bool:
     return 100 * overlap >= PERCENT * (a + b - overlap)
 
 
-def _neighbour_links(classes: DataFrame) -> DataFrame:
+def _fragments_linked(a: list[np.ndarray], b: list[np.ndarray]) -> bool:
+    """Whether two sets are linked, from the overlaps of their fragments; ends as soon as what is left cannot change it."""
+    size_a, size_b = sum(map(len, a)), sum(map(len, b))
+    possible = [min(len(x), len(y)) for x, y in zip(a, b)]
+    most, overlap = sum(possible), 0
+    for x, y, p in zip(a, b, possible):
+        if not _linked(most, size_a, size_b):
+            return False
+        if p:
+            own = _overlap(x, y)
+            overlap, most = overlap + own, most - p + own
+    return _linked(overlap, size_a, size_b)
+
+
+def _neighbour_links(classes: DataFrame, order_) -> DataFrame:
     """Links found among sets that are near each other when sorted by least hashes, ``a, b``."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,14 +181,14 @@ def _neighbour_links(classes: DataFrame) -> DataFrame:
                 )
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent: list[tuple[tuple, int, int, np.ndarray]] = []  # key, node, head of its chain, set
+        recent: list[tuple[tuple, int, int, list[np.ndarray]]] = []  # key, node, head of its chain, fragments
         for batch in batches:
             a, b = [], []
             for group, key, node, raw in zip(*(batch.column(c).to_pylist() for c in ("round", "k1", "node", "shingles"))):
                 recent = [x for x in recent if x[0] == (group, key)][-BACK:]
-                own, head = np.frombuffer(raw, dtype=np.uint64), node
+                own, head = order_.value.fragments(np.frombuffer(raw, dtype=np.uint64)), node
                 for _, _, before, other in reversed(recent):
-                    if before != head and _linked(_overlap(own, other), len(own), len(other)):
+                    if before != head and _fragments_linked(own, other):
                         a.append(before)
                         b.append(head)
                         head = before if head == node else head
@@ -151,13 +201,13 @@ def _neighbour_links(classes: DataFrame) -> DataFrame:
     return rows.mapInArrow(compared, "a long, b long")
 
 
-_POSTED = pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("hash", "row", "common", "node", "label", "n", "bitmap"))])
-_POSTED_SQL = "part int, hash binary, row binary, common binary, node binary, label binary, n binary, bitmap binary"
+_POSTED = pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("hash", "row", "node", "label", "n", "bitmap"))])
+_POSTED_SQL = "part int, hash binary, row binary, node binary, label binary, n binary, bitmap binary"
 
 
-def _posted(found: np.ndarray, row: np.ndarray, common: np.ndarray, rows: dict[str, np.ndarray], n_parts: int) -> Iterator[pa.RecordBatch]:
+def _posted(found: np.ndarray, row: np.ndarray, rows: dict[str, np.ndarray], n_parts: int) -> Iterator[pa.RecordBatch]:
     """Shingles by part, each part with what its sets need to be told apart."""
-    for p in packed(part_of(found, n_parts), n_parts, {"hash": found, "row": row, "common": common}):
+    for p in packed(part_of(found, n_parts), n_parts, {"hash": found, "row": row}):
         used, at = np.unique(np.frombuffer(p["row"], dtype=np.int64), return_inverse=True)
         sent = {k: v[used].tobytes() for k, v in rows.items()}
         yield pa.RecordBatch.from_pylist([{**p, "row": at.astype(np.uint32).tobytes(), **sent}], schema=_POSTED)
@@ -169,7 +219,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarra
     for batch in batches:
         for r in batch.to_pylist():
             by_part.setdefault(r["part"], []).append(r)
-    kinds = {"hash": np.uint64, "row": np.uint32, "common": np.int32, "node": np.int64, "label": np.int64, "n": np.int64, "bitmap": np.uint64}
+    kinds = {"hash": np.uint64, "row": np.uint32, "node": np.int64, "label": np.int64, "n": np.int64, "bitmap": np.uint64}
     while by_part:
         _, rows = by_part.popitem()
         out = {c: [np.frombuffer(r[c] or b"", dtype=t) for r in rows] for c, t in kinds.items()}
@@ -178,65 +228,29 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarra
         yield {c: np.concatenate(x) for c, x in out.items()}
 
 
-def _common_shingles(classes: DataFrame, n_parts: int) -> DataFrame:
-    """``node, common``: for sets that hold any, their shingles of more than COMMON sets, with the number of sets."""
-
-    def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.frombuffer(x, dtype=np.uint64) for x in batch.column("shingles").to_pylist()]
-            if sets:
-                row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-                found = np.concatenate(sets)
-                yield from _posted(found, row, np.zeros(len(found), np.int32), {"node": batch.column("node").to_numpy()}, n_parts)
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in _gathered(batches):
-            found, inverse, counts = np.unique(p["hash"], return_inverse=True, return_counts=True)
-            often = counts[inverse] > COMMON
-            node, h, c = p["node"][p["row"][often]], p["hash"][often], counts[inverse[often]]
-            order = np.argsort(node, kind="stable")
-            node, h, c = node[order], h[order], c[order]
-            begin = np.flatnonzero(np.r_[True, node[1:] != node[:-1]]) if len(node) else np.zeros(0, np.int64)
-            pairs = np.stack([h, c.astype(np.uint64)], axis=1)
-            stops = np.r_[begin[1:], len(node)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(node[begin]), pa.array([pairs[a:b].tobytes() for a, b in zip(begin.tolist(), stops.tolist())], pa.binary())], ["node", "common"]
-            )
-
-    rows = classes.select("node", "shingles").mapInArrow(posted, _POSTED_SQL).repartition(n_parts, "part")
-    rows = rows.mapInArrow(counted, "node long, common binary")
-    return rows.groupBy("node").agg(F.collect_list("common").alias("common"))
-
-
 def bitmap(found: np.ndarray) -> np.ndarray:
     """Parity bitmap of a set: each member turns one bit, so two bitmaps differ in no more bits than the sets in members."""
     bits = np.bincount((_salted(found, 70) % np.uint64(BITMAP_BITS)).astype(np.int64), minlength=BITMAP_BITS) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.uint64)
 
 
-def _candidates(classes: DataFrame, n_parts: int) -> DataFrame:
+def _candidates(classes: DataFrame, order_, n_parts: int) -> DataFrame:
     """Pairs of sets ``a, b`` of different components that lengths, rarest shingles and bitmaps leave possible."""
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, label = (batch.column(c).to_numpy() for c in ("node", "label"))
-            found, row, often, n, maps = [], [], [], [], []
-            for i, (raw, common) in enumerate(zip(batch.column("shingles").to_pylist(), batch.column("common").to_pylist())):
+            found, row, n, maps = [], [], [], []
+            for i, raw in enumerate(batch.column("shingles").to_pylist()):
                 own = np.frombuffer(raw, dtype=np.uint64)
-                count = np.zeros(len(own), dtype=np.int64)
-                if common:
-                    pairs = np.frombuffer(b"".join(common), dtype=np.uint64).reshape(-1, 2)
-                    count[np.searchsorted(own, pairs[:, 0])] = pairs[:, 1].astype(np.int64)
-                prefix = len(own) - (PERCENT * len(own) + 99) // 100 + 1
-                rarest = np.lexsort((own, count))[:prefix]
-                found.append(own[rarest])
-                often.append(count[rarest].astype(np.int32))
+                rarest = order_.value.first(own, len(own) - (PERCENT * len(own) + 99) // 100 + 1)
+                found.append(rarest)
                 row.append(np.full(len(rarest), i))
                 n.append(len(own))
                 maps.append(bitmap(own))
             if found:
                 rows = {"node": node, "label": label, "n": np.array(n, dtype=np.int64), "bitmap": np.array(maps)}
-                yield from _posted(np.concatenate(found), np.concatenate(row), np.concatenate(often), rows, n_parts)
+                yield from _posted(np.concatenate(found), np.concatenate(row), rows, n_parts)
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in _gathered(batches):
@@ -284,7 +298,7 @@ def _ruled(pairs: np.ndarray, p: dict[str, np.ndarray], maps: np.ndarray, seen:
     return np.union1d(seen, np.concatenate(keep))
 
 
-def _counted_links(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _counted_links(pairs: DataFrame, classes: DataFrame, order_) -> DataFrame:
     """Pairs whose overlap, counted fragment by fragment and summed, reaches the limit."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,8 +306,7 @@ def _counted_links(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             rows = []
             for node, raw in zip(batch.column("node").to_pylist(), batch.column("shingles").to_pylist()):
                 own = np.frombuffer(raw, dtype=np.uint64)
-                bounds = np.searchsorted(own, np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64((1 << 64) // FRAGMENTS))
-                rows += [{"node": node, "fragment": f, "n": len(own), "part": x.tobytes()} for f, x in enumerate(np.split(own, bounds))]
+                rows += [{"node": node, "fragment": f, "n": len(own), "part": x.tobytes()} for f, x in enumerate(order_.value.fragments(own))]
             yield pa.RecordBatch.from_pylist(rows, schema=_FRAGMENT)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,12 +334,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     live = sets.filter("shingles is not null")
     classes = stored(live.groupBy("node", "check").agg(F.first("shingles").alias("shingles")).select("node", "shingles"), "classes")
     own = classes.select(F.col("node").alias("a"), F.col("node").alias("b"))
-    near = stored(_neighbour_links(classes), "near")
+    order_ = spark.sparkContext.broadcast(shingle_order(classes))
+    near = stored(_neighbour_links(classes, order_), "near")
     labels = components(near.union(own))
-    common = _common_shingles(classes, n_parts)
-    known = classes.join(labels, "node").join(common, "node", "left")
-    pairs = stored(_candidates(known, n_parts), "pairs")
-    links = stored(_counted_links(pairs, classes), "exact")
+    pairs = stored(_candidates(classes.join(labels, "node"), order_, n_parts), "pairs")
+    links = stored(_counted_links(pairs, classes, order_), "exact")
     a, b = (labels.select(F.col("node").alias(c), F.col("label").alias(f"to_{c}")) for c in "ab")
     merged = links.join(a, "a").join(b, "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))
     top = components(merged).select(F.col("node").alias("label"), F.col("label").alias("top"))

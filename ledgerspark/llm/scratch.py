@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.session import shared_folder
+from ledgerspark.session import app_folder
 
 
 def place(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}/{name}"
+    """A new path below the application's part of the shared folder."""
+    return f"{app_folder(spark)}/llm-{uuid.uuid4().hex}/{name}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

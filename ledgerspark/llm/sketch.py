@@ -1,9 +1,14 @@
-"""Count-min prefilter: sketches of the partitions are merged, and a key counted once in the merged sketch occurs once at most.
+"""Count-min sketches: those of the partitions are merged, and a count is never below the true one.
+
+``repeated`` is the prefilter: a key counted once in the merged sketch occurs once at most.
 
 A cell of the sketch counts to two: one plane of bits for "met", one for "met again". Cells are taken from a key's upper bits,
 so several keys may share one and a count is never too low: no repeated key is lost. The number of cells follows the input
 (``cells_for``) up to 2**MAX_BITS; beyond that more keys pass the filter and the exact stage after it has more to group,
 but the result stays the same. The plane sent to the tasks therefore has at most 2**MAX_BITS / 8 bytes (32 MB).
+
+``levels`` counts on: a byte per cell holds the logarithm of its count, 2**LEVEL_BITS cells (16 MB) at most. All tasks share it, so it
+is an order of keys by how often they occur, heavy ones last, that nobody has to be sent back.
 """
 
 from __future__ import annotations
@@ -23,6 +28,8 @@ from ledgerspark.llm.words import slices
 MAX_BITS = 28
 MIN_BITS = 16
 BLOCKS = 64
+LEVEL_BITS = 24
+STEPS = 4  # levels for each doubling of a count
 
 Keys = Callable[[pa.RecordBatch], np.ndarray]
 
@@ -57,46 +64,106 @@ class Planes:
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    blocks: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    blocks: dict[int, list[np.ndarray]] = {}
     for batch in batches:
-        for block, once, again in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            once, again = (np.frombuffer(zlib.decompress(x), dtype=np.uint8) for x in (once, again))
+        for block, *bodies in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            once, again, counts = (np.frombuffer(zlib.decompress(x), dtype=t) for x, t in zip(bodies, (np.uint8, np.uint8, np.uint32)))
             if block in blocks:
-                a, b = blocks[block]
-                blocks[block] = a | once, b | again | (a & once)
+                a, b, n = blocks[block]
+                blocks[block] = [a | once, b | again | (a & once), n + counts]
             else:
-                blocks[block] = once, again
-    for block, (_, again) in blocks.items():
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(again.tobytes(), 1)], pa.binary())], ["block", "again"])
+                blocks[block] = [once, again, counts.astype(np.int64)]
+    for block, (_, again, counts) in blocks.items():
+        bodies = (pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for x in (again, counts))
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *bodies], ["block", "again", "counts"])
+
+
+COUNT_BITS = 20
 
 
 def repeated(docs: DataFrame, keys: Keys, bits: int) -> np.ndarray:
     """Plane of the cells that hold more than one key of all texts."""
+    return repeated_counted(docs, keys, bits, False)[0]
+
+
+def repeated_counted(docs: DataFrame, keys: Keys, bits: int, with_counts: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The plane of ``repeated`` and, from the same pass, the counts of 2**COUNT_BITS coarser cells (8 MB in the driver)."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = Planes(bits)
+        cells = np.zeros(1 << COUNT_BITS if with_counts else 0, dtype=np.uint32)
         for batch in batches:
             for piece in slices(batch):
-                planes.add(keys(piece))
-        size = len(planes.once) // BLOCKS
+                found = keys(piece)
+                planes.add(found)
+                if with_counts:
+                    met, n = np.unique(found >> np.uint64(64 - COUNT_BITS), return_counts=True)
+                    cells[met.astype(np.int64)] += n.astype(np.uint32)
+        size, coarse = len(planes.once) // BLOCKS, len(cells) // BLOCKS
         for block in range(BLOCKS):
             once, again = (x[block * size : (block + 1) * size] for x in (planes.once, planes.again))
             if once.any():
+                bodies = (once, again, cells[block * coarse : (block + 1) * coarse])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block], pa.int32()), *(pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for x in (once, again))],
-                    ["block", "once", "again"],
+                    [pa.array([block], pa.int32()), *(pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for x in bodies)], ["block", "once", "again", "counts"]
                 )
 
-    rows = docs.mapInArrow(sketched, "block int, once binary, again binary")
-    rows = rows.repartition(parts(docs.sparkSession), "block").mapInArrow(_merged, "block int, again binary")
+    rows = docs.mapInArrow(sketched, "block int, once binary, again binary, counts binary")
+    rows = rows.repartition(parts(docs.sparkSession), "block").mapInArrow(_merged, "block int, again binary, counts binary")
     plane = np.zeros(1 << (bits - 3), dtype=np.uint8)
-    size = len(plane) // BLOCKS
+    counts = np.zeros(1 << COUNT_BITS if with_counts else 0, dtype=np.int64)
+    size, coarse = len(plane) // BLOCKS, len(counts) // BLOCKS
     for row in rows.toLocalIterator():
         plane[row.block * size : (row.block + 1) * size] = np.frombuffer(zlib.decompress(bytes(row.again)), dtype=np.uint8)
-    return plane
+        counts[row.block * coarse : (row.block + 1) * coarse] = np.frombuffer(zlib.decompress(bytes(row.counts)), dtype=np.int64)
+    return plane, counts
 
 
 def passes(plane: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
     """Which keys may occur more than once."""
     cells = keys >> np.uint64(64 - bits)
     return (plane[(cells >> np.uint64(3)).astype(np.int64)] >> (cells & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _level(counts: np.ndarray) -> np.ndarray:
+    return np.floor(STEPS * np.log2(np.maximum(counts, 1).astype(float))).astype(np.uint8)
+
+
+def levels(rows: DataFrame, keys: Keys, total: int) -> np.ndarray:
+    """Level of each cell for the keys of all rows; ``total`` is their number, for which the cells are chosen."""
+    bits = min(LEVEL_BITS, max(MIN_BITS, math.ceil(math.log2(2 * total + 1))))
+    size = (1 << bits) // BLOCKS
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(1 << bits, dtype=np.uint32)
+        for batch in batches:
+            met, n = np.unique(keys(batch) >> np.uint64(64 - bits), return_counts=True)
+            cells[met.astype(np.int64)] += n.astype(np.uint32)
+        for block in range(BLOCKS):
+            own = cells[block * size : (block + 1) * size]
+            at = np.flatnonzero(own)
+            if len(at):
+                body = np.concatenate([np.diff(at, prepend=0), own[at]]).astype("<u4").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(body, 1)], pa.binary())], ["block", "counts"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, body in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
+                at, n = np.frombuffer(zlib.decompress(body), dtype="<u4").reshape(2, -1).astype(np.int64)
+                cells = sums.setdefault(block, np.zeros(size, dtype=np.int64))
+                cells[np.cumsum(at)] += n
+        for block, cells in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(_level(cells).tobytes(), 1)], pa.binary())], ["block", "level"])
+
+    merged = rows.mapInArrow(counted, "block int, counts binary").repartition(parts(rows.sparkSession), "block").mapInArrow(added, "block int, level binary")
+    out = np.zeros(1 << bits, dtype=np.uint8)
+    for row in merged.toLocalIterator():
+        out[row.block * size : (row.block + 1) * size] = np.frombuffer(zlib.decompress(bytes(row.level)), dtype=np.uint8)
+    return out
+
+
+def level_of(plane: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Level of each key: no lower than that of its true count."""
+    bits = len(plane).bit_length() - 1
+    return plane[(keys >> np.uint64(64 - bits)).astype(np.int64)]

@@ -94,37 +94,106 @@ def plain_repeats(rows, size):
     return out
 
 
-@pytest.mark.parametrize("size, gram", [(400, 64), (60, 20)])
-def test_byte_repeats(spark, odd, copies, empty, monkeypatch, size, gram):
-    for name, value in (("LENGTH", size), ("GRAM", gram), ("LEFT", size - gram), ("FLUSH_BYTES", 20_000)):
-        monkeypatch.setattr(repeats, name, value)
+@pytest.mark.parametrize("options", [{}, {"flush_bytes": 20_000}, {"hot": 1, "flush_bytes": 20_000}])
+def test_byte_repeats(spark, odd, copies, empty, options):
     for frame, rows in frames(spark, odd, copies):
         rows = [r for r in rows if len(r[1] or "") < 20_000]
         frame = frame.filter(F.coalesce(F.length("text"), F.lit(0)) < 20_000)
-        if size == 400:  # the workers read the module's own values
-            assert sorted_rows(repeats.removed(frame), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sort_plain(plain_repeats(rows, size))
-    # the interval scan itself, in this process
-    rng = random.Random(size)
+        assert sorted_rows(repeats.removed(frame, **options), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sort_plain(plain_repeats(rows, 400))
+    assert repeats.removed(empty).count() == 0
+
+
+def test_hot_line_with_different_text_around(spark):
+    """A line shorter than LENGTH in every text, at most of its hot anchors' longer keys unshared, and some true repeats across it."""
+    rng = random.Random(2)
+    line = "".join(rng.choice("abcdefgh") for _ in range(350))
+    noise = lambda n: "".join(rng.choice("ijklmnop") for _ in range(n))
+    rows = [(k, noise(200) + line + noise(200)) for k in range(60)]
+    tail = noise(300)
+    rows += [(100 + k, noise(150) + line + tail[: 40 + 60 * k] + noise(99)) for k in range(5)]
+    rows += [(200 + k, tail[60 * k :] + line + noise(120)) for k in range(4)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sort_plain(plain_repeats(rows, 400))
+    for hot in (5, 10**6):
+        got = sorted_rows(repeats.removed(frame, hot=hot), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        assert got == want
+    assert sum(r[2] for r in want) > 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_group_scan_of_any_size(seed, monkeypatch):
+    """The interval scan itself, with short strings, in this process."""
+    size, gram = 60, 20
+    for name, value in (("LENGTH", size), ("GRAM", gram), ("LEFT", size - gram)):
+        monkeypatch.setattr(repeats, name, value)
+    rng = random.Random(seed)
     base = bytes(rng.randrange(97, 100) for _ in range(300))
     texts = [base[a : a + rng.randrange(80, 200)] + bytes(rng.randrange(97, 100) for _ in range(40)) for a in rng.choices(range(120), k=14)]
     data, offsets = np.frombuffer(b"".join(texts), dtype=np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])]
-    if size == 60:
-        at, keys = repeats.anchors(data, offsets)
-        owner = np.searchsorted(offsets, at, side="right") - 1
-        spans = [[] for _ in texts]
+    at, keys = repeats.anchors(data, offsets)
+    owner = np.searchsorted(offsets, at, side="right") - 1
+    for reach in (None, 500):
+        before, after = repeats._sides(reach)
+        room = max(before, after)
+        text = np.concatenate([np.zeros(room, np.uint8), data, np.zeros(room, np.uint8)])
+        left, right = np.minimum(at - offsets[owner], before), np.minimum(offsets[owner + 1] - at, after)
+        spans, groups = [[] for _ in texts], collections.defaultdict(set)
         for key in set(keys.tolist()):
-            own = [k for k in range(len(at)) if keys[k] == key]
-            right = {k: data[at[k] : min(offsets[owner[k] + 1], at[k] + size)].tobytes() for k in own}
-            left = {k: data[max(offsets[owner[k]], at[k] - size + gram) : at[k]].tobytes()[::-1] for k in own}
-            own.sort(key=lambda k: (right[k], left[k]))
-            common = [0, *repeats._shared([right[k] for k in own[:-1]], [right[k] for k in own[1:]], size).tolist()]
-            for m, before, after in repeats._group_spans([right[k] for k in own], [left[k] for k in own], common):
-                k = own[m]
-                spans[owner[k]].append((int(at[k] - offsets[owner[k]]) - before, int(at[k] - offsets[owner[k]]) + after))
-        want = plain_repeats(list(enumerate(t.decode() for t in texts)), size)
-        assert [sum(b - a for a, b in repeats._united(s)) for s in spans] == [w[2] for w in want]
-    if size == 400:
-        assert repeats.removed(empty).count() == 0
+            own = np.flatnonzero(keys == key)
+            if len(own) < 2:
+                continue
+            group = repeats._Group(text, at + room, left, right, own, (before, after))
+            if reach is None:
+                for k, a, b in zip(group.members.tolist(), *(x.tolist() for x in group.reach())):
+                    if b:
+                        spans[owner[k]].append((int(at[k] - offsets[owner[k]]) - a, int(at[k] - offsets[owner[k]]) + b))
+            else:
+                for a, b, members in group.groups():
+                    for k in members.tolist():
+                        groups[data[at[k] - a : at[k] + b].tobytes()].add((int(owner[k]), int(at[k] - offsets[owner[k]]) - a))
+        if reach is None:
+            want = plain_repeats(list(enumerate(t.decode() for t in texts)), size)
+            assert [sum(b - a for a, b in repeats._united(s)) for s in spans] == [w[2] for w in want]
+        else:
+            assert dict(groups) == plain_groups(texts, size)
+
+
+def plain_groups(texts, size):
+    """Every string of ``size`` or more that occurs twice and cannot be extended at all its places, with these places."""
+    out = {}
+    found = collections.defaultdict(list)
+    for i, t in enumerate(texts):
+        for a in range(len(t) - size + 1):
+            found[t[a : a + size]].append((i, a))
+    level, n = [places for places in found.values() if len(places) > 1], size
+    while level:
+        longer = []
+        for places in level:
+            ahead = collections.defaultdict(list)
+            for i, a in places:
+                ahead[texts[i][a + n] if a + n < len(texts[i]) else None].append((i, a))
+            behind = {texts[i][a - 1] if a else None for i, a in places}
+            if (len(ahead) > 1 or None in ahead) and (len(behind) > 1 or None in behind):
+                i, a = places[0]
+                out[texts[i][a : a + n]] = set(places)
+            longer += [more for x, more in ahead.items() if x is not None and len(more) > 1]
+        level, n = longer, n + 1
+    return out
+
+
+@pytest.mark.parametrize("options", [{}, {"hot": 1}])
+def test_repeat_groups_are_all_maximal_repeats(spark, options):
+    rng = random.Random(6)
+    draw = lambda n: bytes(rng.randrange(97, 107) for _ in range(n)).decode()
+    s, x, long = draw(450), draw(60), draw(5000)
+    texts = [draw(80) + s + draw(70), draw(30) + x + s + draw(200), x + s + draw(10), s, long + draw(50), draw(33) + long, long[900:1700], draw(700), "", None, s[20:] + draw(40), draw(90) + s + s]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = collections.defaultdict(set)
+    for r in repeats.repeat_groups(frame, reach=6000, **options).collect():
+        got[texts[r.doc_id][r.start : r.stop].encode()].add((r.doc_id, r.start))
+    want = plain_groups([(t or "").encode() for t in texts], 400)
+    assert dict(got) == want and max(map(len, want)) >= 5000
+    assert repeats.repeat_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
 def test_repeat_groups_hold_equal_strings(spark, copies):
@@ -172,7 +241,7 @@ def test_jaccard_components(spark, odd, copies, empty, monkeypatch):
         assert got == sort_plain(plain_jaccard(rows)[0])
     assert jaccard.near_duplicates(empty).count() == 0
     # without step 2 everything is left to the exact step
-    monkeypatch.setattr(jaccard, "_neighbour_links", lambda classes: spark.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(jaccard, "_neighbour_links", lambda *_: spark.createDataFrame([], "a long, b long"))
     frame, rows = frames(spark, odd, copies)[1]
     assert sorted_rows(jaccard.near_duplicates(frame), "doc_id", "n_shingles", "component_id") == sort_plain(plain_jaccard(rows)[0])
 
@@ -191,6 +260,61 @@ def test_keep_first_leaves_one_of_each_group(odd, empty):
     assert jaccard.keep_first(empty).count() == 0
 
 
+def test_rows_of_each_step_follow_the_members_not_the_parts(spark):
+    """Near copies of one text: each step's rows grow with their number, whatever the number of parts."""
+    rng = random.Random(3)
+    base = [f"t{k}" for k in range(120)]
+
+    def near(n):
+        rows = []
+        for k in range(n):
+            words = list(base)
+            for p in rng.sample(range(120), 1):
+                words[p] = f"x{k}.{p}"
+            rows.append((k, " ".join(words)))
+        return spark.createDataFrame(rows, "doc_id long, text string")
+
+    made = {}
+    for n in (200, 400):
+        classes = jaccard.stored(jaccard.document_sets(near(n)).filter("shingles is not null").select("node", "shingles"), "classes")
+        order = spark.sparkContext.broadcast(jaccard.shingle_order(classes))
+        links = jaccard.stored(jaccard._neighbour_links(classes, order), "links")
+        labels = components.components(links.union(classes.select(F.col("node").alias("a"), F.col("node").alias("b"))))
+        known = jaccard.stored(classes.join(labels, "node"), "known")
+        for n_parts in (64, 211):
+            made[n, n_parts] = (links.count(), labels.count(), jaccard._candidates(known, order, n_parts).count())
+    for n in (200, 400):
+        assert made[n, 64] == made[n, 211] and made[n, 64][0] <= 5 * 16 * n and made[n, 64][2] <= n
+    assert made[400, 64][0] <= 2.5 * made[200, 64][0]
+
+
+def test_order_cuts_sets_alike(spark):
+    rng = np.random.default_rng(4)
+    common = rng.integers(0, 2**64, 50, dtype=np.uint64)
+    sets = [np.unique(np.r_[common, rng.integers(0, 2**64, 60, dtype=np.uint64)]) for _ in range(80)]
+    frame = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(sets)], "node long, shingles binary")
+    order = jaccard.shingle_order(frame)
+    assert set(order.first(sets[0], 60).tolist()).isdisjoint(common.tolist())  # rare ones first
+    for a in sets[:10]:
+        cut = order.fragments(a)
+        assert sorted(np.concatenate(cut).tolist()) == sorted(a.tolist())
+        for b in sets[:10]:
+            both = len(np.intersect1d(a, b))
+            assert sum(jaccard._overlap(x, y) for x, y in zip(cut, order.fragments(b))) == both
+            assert jaccard._fragments_linked(cut, order.fragments(b)) == jaccard._linked(both, len(a), len(b))
+    assert min(sum(len(order.fragments(s)[f]) for s in sets) for f in range(jaccard.FRAGMENTS)) > 0
+
+
+def test_rounds_of_a_chain_in_order(spark):
+    links = spark.createDataFrame([(k, k + 1) for k in range(400)], "a long, b long")
+    labels, rounds = components.rounds(links)
+    rows = labels.collect()
+    assert {r.node for r in rows} == set(range(401)) and len({r.label for r in rows}) == 1 and 0 <= rows[0].label <= 400
+    assert rounds <= 14
+    negative = components.components(spark.createDataFrame([(-5, 2**62), (2**62, -(2**63))], "a long, b long")).collect()
+    assert {r.node for r in negative} == {-5, 2**62, -(2**63)} and len({r.label for r in negative}) == 1
+
+
 def test_components_of_random_links(spark):
     rng = random.Random(9)
     order = rng.sample(range(10**6), 120)
