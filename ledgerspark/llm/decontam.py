@@ -3,23 +3,27 @@
 Terms (lower-cased runs of letters and digits) fall into FEATURES columns by hash. Three passes over all texts:
 1. in how many passages of WINDOW words each column occurs (inverse document frequencies, squared: with them as they are the
    words that all texts share fill the latent space);
-2. the randomised range finder B = A'A R over the TF-IDF rows A of all passages of the corpus and, with equal total weight, of
-   the benchmark; every task sums its own share of B, the shares are added slice by slice, and an orthonormal basis of B's
-   columns spans the latent space;
-3. every window of WINDOW words, one each STEP words, is projected and compared with the projected benchmark items. Windows
-   that hold (with MARGIN words on both sides) MIN_ANSWER of an item's answer, the quarter of its words that the corpus has least
-   often, are candidates, and for these the longest common subsequence of item and window, with the margins, must hold MIN_COMMON
-   of the item's words. Where the cosine does not reach MIN_COSINE the subsequence must lie close together, in a stretch of the
+2. the randomised range finder B = A'A R over the TF-IDF rows A of all passages of the corpus and, with equal total weight, of all
+   items of the benchmark; every task sums its own share of B, and the shares are added slice by slice in the order of the tasks.
+   From B the singular values and right singular vectors of A follow in one pass (the Nystroem form of the randomised SVD: B = C R for
+   C = A'A, so C is about B (R'B)^-1 B', whose factor is decomposed); the vectors span the latent space;
+3. every window of WINDOW words, one each STEP words, is projected and compared with all projected benchmark items. Windows whose
+   cosine with an item reaches CANDIDATE are candidates; so are, as a second way in, windows that hold (with MARGIN words on
+   both sides) MIN_ANSWER of an item's answer, the quarter of its words that the corpus has least often. For candidates the
+   longest common subsequence of item and window, with the margins, is taken. Who holds MIN_ANSWER of the answer needs MIN_COMMON of the
+   item's words in order; where the cosine does not reach MIN_COSINE they must lie close together, in a stretch of the
    item's length divided by MIN_COMMON: an item that many rows hold has small weights and hardly a direction of its own, but its
-   words still stand there one after the other.
+   words still stand there one after the other. A paraphrase that has lost more of the answer needs PARAPHRASE of the words in
+   order, close together, and is found by its cosine alone.
 
 Items of more than WINDOW terms are looked for by their passages of at most WINDOW terms, each with its part of the item's
 answer: who holds MIN_ANSWER of the whole answer holds as much of one part. The item is then judged as a whole, over as much
 text around the window as its terms before and after the passage, divided by MIN_COMMON, may take; so much text is close together
 for its length whatever the cosine.
 
-The benchmark is the stated query set; it is taken in blocks of BLOCK items, each against all rows. Nothing else is collected
-but vectors of fixed size (FEATURES, and FEATURES x RANK for the basis).
+The benchmark is the stated query set; it is taken in blocks of ``block`` items, each against all rows. The latent space comes from all
+items, so the blocks do not change a cosine. Nothing else is collected but vectors of fixed size (FEATURES, and FEATURES x RANK
+for the basis).
 
 Defined cases: null and empty text holds no passage and leaks nothing; a text shorter than WINDOW is one passage; items with
 fewer than MIN_ITEM terms are left out, since any text holds them; a null doc_id is returned as null; equal rows give equal
@@ -33,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +49,9 @@ WINDOW = 64
 STEP = 32
 MARGIN = 64
 MIN_COSINE = 0.4
+CANDIDATE = 0.5
 MIN_COMMON = 0.7
+PARAPHRASE = 0.8
 MIN_ANSWER = 0.6
 MIN_ITEM = 5
 BLOCK = 2048
@@ -83,26 +89,32 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, x in zip(batch.column("slice").to_pylist(), batch.column("sums").to_pylist()):
-            sums[k] = sums.get(k, 0) + np.frombuffer(x, dtype=np.float32)
+            sums[k] = sums.get(k, 0) + np.frombuffer(x, dtype=np.float64)
     for k, x in sums.items():
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["slice", "sums"])
 
 
 def _added(rows: DataFrame, shape: tuple[int, ...]) -> np.ndarray:
     """Sum of the tasks' arrays, which come in SLICES binary rows each."""
-    total = np.zeros(int(np.prod(shape)), dtype=np.float32)
+    total = np.zeros(int(np.prod(shape)), dtype=np.float64)
     bounds = np.linspace(0, len(total), SLICES + 1).astype(int)
-    for row in rows.repartition(SLICES, "slice").mapInArrow(_summed, "slice int, sums binary").toLocalIterator():
-        total[bounds[row.slice] : bounds[row.slice + 1]] = np.frombuffer(bytes(row.sums), dtype=np.float32)
+    rows = rows.repartition(SLICES, "slice").sortWithinPartitions("slice", "task")
+    for row in rows.mapInArrow(_summed, "slice int, sums binary").toLocalIterator():
+        total[bounds[row.slice] : bounds[row.slice + 1]] = np.frombuffer(bytes(row.sums), dtype=np.float64)
     return total.reshape(shape)
 
 
+_SHARES = "slice int, task int, sums binary"
+
+
 def _cut(total: np.ndarray) -> Iterator[pa.RecordBatch]:
-    flat = np.ascontiguousarray(total, dtype=np.float32).reshape(-1)
+    flat = np.ascontiguousarray(total, dtype=np.float64).reshape(-1)
+    task = TaskContext.get().partitionId()
     bounds = np.linspace(0, len(flat), SLICES + 1).astype(int)
     for k in range(SLICES):
         if flat[bounds[k] : bounds[k + 1]].any():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([flat[bounds[k] : bounds[k + 1]].tobytes()], pa.binary())], ["slice", "sums"])
+            body = pa.array([flat[bounds[k] : bounds[k + 1]].tobytes()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([task], pa.int32()), body], ["slice", "task", "sums"])
 
 
 def _frequencies(docs: DataFrame) -> tuple[np.ndarray, float]:
@@ -122,7 +134,7 @@ def _frequencies(docs: DataFrame) -> tuple[np.ndarray, float]:
                     total[-1] += len(starts)
         yield from _cut(total)
 
-    total = _added(docs.select("text").mapInArrow(counted, "slice int, sums binary"), (FEATURES + 1,))
+    total = _added(docs.select("text").mapInArrow(counted, _SHARES), (FEATURES + 1,))
     return total[:-1], float(total[-1])
 
 
@@ -152,30 +164,41 @@ def _range(column: np.ndarray, starts: np.ndarray, weighted: np.ndarray, idf: np
         into[own[begin]] += sums * idf[own[begin], None]
 
 
-def latent_basis(docs: DataFrame, item_columns: list[np.ndarray], idf: np.ndarray, passages: float) -> np.ndarray:
-    """Orthonormal basis of the latent space, FEATURES x RANK."""
+def singular_vectors(sums: np.ndarray, random: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Right singular vectors and singular values of A, from B = A'A R and R."""
+    shift = np.sqrt(len(sums)) * np.finfo(float).eps * np.linalg.norm(sums, 2)
+    moved = sums + shift * random
+    small = random.T @ moved
+    values, turn = np.linalg.eigh((small + small.T) / 2)
+    held = values > values[-1] * 1e-12
+    vectors, found, _ = np.linalg.svd(moved @ (turn[:, held] / np.sqrt(values[held])), full_matrices=False)
+    return vectors, np.sqrt(np.maximum(found**2 - shift, 0))
+
+
+def latent_basis(docs: DataFrame, items: DataFrame, idf: np.ndarray) -> np.ndarray:
+    """The latent space of the corpus and all items: right singular vectors, FEATURES x RANK (fewer where there are no more)."""
     spark = docs.sparkSession
     random = np.random.default_rng(7).standard_normal((FEATURES, RANK)).astype(np.float32)
     weighted = spark.sparkContext.broadcast((random * idf[:, None], idf))
 
-    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, weights = weighted.value
-        total = np.zeros((FEATURES, RANK), dtype=np.float32)
-        for batch in batches:
-            for piece in slices(batch):
-                terms = Terms(piece.column("text"))
-                starts, _ = terms.chunks(WINDOW)
-                if len(starts):
-                    _range(terms.columns()[1], starts, rows, weights, total)
-        yield from _cut(total)
+    def shares(size: int):
+        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows, weights = weighted.value
+            total = np.zeros((FEATURES, RANK), dtype=np.float64)
+            for batch in batches:
+                for piece in slices(batch):
+                    terms = Terms(piece.column("text"))
+                    starts, _ = terms.chunks(size)
+                    if len(starts):
+                        _range(terms.columns()[1], starts, rows, weights, total)
+            yield from _cut(total)
 
-    corpus = _added(docs.select("text").mapInArrow(shares, "slice int, sums binary"), (FEATURES, RANK))
-    own = np.zeros((FEATURES, RANK), dtype=np.float32)
-    if item_columns:
-        starts = np.r_[0, np.cumsum([len(c) for c in item_columns])[:-1]]
-        _range(np.concatenate(item_columns), starts, random * idf[:, None], idf, own)
+        return added
+
+    corpus, own = (_added(x.select("text").mapInArrow(shares(WINDOW), _SHARES), (FEATURES, RANK)) for x in (docs, items))
     scale = [np.linalg.norm(x) or 1.0 for x in (corpus, own)]
-    return np.linalg.qr(corpus / scale[0] + own / scale[1])[0].astype(np.float32)
+    vectors, _ = singular_vectors(corpus / scale[0] + own / scale[1], random.astype(float))
+    return vectors.astype(np.float32)
 
 
 def common_subsequence(item: list[int], text: list[int]) -> int:
@@ -228,7 +251,7 @@ class Items:
                     vectors.append((basis[columns[a:b]] * idf[columns[a:b], None]).sum(axis=0))
                     parts.append(part)
                     places.append((i, a, len(terms) - b))
-        vectors = np.array(vectors, dtype=np.float32).reshape(-1, RANK)
+        vectors = np.array(vectors, dtype=np.float32).reshape(len(vectors), basis.shape[1])
         owner = np.repeat(np.arange(len(parts)), [len(a) for a in parts])
         term = np.array([t for a in parts for t in a], dtype=np.uint64)
         order = np.argsort(term, kind="stable")
@@ -277,14 +300,24 @@ def _answered(terms: Terms, hashes: np.ndarray, text: np.ndarray, asked: tuple)
     return found[counts >= need[found % len(need)]]
 
 
-def _confirmed(piece: pa.RecordBatch, items: dict, weighted: np.ndarray) -> pa.RecordBatch:
+def _near(rows: np.ndarray, items: np.ndarray, candidate: float) -> np.ndarray:
+    """Numbers window * items + item of the pairs whose cosine reaches ``candidate``."""
+    out, step = [np.zeros(0, np.int64)], max(1, (1 << 21) // max(1, len(items)))
+    for a in range(0, len(rows), step):
+        window, item = np.nonzero(rows[a : a + step] @ items.T >= candidate)
+        out.append((window + a) * len(items) + item)
+    return np.concatenate(out)
+
+
+def _confirmed(piece: pa.RecordBatch, items: dict, weighted: np.ndarray, candidate: float = CANDIDATE) -> pa.RecordBatch:
     terms = Terms(piece.column("text"))
     starts, before = terms.chunks(STEP)
     best: dict[tuple[int, int], tuple] = {}
     if len(starts) and items["ids"]:
         hashes, column = terms.columns()
         rows, text, first = _windows(terms, _project(column, weighted, starts), before)
-        answered, n = _answered(terms, hashes, text, items["asked"]), len(items["places"])
+        n = len(items["places"])
+        answered = np.union1d(_answered(terms, hashes, text, items["asked"]), _near(rows, items["vectors"], candidate))
         known, around, held_terms, judged = None, [], set(), set()
         window, of = answered // n, answered % n
         cosines = np.concatenate([np.zeros(0, np.float32)] + [np.einsum("ij,ij->i", rows[window[a : a + _RUN]], items["vectors"][of[a : a + _RUN]]) for a in range(0, len(window), _RUN)])
@@ -310,9 +343,11 @@ def _confirmed(piece: pa.RecordBatch, items: dict, weighted: np.ndarray) -> pa.R
                 continue
             held = len(answer & held_terms) / len(answer)
             if held < MIN_ANSWER:
-                continue
+                if cosine < candidate:
+                    continue
+                least = int(np.ceil(PARAPHRASE * len(item) - 1e-9))
             common = common_subsequence(item, around)
-            if common >= least and (cosine >= MIN_COSINE or ahead or behind or lies_close(item, around, least)):
+            if common >= least and (held >= MIN_ANSWER and (cosine >= MIN_COSINE or ahead or behind) or lies_close(item, around, least)):
                 found = (common / len(item), held, cosine, -(at - int(terms.first[t])))
                 if found > best.get((t, i), (0.0,)):
                     best[t, i] = found
@@ -324,7 +359,7 @@ def _confirmed(piece: pa.RecordBatch, items: dict, weighted: np.ndarray) -> pa.R
     return pa.RecordBatch.from_pylist(out, schema=_RESULT)
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[Broadcast]:
+def _blocks(docs: DataFrame, benchmark: DataFrame, size: int) -> Iterator[Broadcast]:
     """The benchmark's blocks, ready for the search over all rows of ``docs``."""
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("item_id is not null and text is not null")
     if items.isEmpty():
@@ -332,31 +367,33 @@ def _blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[Broadcast]:
     docs = docs.select(F.col("text").cast("string"))
     seen, passages = _frequencies(docs)
     idf = (np.log((1.0 + passages) / (1.0 + seen)) ** 2).astype(np.float32)
+    basis = latent_basis(docs, items.filter(F.col("text") != ""), idf)
     last = None
     while True:
         some = items if last is None else items.filter(F.col("item_id") > last)
-        rows = [(r.item_id, r.text) for r in some.orderBy("item_id").limit(BLOCK).collect()]
+        rows = [(r.item_id, r.text) for r in some.orderBy("item_id").limit(size).collect()]
         if not rows:
             return
         last = rows[-1][0]
-        if len(rows) == BLOCK:  # items that share the last id belong to this block
+        if len(rows) == size:  # items that share the last id belong to this block
             rows = [x for x in rows if x[0] != last] + [(r.item_id, r.text) for r in items.filter(F.col("item_id") == last).collect()]
-        block = Items(rows)
-        basis = latent_basis(docs, block.columns, idf, passages)
-        yield docs.sparkSession.sparkContext.broadcast((block.ready(idf, basis), basis * idf[:, None]))
+        yield docs.sparkSession.sparkContext.broadcast((Items(rows).ready(idf, basis), basis * idf[:, None]))
+
 
+def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, candidate: float = CANDIDATE) -> DataFrame:
+    """``doc_id, item_id, first_word, cosine, common, answer`` of the items that rows of ``docs`` hold.
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``doc_id, item_id, first_word, cosine, common, answer`` of the items that rows of ``docs`` hold."""
+    ``candidate`` is the cosine from which a window is looked at for its cosine alone (above 1: never).
+    """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = docs.sparkSession.createDataFrame([], RESULT)
-    for ready in _blocks(docs, benchmark):
+    for ready in _blocks(docs, benchmark, block):
 
         def search(batches: Iterator[pa.RecordBatch], ready=ready) -> Iterator[pa.RecordBatch]:
             found, weighted = ready.value
             for batch in batches:
                 for piece in slices(batch):
-                    yield _confirmed(piece, found, weighted)
+                    yield _confirmed(piece, found, weighted, candidate)
 
         out = out.union(docs.mapInArrow(search, RESULT))
     return out
@@ -365,7 +402,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with the columns they came with; each row is judged by its text."""
     out = docs
-    for ready in _blocks(docs, benchmark):
+    for ready in _blocks(docs, benchmark, BLOCK):
 
         def keep(batches: Iterator[pa.RecordBatch], ready=ready) -> Iterator[pa.RecordBatch]:
             found, weighted = ready.value

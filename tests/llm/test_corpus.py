@@ -476,3 +476,54 @@ def test_lm_scores(spark, odd, empty):
     nothing, none = lm.train(empty, path)
     assert lm.score(empty, nothing, none).count() == 0
     assert lm.score(frame, nothing, none).filter("n_known = 0").count() == len(rows)
+
+
+def test_singular_vectors_of_one_pass():
+    rng = np.random.default_rng(2)
+    left, right = np.linalg.qr(rng.normal(size=(200, 10)))[0], np.linalg.qr(rng.normal(size=(60, 10)))[0]
+    a = left * (2.0 ** -np.arange(10)) @ right.T
+    random_ = rng.normal(size=(60, 16))
+    vectors, values = decontam.singular_vectors(a.T @ (a @ random_), random_)
+    assert np.allclose(values[:8], 2.0 ** -np.arange(8), rtol=1e-3)
+    assert np.allclose(np.abs((vectors[:, :8] * right[:, :8]).sum(axis=0)), 1, atol=1e-4)
+
+
+def paraphrased(docs, items, share, seed):
+    """Items whose rarest words, ``share`` of all, are others, in the middle of unrelated texts; the plain texts beside them."""
+    rng = random.Random(seed)
+    seen = collections.Counter(w for _, t in docs for w in set(re.findall(r"\w+", (t or "").lower())))
+    texts, truth = [], set()
+    for k, (i, t) in enumerate(items):
+        words = re.findall(r"\w+", t.lower())
+        for p in sorted(range(len(words)), key=lambda p: seen[words[p]])[: int(share * len(words))]:
+            words[p] = f"other{rng.randrange(10**6)}"
+        around = re.findall(r"\S+", docs[rng.randrange(len(docs))][1] or "")[:30]
+        texts.append((10**6 + k, " ".join([*around, *words, *around])))
+        truth.add((10**6 + k, i))
+    return texts, truth
+
+
+def test_paraphrases_without_the_rare_words(spark):
+    """Found by their cosine alone: without it they are lost. Blocks of any size give the same rows and cosines."""
+    docs = ds_rows("documents", "doc_id", "text")
+    items = [(i, t) for i, t in ds_rows("benchmark", "item_id", "text") if len(t.split()) >= 15][:60]
+    texts, truth = paraphrased(docs, items, 0.18, 3)
+    frame = spark.createDataFrame([*docs, *texts], "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda **k: {(r.doc_id, r.item_id): r.cosine for r in decontam.leaks(frame, bench, **k).collect()}
+    whole = rows()
+    recall = len(truth & whole.keys()) / len(truth)
+    without = len(truth & rows(candidate=2.0).keys()) / len(truth)
+    print("recall of paraphrases", recall, "without the cosine", without)
+    assert recall >= 0.9 and without < 0.5
+    assert {p for p in whole if p[0] >= 10**6} <= truth
+    parts = rows(block=7)
+    assert parts.keys() == whole.keys() and all(abs(parts[p] - whole[p]) < 1e-6 for p in whole)
+
+
+def ds_rows(name, *columns):
+    import pyarrow.dataset as ds
+    from conftest import SF
+
+    table = ds.dataset(f"{SF}/{name}.parquet").to_table(columns=list(columns))
+    return list(zip(*(table[c].to_pylist() for c in columns)))
