@@ -1,7 +1,8 @@
 """Suffix-array dedup: byte strings of LENGTH or more that start twice anywhere, found as maximal repeats.
 
 Anchors. Of every LENGTH bytes the least hash of GRAM bytes marks an anchor (winnowing), so equal strings of LENGTH bytes hold
-the same anchor at the same place. A merged sketch over anchor hashes leaves those that may occur twice; each of these is sent
+the same anchor at the same place, and at least half of their other bytes lie on one side of it. A merged sketch over the hashes of anchors
+with so many bytes before, and with so many after, leaves the anchors for which one may occur twice; each of these is sent
 to its hash's part with the bytes around it, at most LENGTH - GRAM before and LENGTH after, which is all that a string of
 LENGTH bytes holding the anchor can touch. Where only spans are asked for, a task sends equal contexts once, and
 compressed: most of them overlap nothing that travels with them.
@@ -83,8 +84,33 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return chosen, grams[chosen]
 
 
-def _keys(piece: pa.RecordBatch) -> np.ndarray:
-    return anchors(*text_bytes(piece.column("text")))[1]
+def _sums(data: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_byte_values(17)[data] * _powers(len(data) + 1)[0][: len(data)], out=total[1:])
+    return total
+
+
+def _span_hashes(total: np.ndarray, low: np.ndarray, high: np.ndarray, kind: int) -> np.ndarray:
+    """Hashes of the bytes from each ``low`` to its ``high``; different for spans of a different kind."""
+    return mixed(((total[high] - total[low]) * _powers(len(total))[1][low]) ^ np.uint64(kind))
+
+
+def _halves(total: np.ndarray, at: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Which anchors have half of LEFT bytes before, or after, and the hashes of these spans."""
+    for kind, before, after in ((101, LEFT // 2, 0), (102, 0, LEFT // 2)):
+        low, high = at - before, at + GRAM + after
+        ok = np.flatnonzero((low >= begin) & (high <= stop))
+        yield ok, _span_hashes(total, low[ok], high[ok], kind)
+
+
+def _keys(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes for the sketch, and those of the anchors themselves, which are counted."""
+    data, offsets = text_bytes(piece.column("text"))
+    at, grams = anchors(data, offsets)
+    if not len(at):
+        return grams, grams
+    owner = np.searchsorted(offsets, at, side="right") - 1
+    return np.concatenate([x for _, x in _halves(_sums(data), at, offsets[owner], offsets[owner + 1])]), grams
 
 
 _SENT = pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("key", "left", "right", "text", "open", "row", "place", "ids", "marks", "spans"))])
@@ -108,17 +134,14 @@ def _name(text: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest()) >> 1
 
 
-def _longer(data: np.ndarray, at: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _longer(total: np.ndarray, at: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each way of sharing the bytes between the sides: which anchors have them, and the hashes of their longer spans."""
-    up, down = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_byte_values(17)[data] * up[: len(data)], out=total[1:])
     # with LEFT bytes more in all, one of SHARES + 1 steps on the right and the rest on the left, less one step that may be split
     step = LEFT // (SHARES + 1)
     for k in range(SHARES + 1):
         low, high = at - step * (SHARES - k), at + GRAM + step * k
         ok = np.flatnonzero((low >= begin) & (high <= stop))
-        yield ok, mixed(((total[high[ok]] - total[low[ok]]) * down[low[ok]]) ^ np.uint64(k + 1))
+        yield ok, _span_hashes(total, low[ok], high[ok], k + 1)
 
 
 def _sides(reach: int | None) -> tuple[int, int]:
@@ -141,15 +164,19 @@ class _Held:
     def add(self, piece: pa.RecordBatch, plane: np.ndarray, bits: int) -> None:
         data, offsets = text_bytes(piece.column("text"))
         at, keys = anchors(data, offsets)
-        some = sketch.passes(plane, bits, keys)
-        at, keys = at[some], keys[some]
-        owner = np.searchsorted(offsets, at, side="right") - 1
+        if not len(at):
+            return
+        total, owner = _sums(data), np.searchsorted(offsets, at, side="right") - 1
+        some = np.zeros(len(at), dtype=bool)
+        for ok, hashes in _halves(total, at, offsets[owner], offsets[owner + 1]):
+            some[ok] |= sketch.passes(plane, bits, hashes)
+        at, keys, owner = at[some], keys[some], owner[some]
         begin, stop = offsets[owner], offsets[owner + 1]
         hot = self.hot[(keys >> np.uint64(64 - (len(self.hot).bit_length() - 1))).astype(np.int64)]
         rows = [(np.flatnonzero(~hot), keys[~hot])]
         if hot.any():
             there = np.flatnonzero(hot)
-            rows += [(there[ok], longer) for ok, longer in _longer(data, at[hot], begin[hot], stop[hot])]
+            rows += [(there[ok], longer) for ok, longer in _longer(total, at[hot], begin[hot], stop[hot])]
         left, right = np.maximum(begin, at - self.left), np.minimum(stop, at + self.right)
         ids = piece.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)[owner]
         marks = piece.column("mark").to_numpy(zero_copy_only=False)[owner]
@@ -350,7 +377,7 @@ def repeat_spans(docs: DataFrame, reach: int | None = None, hot: int = HOT, flus
     """
     spark = docs.sparkSession
     n_parts = parts(spark)
-    bits = sketch.cells_for(docs, (LENGTH - GRAM) / 2)
+    bits = sketch.cells_for(docs, LEFT / 4)  # two keys for each anchor
     again, counts = sketch.repeated_counted(docs.select("text"), _keys, bits)
     plane = spark.sparkContext.broadcast(again)
     heavy = spark.sparkContext.broadcast(counts > max(hot, HOT_SHARE * counts.mean()))

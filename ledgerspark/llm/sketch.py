@@ -86,18 +86,21 @@ def repeated(docs: DataFrame, keys: Keys, bits: int) -> np.ndarray:
     return repeated_counted(docs, keys, bits, False)[0]
 
 
-def repeated_counted(docs: DataFrame, keys: Keys, bits: int, with_counts: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """The plane of ``repeated`` and, from the same pass, the counts of 2**COUNT_BITS coarser cells (8 MB in the driver)."""
+def repeated_counted(docs: DataFrame, keys: Callable, bits: int, with_counts: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The plane of ``repeated`` and, from the same pass, counts of 2**COUNT_BITS coarser cells (8 MB in the driver).
+
+    With counts ``keys`` gives the keys of the plane and those that are counted.
+    """
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = Planes(bits)
         cells = np.zeros(1 << COUNT_BITS if with_counts else 0, dtype=np.uint32)
         for batch in batches:
             for piece in slices(batch):
-                found = keys(piece)
+                found, other = keys(piece) if with_counts else (keys(piece), None)
                 planes.add(found)
                 if with_counts:
-                    met, n = np.unique(found >> np.uint64(64 - COUNT_BITS), return_counts=True)
+                    met, n = np.unique(other >> np.uint64(64 - COUNT_BITS), return_counts=True)
                     cells[met.astype(np.int64)] += n.astype(np.uint32)
         size, coarse = len(planes.once) // BLOCKS, len(cells) // BLOCKS
         for block in range(BLOCKS):
