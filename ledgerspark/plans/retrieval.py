@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerspark.operators import ivf
+from ledgerspark.session import staged
+
 # Passage size, overlap, separators from coarse to fine, neighbours per question.
 CHUNK, OVERLAP = 500, 50
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 NEIGHBOURS = 4
 MAX_QUESTIONS = 4096  # questions sent to every task
 BLOCK = 256  # questions compared with a batch at once
+WIDTH = 128  # places of a passage's vector
+CHUNK_BITS = 20  # passages of a document that its ids leave room for
 
 
 def _parts(text: str, separators: tuple[str, ...]) -> tuple[list[str], tuple[str, ...]]:
@@ -91,7 +99,6 @@ def nearest(vectors: DataFrame, questions: DataFrame, k: int = NEIGHBOURS, limit
     in blocks by a hash of their id. A task keeps k candidates per question and batch, and the final choice sees
     those only; pairs of all vectors with all questions are never written.
     """
-    import numpy as np
     import pandas as pd
 
     def unit(vector) -> np.ndarray | None:
@@ -143,6 +150,50 @@ def nearest(vectors: DataFrame, questions: DataFrame, k: int = NEIGHBOURS, limit
     return ranked.withColumn("similarity", F.round("similarity", 6))
 
 
+def text_vector(text: str) -> np.ndarray:
+    """Hashed words of a text: each word adds or takes 1 + log of its count at a place of its own."""
+    counts: dict[int, int] = {}
+    for word in text.lower().split():
+        h = zlib.crc32(word.encode())
+        counts[h] = counts.get(h, 0) + 1
+    out = np.zeros(WIDTH)
+    for h, n in counts.items():
+        out[h % WIDTH] += (1 - 2 * (h >> 31)) * (1 + np.log(n))
+    return out
+
+
+def with_vector(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """Add the vector of a text column; null for null and blank texts."""
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [text_vector(t).tolist() if t and t.strip() else None for t in batch.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.float64()))], [*batch.schema.names, name])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(added, f"{kinds}, `{name}` array<double>")
+
+
+def passage_table(documents: DataFrame) -> DataFrame:
+    """Every passage of all documents with its vector: ``id`` (document and passage number in one), ``doc_id, source, chunk_no, chunk, vector``."""
+    rows = with_vector(chunks(documents), "chunk", "vector")
+    return rows.withColumn("id", F.shiftleft("doc_id", CHUNK_BITS).bitwiseOR(F.col("chunk_no").cast("long")))
+
+
+def passage_answers(documents: DataFrame, questions: DataFrame, k: int = NEIGHBOURS, probes: int = ivf.PROBES) -> DataFrame:
+    """The k passages nearest to each of ``questions(query_id, text)``, by an index over the passages of all documents."""
+    passages = staged(passage_table(documents))
+    asked = with_vector(questions.select("query_id", "text"), "text", "query")
+    found = ivf.search(ivf.build(passages.select("id", "vector")), asked, k, probes)
+    return found.join(passages.select("id", "doc_id", "chunk_no", "source"), "id").select("query_id", "rank", "doc_id", "chunk_no", "source", F.round("similarity", 6).alias("similarity"))
+
+
+def indexed_nearest(vectors: DataFrame, questions: DataFrame, k: int = NEIGHBOURS, probes: int = ivf.PROBES) -> DataFrame:
+    """``nearest`` by an index: the questions are joined, not sent to every task."""
+    found = ivf.search(ivf.build(vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))), questions, k, probes)
+    return found.select("query_id", F.col("id").alias("vec_id"), F.round("similarity", 6).alias("similarity"), "rank")
+
+
 def answer_sources(found: DataFrame, documents: DataFrame) -> DataFrame:
     """Distinct sorted sources of the passages behind every question."""
     j = found.join(documents.select(F.col("doc_id").alias("vec_id"), "source"), "vec_id")

@@ -494,6 +494,17 @@ def _knn(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.nearest(vectors, retrieval.label_questions(vectors))
 
 
+def _knn_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    return retrieval.indexed_nearest(vectors, retrieval.label_questions(vectors))
+
+
+def _rag_passages(spark: SparkSession, sf: str) -> DataFrame:
+    """Passages of all documents for every benchmark item."""
+    questions = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return retrieval.passage_answers(table(spark, sf, "documents"), questions)
+
+
 def _rag(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.answer_sources(_knn(spark, sf), table(spark, sf, "documents"))
 
@@ -580,6 +591,8 @@ PEOPLE: dict[str, Query] = {
     "rag_chunks": lambda spark, sf: retrieval.chunks(table(spark, sf, "documents")),
     "knn_topk": _knn,
     "rag_retrieve": _rag,
+    "knn_indexed": _knn_indexed,
+    "rag_passages": _rag_passages,
     "stream_day_total": _stream_day_total,
     "stream_hourly": _stream_hourly,
     "stream_dedup": _stream_dedup,

@@ -9,7 +9,7 @@ from ledgerspark.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 TWINS = all_sql()
-ROWS_ONLY = {"rag_chunks"}
+ROWS_ONLY = {"rag_chunks", "knn_indexed", "rag_passages"}
 
 
 @pytest.fixture(scope="module")
