@@ -3,7 +3,9 @@
 ``quality(docs)`` gives one row per input row. Words are runs of bytes other than space and 0x09-0x0D. For each text the
 suffixes of its word sequence are sorted, the common prefixes of neighbours give the LCP intervals, and an interval whose
 occurrences are preceded by different words is a maximal repeated substring. The spans of those of MIN_WORDS or more are
-united: a text is refused when they cover too large a share of its characters or when one repeat is too long.
+united: a text is refused when they cover too large a share of its characters or when one repeat is too long, by itself or for the
+text. The base rule allows a fifth of the words in repeated windows, so these limits also refuse texts that it lets pass: long words
+repeated among short ones, and one long passage given twice.
 
 Defined cases: null or empty text has no words, so the base rule refuses it; equal rows each give their row; an empty
 table gives an empty result; only ``doc_id`` and ``text`` are read, so further columns of any name do no harm.
@@ -23,8 +25,10 @@ from ledgerspark.llm.words import Words, slices, text_bytes, window_starts, wind
 MIN_WORDS = 5
 MIN_COUNT = 10
 MAX_REPEAT_PERCENT = 20  # words in repeated windows of MIN_WORDS
-MAX_COVERED_PERCENT = 30  # characters of words that maximal repeats cover
+MAX_COVERED_PERCENT = 15  # characters of words that maximal repeats cover
 MAX_LONGEST_WORDS = 200
+MAX_LONGEST_PERCENT = 8  # words of the longest repeat, of the text's
+LONG_REPEAT = 20  # words from which that share counts
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -209,6 +213,7 @@ def _judged(batch: pa.RecordBatch) -> pa.RecordBatch:
     repeat_words = _sums(repeated, words.first)
     failed = (counts < MIN_COUNT) | (100 * repeat_words > MAX_REPEAT_PERCENT * counts)
     kept = ~failed & (100 * covered_chars <= MAX_COVERED_PERCENT * word_chars) & (longest <= MAX_LONGEST_WORDS)
+    kept &= (longest < LONG_REPEAT) | (100 * longest <= MAX_LONGEST_PERCENT * counts)
     return pa.RecordBatch.from_arrays(
         [
             batch.column("doc_id").cast(pa.int64()),

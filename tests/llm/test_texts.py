@@ -32,6 +32,7 @@ def plain_quality(text):
     covered = sum(len(words[p]) for p in repeated)
     failed = len(words) < 10 or 100 * len(repeated) > 20 * len(words)
     kept = not failed and 100 * covered <= quality.MAX_COVERED_PERCENT * chars and longest <= quality.MAX_LONGEST_WORDS
+    kept = kept and (longest < quality.LONG_REPEAT or 100 * longest <= quality.MAX_LONGEST_PERCENT * len(words))
     return (len(words), chars, sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(repeated), covered, longest, failed, kept)
 
 
@@ -240,3 +241,16 @@ def test_redaction_keeps_columns(odd, empty):
     assert done.columns == frame.columns and done.count() == len(rows)
     assert sorted_rows(done, "_row", "base") == [("x", "x")] * len(rows)
     assert pii.redact(empty).count() == 0
+
+
+def test_texts_that_only_the_suffix_rule_refuses(spark):
+    plain = [f"w{k}" for k in range(260)]
+    passage = [f"p{k}" for k in range(24)]
+    twice = " ".join([*plain[:100], *passage, *plain[100:230], *passage])  # 48 of 278 words repeated, one passage of 24
+    long_words = [f"{'x' * 40}{k}" for k in range(5)]
+    heavy = " ".join([*long_words, *plain[:60], *long_words])  # 10 of 70 words, but half of the characters
+    clean = " ".join([*plain[:100], *passage[:6], *plain[100:230], *passage[:6]])
+    prose = " ".join(plain)
+    frame = spark.createDataFrame([(1, twice), (2, heavy), (3, clean), (4, prose)], "doc_id long, text string")
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality.quality(frame).collect()}
+    assert got == {1: (False, False), 2: (False, False), 3: (False, True), 4: (False, True)}
