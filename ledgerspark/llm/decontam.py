@@ -99,7 +99,7 @@ def _added(rows: DataFrame, shape: tuple[int, ...]) -> np.ndarray:
     total = np.zeros(int(np.prod(shape)), dtype=np.float64)
     bounds = np.linspace(0, len(total), SLICES + 1).astype(int)
     rows = rows.repartition(SLICES, "slice").sortWithinPartitions("slice", "task")
-    for row in rows.mapInArrow(_summed, "slice int, sums binary").toLocalIterator():
+    for row in rows.mapInArrow(_summed, "slice int, sums binary").collect():
         total[bounds[row.slice] : bounds[row.slice + 1]] = np.frombuffer(bytes(row.sums), dtype=np.float64)
     return total.reshape(shape)
 

@@ -116,7 +116,7 @@ def repeated_counted(docs: DataFrame, keys: Callable, bits: int, with_counts: bo
     plane = np.zeros(1 << (bits - 3), dtype=np.uint8)
     counts = np.zeros(1 << COUNT_BITS if with_counts else 0, dtype=np.int64)
     size, coarse = len(plane) // BLOCKS, len(counts) // BLOCKS
-    for row in rows.toLocalIterator():
+    for row in rows.collect():  # BLOCKS rows at most, of a size that is bounded
         plane[row.block * size : (row.block + 1) * size] = np.frombuffer(zlib.decompress(bytes(row.again)), dtype=np.uint8)
         counts[row.block * coarse : (row.block + 1) * coarse] = np.frombuffer(zlib.decompress(bytes(row.counts)), dtype=np.int64)
     return plane, counts
@@ -161,7 +161,7 @@ def levels(rows: DataFrame, keys: Keys, total: int) -> np.ndarray:
 
     merged = rows.mapInArrow(counted, "block int, counts binary").repartition(parts(rows.sparkSession), "block").mapInArrow(added, "block int, level binary")
     out = np.zeros(1 << bits, dtype=np.uint8)
-    for row in merged.toLocalIterator():
+    for row in merged.collect():  # BLOCKS rows at most
         out[row.block * size : (row.block + 1) * size] = np.frombuffer(zlib.decompress(bytes(row.level)), dtype=np.uint8)
     return out
 
