@@ -49,7 +49,7 @@ WINDOW = 64
 STEP = 32
 MARGIN = 64
 MIN_COSINE = 0.4
-CANDIDATE = 0.5
+CANDIDATE = 0.85
 MIN_COMMON = 0.7
 PARAPHRASE = 0.8
 MIN_ANSWER = 0.6
