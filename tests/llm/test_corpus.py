@@ -94,7 +94,7 @@ def plain_repeats(rows, size):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"flush_bytes": 20_000}, {"hot": 1, "flush_bytes": 20_000}])
+@pytest.mark.parametrize("options", [{}, {"hot": 1, "flush_bytes": 20_000}])
 def test_byte_repeats(spark, odd, copies, empty, options):
     for frame, rows in frames(spark, odd, copies):
         rows = [r for r in rows if len(r[1] or "") < 20_000]
