@@ -190,7 +190,10 @@ def latent_basis(docs: DataFrame, items: DataFrame, idf: np.ndarray) -> np.ndarr
                     terms = Terms(piece.column("text"))
                     starts, _ = terms.chunks(size)
                     if len(starts):
-                        _range(terms.columns()[1], starts, rows, weights, total)
+                        # a slice adds up in half the memory, and the slices in full precision
+                        own = np.zeros((FEATURES, RANK), dtype=np.float32)
+                        _range(terms.columns()[1], starts, rows, weights, own)
+                        total += own
             yield from _cut(total)
 
         return added
