@@ -83,7 +83,10 @@ def _account_rows(accounts: tuple) -> Column:
 
 
 def _period_rows(cube: DataFrame) -> DataFrame:
-    """Year, quarter and month rows from one pass over the month sums; accounts unpivot without a shuffle."""
+    """Year, quarter and month rows from one pass over the month sums; accounts unpivot without a shuffle.
+
+    The month sums of a supplier, a bounded number, meet before they are tripled into periods, so only they are shuffled.
+    """
     first = F.col("month")
     ends = (
         ("ANUAL", F.make_date(F.year(first), F.lit(12), F.lit(31))),
@@ -93,7 +96,8 @@ def _period_rows(cube: DataFrame) -> DataFrame:
     periods = F.array(*[F.struct(F.lit(kind).alias("period_type"), end.alias("date")) for kind, end in ends])
     sums = sorted({a[2:] for a in PLAIN_ACCOUNTS + DOTTED_ACCOUNTS}, key=lambda s: _column(*s))
     wide = (
-        cube.select("*", F.inline(periods))
+        cube.repartition("l_suppkey")
+        .select("*", F.inline(periods))
         .groupBy("l_suppkey", "period_type", "date")
         .agg(*[_account_sum(*s) for s in sums])
     )
