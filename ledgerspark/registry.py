@@ -34,7 +34,7 @@ from ledgerspark.plans import (
     validation,
 )
 from ledgerspark.plans import star as st
-from ledgerspark.session import app_folder, text_once
+from ledgerspark.session import app_folder, staged, text_once
 from ledgerspark.sources.adapters import AS_OF, PAY_MONTH, PAY_YEAR, load
 from ledgerspark.sources import files
 from ledgerspark.sources.files import STATEMENT_COLUMNS, read_statements
@@ -71,7 +71,7 @@ def _norm_counts(fs: DataFrame) -> DataFrame:
 
 def _fact(spark: SparkSession, sf: str) -> DataFrame:
     fs = statements(spark, sf)
-    fact = st.fact_financial(fs, st.dim_account(fs))
+    fact = st.fact_financial(fs, staged(st.dim_account(fs)))  # of known size, so the fact rows are not shuffled by account
     amounts = ("value", *st.MEASURES)
     return fact.select(*[c for c in fact.columns if c not in amounts], *st.money(*amounts))
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerspark import session
+from ledgerspark.registry import QUERIES
 from ledgerspark.sources.tables import derive_statements
 
 
@@ -63,3 +64,7 @@ def test_periods_are_summed_where_the_months_of_a_supplier_meet(spark, given):
     assert exchanges and not any("period_type" in line for line in exchanges)
     total = {r.period_type: r.n for r in rows.groupBy("period_type").agg(F.count("*").alias("n")).collect()}
     assert set(total) == {"ANUAL", "TRIMESTRAL", "MENSUAL"}
+
+
+def test_fact_rows_are_not_shuffled_by_account(spark, given):
+    assert "hashpartitioning(account_code" not in plan(QUERIES["fact_financial"](spark, given))
