@@ -240,14 +240,14 @@ TABLES: dict[str, str] = {
 
 
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A domain table computed from the given tables."""
+    """A domain table computed from the given tables; small ones are dealt out before their rows become long texts."""
     names = set(re.findall(r"\{(\w+)\}", TABLES[name]))
-    return spark.sql(TABLES[name], **{n: table(spark, sf_dir, n) for n in names})
+    return spark.sql(TABLES[name], **{n: spread(table(spark, sf_dir, n)) for n in names})
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A domain table as it would be delivered: stored once, so that queries start from plain columns."""
-    return written_once(spark, f"domain_{name}", sf_dir, lambda: spread(derive(spark, sf_dir, name)))
+    return written_once(spark, f"domain_{name}", sf_dir, lambda: derive(spark, sf_dir, name))
 
 
 def as_cte(name: str, alias: str | None = None) -> str:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerspark import session
 from ledgerspark.registry import QUERIES
+from ledgerspark.sources import adapters
 from ledgerspark.sources.tables import derive_statements
 
 
@@ -44,6 +45,14 @@ def test_large_tables_are_not_dealt_out(spark, given, monkeypatch):
     assert "Exchange" not in plan(session.spread(lines, "l_suppkey"))
 
 
+def test_lines_become_texts_without_a_shuffle(spark, given, monkeypatch):
+    monkeypatch.setattr(session, "SPLIT", 1)
+    made = []
+    monkeypatch.setattr(adapters, "written_once", lambda spark, name, source, build: made.append(build()) or made[0])
+    assert adapters.load(spark, given, "raw_statements").count() == 42
+    assert "Exchange" not in plan(made[0])
+
+
 def test_partitioned_tables_are_written_without_a_sort(spark):
     seen = []
 
@@ -68,3 +77,12 @@ def test_periods_are_summed_where_the_months_of_a_supplier_meet(spark, given):
 
 def test_fact_rows_are_not_shuffled_by_account(spark, given):
     assert "hashpartitioning(account_code" not in plan(QUERIES["fact_financial"](spark, given))
+
+
+def test_long_methods_are_cut_while_tables_are_stored(spark):
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before, seen = spark.conf.get(key, None), []
+    session.written_once(spark, "limit", "test", lambda: seen.append(spark.conf.get(key)) or spark.range(3))
+    assert seen == ["8000"] and spark.conf.get(key, None) == before
+    session.staged(spark.range(3))
+    assert spark.conf.get(key, None) == before
