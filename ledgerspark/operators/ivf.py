@@ -13,18 +13,21 @@ another length than the centroids. Ties go to the smaller id.
 
 from __future__ import annotations
 
+import collections
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.session import staged
 
 SAMPLE = 20_000
+SPARE = 2
 LLOYD = 6
 CELLS = 256  # at most; and no more than the root of the sample's rows
 PROBES = 32
@@ -34,25 +37,47 @@ ASKED_ROWS = 4_096  # questions that meet a part at once
 
 def units(column: pa.Array, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Places and unit vectors of the rows that have a direction, of the given length or the first one met."""
-    rows = column.to_pylist()
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
     if size is None:
-        size = next((len(v) for v in rows if v), 0)
-    places = [k for k, v in enumerate(rows) if v and len(v) == size and None not in v]
-    matrix = np.array([rows[k] for k in places], dtype=np.float64).reshape(len(places), size)
+        size = int(next(iter(lengths[lengths > 0]), 0))
+    places = np.flatnonzero(lengths == size) if size else np.zeros(0, dtype=np.int64)
+    matrix = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)  # a null is not finite here
+    if len(matrix) != len(places) * size:
+        matrix = matrix[np.repeat(lengths == size, lengths)]
+    matrix = matrix.reshape(len(places), size)
     with np.errstate(over="ignore", invalid="ignore"):
         length = np.sqrt((matrix * matrix).sum(axis=1)) if size else np.zeros(0)
     good = np.isfinite(length) & (length > 0)
-    return np.array(places, dtype=np.int64)[good], matrix[good] / length[good][:, None]
+    return places[good], matrix[good] / length[good][:, None]
+
+
+def least(vectors: DataFrame, sample: int) -> DataFrame:
+    """The ``sample`` vectors that come first in the order of a hash of their ids."""
+    return vectors.filter("vector is not null").orderBy(F.xxhash64("id"), "id").limit(sample).select("vector")
+
+
+def among(vectors: DataFrame, sample: int) -> DataFrame:
+    """The rows of least hashes, about SPARE times ``sample`` of them."""
+    share = min(1.0, SPARE * sample / max(1, vectors.count()))
+    return vectors.filter(F.xxhash64("id") <= F.lit(min((1 << 63) - 1, int(share * 2.0**64) - (1 << 63))))
+
+
+def sampled(vectors: DataFrame, sample: int) -> DataFrame:
+    """``least`` where at least ``sample`` rows are found ``among`` them: what meets in one task does not grow with the table."""
+    return least(among(vectors, sample), sample)
 
 
 def centroids(vectors: DataFrame, cells: int = CELLS, sample: int = SAMPLE) -> np.ndarray:
     """Unit centroids of ``vectors(id, vector)``, fitted on ``sample`` rows at most: ``cells``, or the root of the sample's rows if less."""
-    rows = vectors.filter("vector is not null").orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").toArrow()
+    rows = sampled(vectors, sample).toArrow()
+    if len(rows) < sample:  # few rows, or ids that do not spread
+        rows = least(vectors, sample).toArrow()
     column = rows["vector"].combine_chunks()
-    sizes = [len(v) for v in column.to_pylist() if v]
+    sizes = collections.Counter(pc.list_value_length(column).to_pylist())
+    sizes.pop(0, None)
     if not sizes:
         return np.zeros((0, 0))
-    _, x = units(column, max(set(sizes), key=lambda s: (sizes.count(s), s)))
+    _, x = units(column, max(sizes, key=lambda s: (sizes[s], s)))
     found = np.unique(x, axis=0)
     centre = found[np.random.default_rng(1).permutation(len(found))[: min(cells, math.isqrt(len(found)) + 1)]]
     for _ in range(LLOYD):

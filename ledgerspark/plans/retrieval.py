@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +22,7 @@ NEIGHBOURS = 4
 MAX_QUESTIONS = 4096  # questions sent to every task
 BLOCK = 256  # questions compared with a batch at once
 WIDTH = 128  # places of a passage's vector
+VECTOR_ROWS = 4096  # texts whose vectors are made at once
 CHUNK_BITS = 20  # passages of a document that its ids leave room for
 
 
@@ -63,8 +66,6 @@ def chunk_text(text: str, size: int = CHUNK, overlap: int = OVERLAP, separators:
 
 def chunks(documents: DataFrame) -> DataFrame:
     """One row per passage of the whole text; the text is cut on the executors, batch by batch."""
-    import pandas as pd
-
     def cut(batches):
         for batch in batches:
             lists = [chunk_text(t or "") for t in batch["text"]]
@@ -99,8 +100,6 @@ def nearest(vectors: DataFrame, questions: DataFrame, k: int = NEIGHBOURS, limit
     in blocks by a hash of their id. A task keeps k candidates per question and batch, and the final choice sees
     those only; pairs of all vectors with all questions are never written.
     """
-    import pandas as pd
-
     def unit(vector) -> np.ndarray | None:
         if vector is None or any(x is None for x in vector):
             return None
@@ -150,25 +149,45 @@ def nearest(vectors: DataFrame, questions: DataFrame, k: int = NEIGHBOURS, limit
     return ranked.withColumn("similarity", F.round("similarity", 6))
 
 
+class _Crc(dict):
+    """Hash of each word met, kept for a batch of texts."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = h = zlib.crc32(word.encode())
+        return h
+
+
+def text_vectors(texts: list[str]) -> np.ndarray:
+    """Hashed words of each text: each word adds or takes 1 + log of its count at a place of its own."""
+    words = [t.lower().split() for t in texts]
+    hashes = np.fromiter(map(_Crc().__getitem__, itertools.chain.from_iterable(words)), dtype=np.int64)
+    owner = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+    codes, pairs = pd.factorize(owner << 32 | hashes)  # in the order met, so that a text's sums do not depend on its batch
+    counts, which = np.unique(np.bincount(codes, minlength=len(pairs)), return_inverse=True)
+    added = np.array([1 + np.log(n) for n in counts.tolist()])[which]
+    h = pairs & 0xFFFFFFFF
+    places = np.bincount((pairs >> 32) * WIDTH + h % WIDTH, weights=(1 - 2 * (h >> 31)) * added, minlength=len(texts) * WIDTH)
+    return places.reshape(len(texts), WIDTH)
+
+
 def text_vector(text: str) -> np.ndarray:
-    """Hashed words of a text: each word adds or takes 1 + log of its count at a place of its own."""
-    counts: dict[int, int] = {}
-    for word in text.lower().split():
-        h = zlib.crc32(word.encode())
-        counts[h] = counts.get(h, 0) + 1
-    out = np.zeros(WIDTH)
-    for h, n in counts.items():
-        out[h % WIDTH] += (1 - 2 * (h >> 31)) * (1 + np.log(n))
-    return out
+    """The vector of one text."""
+    return text_vectors([text])[0]
 
 
 def with_vector(rows: DataFrame, text: str, name: str) -> DataFrame:
     """Add the vector of a text column; null for null and blank texts."""
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [text_vector(t).tolist() if t and t.strip() else None for t in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.float64()))], [*batch.schema.names, name])
+        for whole in batches:
+            for k in range(0, whole.num_rows, VECTOR_ROWS):
+                batch = whole.slice(k, VECTOR_ROWS)
+                texts = batch.column(text).to_pylist()
+                blank = np.array([not t or t.isspace() for t in texts])
+                found = text_vectors([t for t, no in zip(texts, blank.tolist()) if not no])
+                offsets = np.r_[0, np.cumsum(~blank) * WIDTH].astype(np.int32)
+                vectors = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel()), mask=pa.array(blank))
+                yield pa.RecordBatch.from_arrays([*batch.columns, vectors], [*batch.schema.names, name])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(added, f"{kinds}, `{name}` array<double>")

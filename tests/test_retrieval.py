@@ -1,6 +1,10 @@
 """Indexed nearest neighbours and passage retrieval against brute force, with the recall that is claimed."""
 
+import tracemalloc
+import zlib
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ledgerspark.operators import ivf
@@ -66,3 +70,43 @@ def test_passages_of_all_documents(spark):
         total += 4
     print("recall", hits / total)
     assert hits >= 0.9 * total
+
+
+def test_units_make_no_python_numbers():
+    x = np.random.default_rng(2).normal(size=(20_000, 64))
+    column = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * 64), pa.array(x.ravel()))
+    tracemalloc.start()
+    places, unit = ivf.units(column)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 3.5 * x.nbytes
+    assert len(places) == len(x) and np.array_equal(unit, x / np.sqrt((x * x).sum(axis=1))[:, None])
+    odd = pa.array([None, [], [1.0], [None, 1.0], [3.0, 4.0], [float("nan"), 1.0], [0.0, 0.0], [float("inf"), 1.0], [0.0, 2.0]], pa.list_(pa.float64()))
+    for column, first in ((odd, 0), (odd.slice(3), 3)):
+        places, unit = ivf.units(column, 2)
+        assert (places + first).tolist() == [4, 8] and unit.tolist() == [[0.6, 0.8], [0.0, 1.0]]
+    assert ivf.units(odd)[0].tolist() == [2]
+
+
+def test_sample_of_many_rows_meets_in_one_task_as_few(spark):
+    vectors = spark.range(30_000, numPartitions=60).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vector"))
+    want = [r.vector for r in ivf.least(vectors, 200).collect()]
+    assert [r.vector for r in ivf.sampled(vectors, 200).collect()] == want
+    assert 200 <= ivf.among(vectors, 200).count() < 1_000
+    same_id = vectors.withColumn("id", F.lit(7).cast("long"))  # ids that do not spread: all rows or none are among them
+    assert len(ivf.centroids(same_id, 16, 200)) == 15
+
+
+def test_vectors_of_texts_one_by_one():
+    def plain(text):
+        counts, out = {}, np.zeros(retrieval.WIDTH)
+        for word in text.lower().split():
+            h = zlib.crc32(word.encode())
+            counts[h] = counts.get(h, 0) + 1
+        for h, n in counts.items():
+            out[h % retrieval.WIDTH] += (1 - 2 * (h >> 31)) * (1 + np.log(n))
+        return out
+
+    texts = ["a b a A c", "", " \n", "É é x\u2003y", "zz " * 900 + "b a", "the cat the dog " * 20]
+    assert np.array_equal(retrieval.text_vectors(texts), np.array([plain(t) for t in texts]))
+    assert retrieval.text_vectors([]).shape == (0, retrieval.WIDTH)
