@@ -1,15 +1,15 @@
 """N-gram Jaccard join by vertical partitioning: documents whose sets of 5-word shingles overlap by 80 % or more, as components.
 
-1. Equal sets form one class, and only one member of a class goes on. A merged sketch (``sketch``) tells which shingles may
+1. Equal sets form one class (sets whose name was met once are not grouped), and only one member of a class goes on. A merged sketch (``sketch``) tells which shingles may
    occur in two documents; a document with fewer than 80 % of such shingles can have no link and is done.
 2. The global order of all shingles is that of their level in a merged count sketch, rare ones first, then of their hash. Every
    task has the sketch, so every task knows the order and nothing is sent back to the sets. The order is cut
    into FRAGMENTS of about equal weight; each set is cut at the same places, and an overlap is the sum of the fragments'
    overlaps, counted one by one from the rarest on until the sum, or what is still possible, decides.
 3. Near neighbours first: class sets are sorted by their least shingle hashes and compared with the ones before them, which
-   joins most of a group of near copies by few links and without its pairs.
-4. The rest is exact. The order is cut into parts. A set's first n - ceil(0.8 n) + 1 shingles meet those of other components in
-   their part; pairs there are kept unless their lengths or a parity bitmap (its distance never exceeds the sets'
+   joins most of a group of near copies by few links and without its pairs. A sketch of least hashes leaves out sets that would be alone.
+4. The rest is exact. The order is cut into parts. A set's first n - ceil(0.8 n) + 1 shingles, without those that a sketch of them
+   met once only, meet those of other components in their part; pairs there are kept unless their lengths or a parity bitmap (its distance never exceeds the sets'
    difference) rule a link out. The fragments of the pairs left are joined, counted apart and summed per pair.
 
 No group of copies is expanded into its pairs: copies are classes, near copies are mostly one component before step 4, and
@@ -41,6 +41,7 @@ PERCENT = 80
 ROUNDS = 5  # sortings in step 2
 BACK = 16  # sets before it that a set is compared with
 FRAGMENTS = 6
+PIECE_ROWS = 512
 BITMAP_BITS = 1024
 
 _MASK = (1 << 64) - 1
@@ -133,13 +134,16 @@ class Order:
         return [found[which == f] for f in range(FRAGMENTS)]
 
 
-def shingle_order(classes: DataFrame) -> Order:
-    total = classes.select(F.sum(F.octet_length("shingles") / 8).alias("n")).first().n or 0
+def _size(classes: DataFrame) -> int:
+    """Members of all sets."""
+    return int(classes.select(F.sum(F.octet_length("shingles") / 8).alias("n")).first().n or 0)
+
 
+def shingle_order(classes: DataFrame) -> Order:
     def keys(batch: pa.RecordBatch) -> np.ndarray:
         return np.frombuffer(b"".join(batch.column("shingles").to_pylist()), dtype=np.uint64)
 
-    return Order(sketch.levels(classes.select("shingles"), keys, int(total)))
+    return Order(sketch.levels(classes.select("shingles"), keys, _size(classes)))
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -166,20 +170,56 @@ def _fragments_linked(a: list[np.ndarray], b: list[np.ndarray]) -> bool:
     return _linked(overlap, size_a, size_b)
 
 
-def _neighbour_links(classes: DataFrame, order_) -> DataFrame:
-    """Links found among sets that are near each other when sorted by least hashes, ``a, b``."""
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch of sets cut into runs of PIECE_ROWS, so that a task's copies of their members stay small."""
+    return (batch.slice(k, PIECE_ROWS) for k in range(0, len(batch), PIECE_ROWS))
+
+
+def _members(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The members of all sets of a batch and the sets' offsets in them."""
+    raw = column.to_pylist()
+    return np.frombuffer(b"".join(raw), dtype=np.uint64), np.r_[0, np.cumsum([len(x) // 8 for x in raw])].astype(np.int64)
+
+
+def _least(batch: pa.RecordBatch) -> np.ndarray:
+    """Least hashes of each set, one column for each round."""
+    found, offsets = _members(batch.column("shingles"))
+    return np.stack([np.minimum.reduceat(_salted(found, k), offsets[:-1]) for k in range(ROUNDS)], axis=1)
+
+
+def _least_keys(batch: pa.RecordBatch) -> np.ndarray:
+    """Least hashes of all rounds as keys of a sketch; that of one round is no key of another."""
+    least = _least(batch)
+    return np.concatenate([_salted(least[:, k], 80 + k) for k in range(ROUNDS)])
+
+
+def _near_rows(classes: DataFrame) -> DataFrame:
+    """``round, k1, k2, k3, node, shingles``: each set with its least hashes in the rounds in which another set may have the same first one.
+
+    Only sets of one least hash are compared, so the others need not be sent.
+    """
+    spark = classes.sparkSession
+    bits = sketch.bits_for(ROUNDS * classes.count())
+    shared = spark.sparkContext.broadcast(sketch.repeated(classes.select("shingles"), _least_keys, bits, _pieces))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, sets = batch.column("node"), batch.column("shingles")
-            least = np.array([[_salted(np.frombuffer(x, dtype=np.uint64), k).min() for k in range(ROUNDS)] for x in sets.to_pylist()], dtype=np.uint64)
-            least = least.reshape(-1, ROUNDS).view(np.int64)
+        for batch in (piece for whole in batches for piece in _pieces(whole)):
+            met = sketch.passes(shared.value, bits, _least_keys(batch)).reshape(ROUNDS, -1)
+            least = _least(batch).view(np.int64)
             for k in range(ROUNDS):
+                some = np.flatnonzero(met[k])
+                nodes, sets = (batch.column(c).take(pa.array(some)) for c in ("node", "shingles"))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(nodes), k, np.int32)), *(pa.array(least[:, (k + j) % ROUNDS]) for j in range(3)), nodes, sets],
+                    [pa.array(np.full(len(some), k, np.int32)), *(pa.array(least[some, (k + j) % ROUNDS]) for j in range(3)), nodes, sets],
                     ["round", "k1", "k2", "k3", "node", "shingles"],
                 )
 
+    return classes.select("node", "shingles").mapInArrow(keyed, "round int, k1 long, k2 long, k3 long, node long, shingles binary")
+
+
+def _neighbour_links(classes: DataFrame, order_) -> DataFrame:
+    """Links found among sets that are near each other when sorted by least hashes, ``a, b``."""
+
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent: list[tuple[tuple, int, int, list[np.ndarray]]] = []  # key, node, head of its chain, fragments
         for batch in batches:
@@ -196,11 +236,11 @@ def _neighbour_links(classes: DataFrame, order_) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     order = ["round", "k1", "k2", "k3", "node"]
-    rows = classes.mapInArrow(keyed, "round int, k1 long, k2 long, k3 long, node long, shingles binary")
-    rows = rows.repartitionByRange(parts(classes.sparkSession), *order).sortWithinPartitions(*order)
+    rows = _near_rows(classes).repartitionByRange(parts(classes.sparkSession), *order).sortWithinPartitions(*order)
     return rows.mapInArrow(compared, "a long, b long")
 
 
+_RAREST = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("bitmap", pa.binary()), ("rarest", pa.binary())])
 _POSTED = pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("hash", "row", "node", "label", "n", "bitmap"))])
 _POSTED_SQL = "part int, hash binary, row binary, node binary, label binary, n binary, bitmap binary"
 
@@ -234,23 +274,48 @@ def bitmap(found: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.uint64)
 
 
-def _candidates(classes: DataFrame, order_, n_parts: int) -> DataFrame:
-    """Pairs of sets ``a, b`` of different components that lengths, rarest shingles and bitmaps leave possible."""
+def _rarest_rows(classes: DataFrame, order_) -> DataFrame:
+    """``node, n, bitmap, rarest``: of each set's rarest shingles those that another set may have among its own; sets without any are left out."""
+    spark = classes.sparkSession
+
+    def rarest(raw: bytes) -> np.ndarray:
+        own = np.frombuffer(raw, dtype=np.uint64)
+        return order_.value.first(own, len(own) - (PERCENT * len(own) + 99) // 100 + 1)
+
+    def keys(batch: pa.RecordBatch) -> np.ndarray:
+        return _salted(np.concatenate([rarest(x) for x in batch.column("shingles").to_pylist()]), 60)
+
+    bits = sketch.bits_for((100 - PERCENT) * _size(classes) / 100 + classes.count())
+    shared = spark.sparkContext.broadcast(sketch.repeated(classes.select("shingles"), keys, bits, _pieces))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (piece for whole in batches for piece in _pieces(whole)):
+            rows = []
+            for node, raw in zip(batch.column("node").to_pylist(), batch.column("shingles").to_pylist()):
+                found = rarest(raw)
+                found = found[sketch.passes(shared.value, bits, _salted(found, 60))]
+                if len(found):
+                    own = np.frombuffer(raw, dtype=np.uint64)
+                    rows.append({"node": node, "n": len(own), "bitmap": bitmap(own).tobytes(), "rarest": found.tobytes()})
+            yield pa.RecordBatch.from_pylist(rows, schema=_RAREST)
+
+    return classes.select("node", "shingles").mapInArrow(cut, "node long, n long, bitmap binary, rarest binary")
+
+
+def _candidates(classes: DataFrame, order_, n_parts: int, labels: DataFrame | None = None) -> DataFrame:
+    """Pairs of sets ``a, b`` of different components that lengths, rarest shingles and bitmaps leave possible.
+
+    ``labels`` are the sets' components where ``classes`` has no ``label``: they meet the rarest shingles, not the sets.
+    """
+    labels = classes.select("node", "label") if labels is None else labels
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, label = (batch.column(c).to_numpy() for c in ("node", "label"))
-            found, row, n, maps = [], [], [], []
-            for i, raw in enumerate(batch.column("shingles").to_pylist()):
-                own = np.frombuffer(raw, dtype=np.uint64)
-                rarest = order_.value.first(own, len(own) - (PERCENT * len(own) + 99) // 100 + 1)
-                found.append(rarest)
-                row.append(np.full(len(rarest), i))
-                n.append(len(own))
-                maps.append(bitmap(own))
-            if found:
-                rows = {"node": node, "label": label, "n": np.array(n, dtype=np.int64), "bitmap": np.array(maps)}
-                yield from _posted(np.concatenate(found), np.concatenate(row), rows, n_parts)
+            if len(batch):
+                found, offsets = _members(batch.column("rarest"))
+                rows = {c: batch.column(c).to_numpy() for c in ("node", "label", "n")}
+                rows["bitmap"] = np.frombuffer(b"".join(batch.column("bitmap").to_pylist()), dtype=np.uint64).reshape(len(batch), -1)
+                yield from _posted(found, np.repeat(np.arange(len(batch)), np.diff(offsets)), rows, n_parts)
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in _gathered(batches):
@@ -281,7 +346,8 @@ def _candidates(classes: DataFrame, order_, n_parts: int) -> DataFrame:
                 a, b = p["node"][seen // size], p["node"][seen % size]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    rows = classes.mapInArrow(posted, _POSTED_SQL).repartition(n_parts, "part")
+    rows = _rarest_rows(classes, order_).join(labels, "node").select("node", "label", "n", "bitmap", "rarest")
+    rows = rows.mapInArrow(posted, _POSTED_SQL).repartition(n_parts, "part")
     return rows.mapInArrow(paired, "a long, b long").distinct()
 
 
@@ -326,18 +392,35 @@ def _counted_links(pairs: DataFrame, classes: DataFrame, order_) -> DataFrame:
 _FRAGMENT = pa.schema([("node", pa.int64()), ("fragment", pa.int32()), ("n", pa.int64()), ("part", pa.binary())])
 
 
+def set_classes(live: DataFrame) -> DataFrame:
+    """``node, shingles``, one row for each different set; a set whose name no other row may have is not sent anywhere."""
+    n = live.count()
+    bits = sketch.bits_for(n)
+    again = sketch.repeated(live.select("node"), lambda batch: _salted(batch.column("node").to_numpy().view(np.uint64), 50), bits, _pieces)
+    shared = live.sparkSession.sparkContext.broadcast(again)
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            met = sketch.passes(shared.value, bits, _salted(batch.column("node").to_numpy().view(np.uint64), 50))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(met)], [*batch.schema.names, "met"])
+
+    rows = live.select("node", "check", "shingles").mapInArrow(marked, "node long, check long, shingles binary, met boolean")
+    one = rows.filter("met").groupBy("node", "check").agg(F.first("shingles").alias("shingles"))
+    return rows.filter("not met").select("node", "shingles").union(one.select("node", "shingles"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
     n_parts = parts(spark)
     sets = stored(document_sets(docs), "sets")
     live = sets.filter("shingles is not null")
-    classes = stored(live.groupBy("node", "check").agg(F.first("shingles").alias("shingles")).select("node", "shingles"), "classes")
+    classes = stored(set_classes(live), "classes")
     own = classes.select(F.col("node").alias("a"), F.col("node").alias("b"))
     order_ = spark.sparkContext.broadcast(shingle_order(classes))
     near = stored(_neighbour_links(classes, order_), "near")
     labels = components(near.union(own))
-    pairs = stored(_candidates(classes.join(labels, "node"), order_, n_parts), "pairs")
+    pairs = stored(_candidates(classes, order_, n_parts, labels), "pairs")
     links = stored(_counted_links(pairs, classes, order_), "exact")
     a, b = (labels.select(F.col("node").alias(c), F.col("label").alias(f"to_{c}")) for c in "ab")
     merged = links.join(a, "a").join(b, "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))

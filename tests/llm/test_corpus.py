@@ -305,6 +305,36 @@ def test_order_cuts_sets_alike(spark):
     assert min(sum(len(order.fragments(s)[f]) for s in sets) for f in range(jaccard.FRAGMENTS)) > 0
 
 
+def test_sets_without_company_are_not_sent(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(5_000)]
+    base = " ".join(words[k] for k in rng.integers(0, 5_000, 300))
+    # each shingle is held by two rows, but no two rows share more than a half
+    texts = [" ".join(words[k] for k in rng.integers(0, 5_000, 150)) for _ in range(80)]
+    rows = [(k, f"{texts[k]} . {texts[(k + 1) % 80]}") for k in range(80)] + [(900, base), (901, base + " end"), (902, base)]
+    sets = jaccard.stored(jaccard.document_sets(spark.createDataFrame(rows, "doc_id long, text string")).filter("shingles is not null"), "sets")
+    assert sets.count() == 83
+    classes = jaccard.stored(jaccard.set_classes(sets), "classes")
+    assert classes.count() == 82 and classes.select("node").distinct().count() == 82
+    sent = jaccard._near_rows(classes).groupBy("node").count().collect()
+    own = {r.node for r in sets.filter("doc_id >= 900").collect()}
+    both = {r.node: r["count"] for r in sent}
+    assert all(both[n] >= jaccard.ROUNDS - 2 for n in own)
+    assert sum(both.values()) < 0.8 * jaccard.ROUNDS * 82
+    order = spark.sparkContext.broadcast(jaccard.shingle_order(classes))
+    held = [np.frombuffer(r.rarest, dtype=np.uint64) for r in jaccard._rarest_rows(classes, order).collect()]
+    met, times = np.unique(np.concatenate(held), return_counts=True)
+    assert (times > 1).mean() > 0.95  # those met once only are left out, but for shared cells
+
+
+def test_bits_of_planes_in_few_bytes():
+    rng = np.random.default_rng(9)
+    for n, size, most in ((0, 4096, 40), (1, 4096, 60), (3_000, 1 << 16, 1.45 * 3_000), (40_000, 4096, 4200), (400, 1 << 19, 2.2 * 400)):
+        block = np.packbits(np.bincount(rng.integers(0, 8 * size, n), minlength=8 * size).astype(bool), bitorder="little")
+        body = sketch.bits_out(block)
+        assert np.array_equal(sketch.bits_in(body, size), block) and len(body) <= most
+
+
 def test_rounds_of_a_chain_in_order(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(400)], "a long, b long")
     labels, rounds = components.rounds(links)
