@@ -2,31 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.session import staged
 
-#: Shifted exclusive ors: each is a bijection of 64-bit numbers, so ids in order do not stay in order.
-_MOVES = ((F.shiftleft, 13), (F.shiftrightunsigned, 7), (F.shiftleft, 17))
+ROUNDS = 3  # of a Feistel network: a bijection of 64-bit numbers whatever the hash, so ids in order do not stay in order
+_LOW = (1 << 32) - 1
 
 
-def _moved(df: DataFrame, move, k: int) -> DataFrame:
-    return df.select(*[F.col(c).bitwiseXOR(move(F.col(c), k)).alias(c) for c in df.columns])
+def _half(half: Column) -> Column:
+    return F.hash(half).cast("long").bitwiseAND(F.lit(_LOW))
 
 
 def _spread(df: DataFrame) -> DataFrame:
-    for move, k in _MOVES:
-        df = _moved(df, move, k)
+    for _ in range(ROUNDS):
+        halves = ((c, F.shiftrightunsigned(c, 32), F.col(c).bitwiseAND(F.lit(_LOW))) for c in df.columns)
+        df = df.select(*[F.shiftleft(low, 32).bitwiseOR(high.bitwiseXOR(_half(low))).alias(c) for c, high, low in halves])
     return df
 
 
 def _gathered(df: DataFrame) -> DataFrame:
-    """The inverse of ``_spread``: a shifted exclusive or is undone by those of its shift's doublings."""
-    for move, k in reversed(_MOVES):
-        while k < 64:
-            df = _moved(df, move, k)
-            k *= 2
+    """The inverse of ``_spread``."""
+    for _ in range(ROUNDS):
+        halves = ((c, F.shiftrightunsigned(c, 32), F.col(c).bitwiseAND(F.lit(_LOW))) for c in df.columns)
+        df = df.select(*[F.shiftleft(low.bitwiseXOR(_half(high)), 32).bitwiseOR(high).alias(c) for c, high, low in halves])
     return df
 
 

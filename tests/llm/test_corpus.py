@@ -557,3 +557,15 @@ def ds_rows(name, *columns):
 
     table = ds.dataset(f"{SF}/{name}.parquet").to_table(columns=list(columns))
     return list(zip(*(table[c].to_pylist() for c in columns)))
+
+
+def test_spread_ids_have_no_order_and_come_back(spark):
+    from ledgerspark.operators import components as general
+
+    ids = [*range(400), -(1 << 63), (1 << 63) - 1, -1, *(k << 32 for k in range(1, 200)), None]
+    frame = spark.createDataFrame([(k, k) for k in ids], "a long, b long")
+    spread = [r.a for r in general._spread(frame).collect()]
+    assert len(set(spread)) == len(ids) and [r.b for r in general._gathered(general._spread(frame)).collect()] == ids
+    for part in (spread[:400], spread[403:602]):
+        ups = sum(x < y for x, y in zip(part, part[1:]))
+        assert 0.35 < ups / (len(part) - 1) < 0.65
