@@ -31,10 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.llm import sketch
-from ledgerspark.llm.components import components
+from ledgerspark.llm.components import rounds
 from ledgerspark.llm.exchange import packed, part_of
 from ledgerspark.llm.scratch import numbered, parts, stored
 from ledgerspark.llm.words import Words, mixed, slices, windows
+from ledgerspark.session import fewer
 
 SIZE = 5
 PERCENT = 80
@@ -381,7 +382,8 @@ def _counted_links(pairs: DataFrame, classes: DataFrame, order_) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "n_a", "n_b")), pa.array(overlap, pa.int64())], ["a", "b", "n_a", "n_b", "overlap"])
 
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    fragments = stored(classes.select("node", "shingles").join(ends, "node", "left_semi").mapInArrow(cut, "node long, fragment int, n long, part binary"), "fragments")
+    fragments = classes.select("node", "shingles").join(ends, "node", "left_semi").mapInArrow(cut, "node long, fragment int, n long, part binary")
+    fragments = stored(fewer(fragments, classes.count()), "fragments")
     sides = [fragments.select(F.col("node").alias(s), "fragment", F.col("n").alias(f"n_{s}"), F.col("part").alias(f"part_{s}")) for s in "ab"]
     rows = pairs.join(sides[0], "a").join(sides[1], ["b", "fragment"])
     rows = rows.select("a", "b", "n_a", "n_b", "part_a", "part_b").mapInArrow(counted, "a long, b long, n_a long, n_b long, overlap long")
@@ -406,7 +408,7 @@ def set_classes(live: DataFrame) -> DataFrame:
 
     rows = live.select("node", "check", "shingles").mapInArrow(marked, "node long, check long, shingles binary, met boolean")
     one = rows.filter("met").groupBy("node", "check").agg(F.first("shingles").alias("shingles"))
-    return rows.filter("not met").select("node", "shingles").union(one.select("node", "shingles"))
+    return rows.filter("not met").select("node", "shingles").union(fewer(one.select("node", "shingles"), n))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -418,17 +420,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = stored(set_classes(live), "classes")
     own = classes.select(F.col("node").alias("a"), F.col("node").alias("b"))
     order_ = spark.sparkContext.broadcast(shingle_order(classes))
-    near = stored(_neighbour_links(classes, order_), "near")
-    labels = components(near.union(own))
-    pairs = stored(_candidates(classes, order_, n_parts, labels), "pairs")
-    links = stored(_counted_links(pairs, classes, order_), "exact")
+    n = classes.count()
+    labels, _ = rounds(_neighbour_links(classes, order_).union(own), 2 * n)
+    pairs = stored(fewer(_candidates(classes, order_, n_parts, labels), n), "pairs")
+    links = stored(fewer(_counted_links(pairs, classes, order_), n), "exact")
     a, b = (labels.select(F.col("node").alias(c), F.col("label").alias(f"to_{c}")) for c in "ab")
     merged = links.join(a, "a").join(b, "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))
-    top = components(merged).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    top = rounds(merged, links.count())[0].select(F.col("node").alias("label"), F.col("label").alias("top"))
     final = labels.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("component"))
     smallest = live.groupBy("node").agg(F.min("doc_id").alias("first")).join(final, "node")
     first = smallest.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = stored(smallest.select("node", "component").join(first, "component").select("node", "component_id"), "named")
+    named = stored(fewer(smallest.select("node", "component").join(first, "component").select("node", "component_id"), n), "named")
     alone = sets.filter("shingles is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return live.join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(alone)
 
@@ -443,4 +445,4 @@ def keep_first(docs: DataFrame) -> DataFrame:
     ids = rows.select("_row", F.col("_rest.doc_id").alias("doc_id"))
     order = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id"), F.col("_row"))
     stay = ids.join(found, "_row").groupBy("component_id").agg(F.min(order).alias("first"))
-    return rows.join(stay.select(F.col("first._row").alias("_row")), "_row", "left_semi").select("_rest.*")
+    return fewer(rows.join(stay.select(F.col("first._row").alias("_row")), "_row", "left_semi").select("_rest.*"), rows.count())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.session import staged
+from ledgerspark.session import fewer, staged
 
 ROUNDS = 3  # of a Feistel network: a bijection of 64-bit numbers whatever the hash, so ids in order do not stay in order
 _LOW = (1 << 32) - 1
@@ -42,22 +42,31 @@ def components(links: DataFrame) -> DataFrame:
     return rounds(links)[0]
 
 
-def rounds(links: DataFrame) -> tuple[DataFrame, int]:
-    """The labels of ``components`` and the number of rounds that they took."""
-    names = staged(_spread(links.select("a", "b")).distinct())
+def rounds(links: DataFrame, about: int | None = None) -> tuple[DataFrame, int]:
+    """The labels of ``components`` and the number of rounds that they took.
+
+    ``about`` is the number of links where it is known; it only sets the number of files of the first table.
+    """
+    names = _spread(links.select("a", "b")).distinct()
+    names = staged(names if about is None else fewer(names, about))
+    left = names.count()
+    nodes = 2 * left
     labels, n = None, 0
     while True:
         n += 1
         both = names.union(names.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")).withColumnRenamed("a", "node"))
+        step = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")).withColumnRenamed("a", "node")
+        step = staged(fewer(step, 2 * left))
         if labels is None:
             labels = step.withColumnRenamed("to", "label")
         else:
             moved = step.withColumnRenamed("node", "label")
-            labels = staged(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+            labels = staged(fewer(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), nodes))
         a, b = (step.select(F.col("node").alias(c), F.col("to").alias(f"to_{c}")) for c in "ab")
         names = names.join(a, "a").join(b, "b").filter("to_a <> to_b")
         # a node may point to one that points on: those chains are links too
-        names = staged(names.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
-        if names.isEmpty():
+        names = names.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct()
+        names = staged(fewer(names, left))
+        left = names.count()
+        if not left:
             return _gathered(labels), n

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -14,6 +15,7 @@ from conftest import sort_plain, sorted_rows
 from pyspark.sql import functions as F
 
 from ledgerspark.llm import components, decontam, jaccard, lattice, lm, repeats, sketch, windows
+from ledgerspark.session import app_folder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -288,6 +290,29 @@ def test_rows_of_each_step_follow_the_members_not_the_parts(spark):
     assert made[400, 64][0] <= 2.5 * made[200, 64][0]
 
 
+def test_small_results_are_few_files(spark, odd):
+    """A small table is not written as a file for each shuffle partition, whatever their number."""
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in settings}
+    folder = app_folder(spark).removeprefix("file:")
+    files = lambda: {(d, x) for d, _, names in os.walk(folder) for x in names if x.startswith("part-")}
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(40)) for _ in range(100)) for _ in range(300)]
+    rows = [(3 * k + j, t + " end" * j) for k, t in enumerate(texts) for j in range(3)]
+    known = files()
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        kept = jaccard.keep_first(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2))
+        assert kept.rdd.getNumPartitions() <= 8
+        assert sorted(r.doc_id for r in kept.collect()) == [3 * k for k in range(300)]
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    made = collections.Counter(d for d, _ in files() - known)
+    assert len(made) > 8 and max(made.values()) <= 20
+
+
 def test_order_cuts_sets_alike(spark):
     rng = np.random.default_rng(4)
     common = rng.integers(0, 2**64, 50, dtype=np.uint64)
