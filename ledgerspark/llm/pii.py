@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.llm.scratch import stored
+from ledgerspark.session import fewer
 
 KINDS = ("email", "ip", "card", "phone", "context")
 ROUNDS = 3
@@ -150,7 +151,8 @@ def trusted_patterns(found: DataFrame) -> DataFrame:
     sides = [found.select(F.explode(c).alias("x"), F.lit(c == "seeds").alias("seed")) for c in ("seeds", "open")]
     edges = sides[0].union(sides[1]).select(F.explode(_patterns("x")).alias("pattern"), F.col("x.match").alias("instance"), "seed")
     edges = edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")).withColumn("class", _class(F.col("instance")))
-    edges = stored(edges, "edges")
+    edges = stored(fewer(edges, found.count()), "edges")
+    n = edges.count()
 
     def scored(known: DataFrame) -> DataFrame:
         seeds = F.count_if("seed")
@@ -159,12 +161,12 @@ def trusted_patterns(found: DataFrame) -> DataFrame:
 
     known = edges.withColumn("score", F.when(F.col("seed"), 1.0).otherwise(0.0))
     for _ in range(ROUNDS):
-        able = stored(scored(known), "able")
+        able = stored(fewer(scored(known), n), "able")
         by_instance = edges.filter(~F.col("seed")).join(able, "pattern").groupBy("instance").agg(F.avg(_weighted()).alias("reached"))
         known = edges.join(by_instance, "instance", "left")
         score = F.when(F.col("seed"), 1.0).otherwise(F.coalesce("reached", F.lit(0.0)))
         known = known.withColumn("score", score).withColumn("seed", F.col("seed") | (F.col("score") >= MIN_SCORE)).drop("reached")
-        known = stored(known, "scored")
+        known = stored(fewer(known, n), "scored")
     return scored(known).filter(F.col("trust") >= MIN_SCORE)
 
 
@@ -200,7 +202,7 @@ def redact(docs: DataFrame) -> DataFrame:
     # only rows with open instances can have further spans: the others do not travel
     none = F.array().cast("array<struct<start:int,kind:int,stop:int>>")
     still = rows.filter(F.size("open") == 0).withColumn("more", none)
-    rows = still.unionByName(rows.filter(F.size("open") > 0).join(more, "_row", "left")).drop("seeds", "open")
+    rows = still.unionByName(fewer(rows.filter(F.size("open") > 0).join(more, "_row", "left"), rows.count())).drop("seeds", "open")
     every = F.array_sort(F.concat("base", F.coalesce("more", none)))
     names = F.array(*map(F.lit, KINDS))
 

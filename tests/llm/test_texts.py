@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -15,6 +16,7 @@ from tokenizers import Tokenizer
 
 from ledgerspark.llm import bpe, pii, quality, tokens, urls
 from ledgerspark.llm.scratch import place
+from ledgerspark.session import app_folder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BYTE_BPE, WORD_BPE = (public_tokenizers.path(f"{n}.json") for n in ("byte_bpe_50k", "word_bpe_49k"))
@@ -254,3 +256,23 @@ def test_texts_that_only_the_suffix_rule_refuses(spark):
     frame = spark.createDataFrame([(1, twice), (2, heavy), (3, clean), (4, prose)], "doc_id long, text string")
     got = {r.doc_id: (r.base_failed, r.kept) for r in quality.quality(frame).collect()}
     assert got == {1: (False, False), 2: (False, False), 3: (False, True), 4: (False, True)}
+
+
+def test_patterns_are_few_files(spark):
+    """The tables of the graph are not written as a file for each shuffle partition, whatever their number."""
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in settings}
+    folder = app_folder(spark).removeprefix("file:")
+    files = lambda: {(d, x) for d, _, names in os.walk(folder) for x in names if x.startswith("part-")}
+    rows = [(k, f"key{k % 90} a{k}@b.org and key{k % 90} {700000 + 37 * k}x{k}") for k in range(300)]
+    known = files()
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        done = pii.redact(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2))
+        assert done.rdd.getNumPartitions() <= 10 and done.filter("text like 'key% <email> and%'").count() == 300
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    made = collections.Counter(d for d, _ in files() - known)
+    assert len(made) > 3 and max(made.values()) <= 8
