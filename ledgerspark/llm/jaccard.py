@@ -1,7 +1,8 @@
 """N-gram Jaccard join by vertical partitioning: documents whose sets of 5-word shingles overlap by 80 % or more, as components.
 
-1. Equal sets form one class (sets whose name was met once are not grouped), and only one member of a class goes on. A merged sketch (``sketch``) tells which shingles may
-   occur in two documents; a document with fewer than 80 % of such shingles can have no link and is done.
+1. Equal sets form one class (sets whose name was met once are not grouped), and only one member of a class goes on. Each set sends its least
+   shingles, about a half, in few bytes to where equal ones meet; a set that has met fewer of them again than a link asks for
+   (``_looked``) can have none and is done. No table of all shingles is held anywhere, so this works alike at any size.
 2. The global order of all shingles is that of their level in a merged count sketch, rare ones first, then of their hash. Every
    task has the sketch, so every task knows the order and nothing is sent back to the sets. The order is cut
    into FRAGMENTS of about equal weight; each set is cut at the same places, and an overlap is the sum of the fragments'
@@ -23,17 +24,19 @@ share a doc_id are rows of their own; an empty table gives an empty result; only
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.llm import sketch
 from ledgerspark.llm.components import rounds
-from ledgerspark.llm.exchange import packed, part_of
-from ledgerspark.llm.scratch import numbered, parts, stored
+from ledgerspark.llm.exchange import joined, numbers_in, numbers_out, packed, part_of
+from ledgerspark.llm.scratch import dropped, numbered, parts, stored, swept
 from ledgerspark.llm.words import Words, mixed, slices, windows
 from ledgerspark.session import fewer
 
@@ -44,6 +47,14 @@ BACK = 16  # sets before it that a set is compared with
 FRAGMENTS = 6
 PIECE_ROWS = 512
 BITMAP_BITS = 1024
+MORE = 30  # percent of a set's shingles that are looked at in step 1, beyond those that a linked set may lack
+SPARE = 5
+CELL_BITS = 43
+FLUSH = 2_000_000  # shingles that a task holds before it sends them
+FLUSH_SETS = 1 << 19
+PART_KEYS = 2_000_000  # shingles that meet in a task
+LEAST_PARTS = 64
+THIN_CELLS = 16
 
 _MASK = (1 << 64) - 1
 
@@ -87,24 +98,175 @@ _SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64(
 _SETS_SQL = "doc_id long, n long, node long, check long, shingles binary"
 
 
+def _looked(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many of its least shingles a set of n looks at, and how many of them it shares at least with a set that it is linked with.
+
+    A linked set has ceil(0.8 n) members or more and lacks n - ceil(0.8 n) of this one's or fewer. So of that many least ones
+    and k more, k are shared, and they are among the other's least ones where it takes as many more; a smaller set takes fewer.
+    """
+    least = -(-PERCENT * n // 100)
+    more, fewest = (-(-MORE * x // 100) for x in (n, least))
+    return n - least + more, fewest
+
+
+class _Held:
+    """Least shingles of a task's sets, before they are sent."""
+
+    def __init__(self, bits: int, n_parts: int, task: int):
+        self.bits, self.n_parts, self.task, self.flushes = bits, n_parts, task, 0
+        self.clear()
+
+    def clear(self) -> None:
+        self.cells, self.rows, self.names, self.needed = ([] for _ in range(4))
+        self.size = self.sets = 0
+
+    def add(self, piece: pa.RecordBatch) -> None:
+        found, offsets = shingles(piece.column("text"))
+        n = np.diff(offsets)
+        looked, shared = _looked(n)
+        least = np.arange(len(found)) - np.repeat(offsets[:-1], n) < np.repeat(looked, n)
+        some = n > 0
+        number = self.sets + np.cumsum(some)  # from 1 on
+        self.cells.append(_salted(found[least], 40) >> np.uint64(64 - self.bits))
+        self.rows.append(np.repeat(number, n)[least])
+        self.names.append(_sums(_salted(found, 90), offsets)[some])
+        self.needed.append(shared[some])
+        self.size += len(self.cells[-1])
+        self.sets += int(some.sum())
+
+    def full(self) -> bool:
+        return self.size >= FLUSH or self.sets >= FLUSH_SETS
+
+    def sent(self) -> Iterator[dict]:
+        """Cells by part; a cell that several sets of the task have is counted here and sent once, as row 0."""
+        if not self.sets:
+            return
+        source, at = self.task << 32 | self.flushes, (7919 * self.task + self.flushes) % self.n_parts
+        self.flushes += 1
+        cells, rows, names, needed = (np.concatenate(x) for x in (self.cells, self.rows, self.names, self.needed))
+        shift = np.uint64(self.sets.bit_length())
+        both = np.sort(cells << shift | rows.astype(np.uint64))
+        cells, rows = both >> shift, both & ((np.uint64(1) << shift) - np.uint64(1))
+        first = np.r_[True, cells[1:] != cells[:-1]]
+        alone = first & np.r_[first[1:], True]
+        met = np.bincount(rows[~alone].astype(np.int64), minlength=self.sets + 1)[1:]
+        rows[~alone] = 0
+        cells, rows = cells[first], rows[first]
+        left = np.maximum(needed - met, 0).astype(np.uint64)
+        yield {"part": at, "source": source, "cells": None, "rows": numbers_out(left), "names": names.tobytes()}
+        starts = _part_starts(self.bits, self.n_parts)
+        bounds = np.searchsorted(cells, starts)
+        for p in np.flatnonzero(np.diff(bounds)).tolist():
+            a, b = bounds[p], bounds[p + 1]
+            yield {"part": p, "source": source, "cells": numbers_out(np.diff(cells[a:b], prepend=starts[p])), "rows": numbers_out(rows[a:b]), "names": None}
+
+
+def _part_starts(bits: int, n_parts: int) -> np.ndarray:
+    """Where each part of the cells begins, and the end of the last."""
+    return np.array([(k << bits) // n_parts for k in range(n_parts + 1)], dtype=np.uint64)
+
+
+def _met_rows(messages: list[dict]) -> Iterator[dict]:
+    """For each message of a part its rows whose cells are met elsewhere or several times in one task, a row once for each cell."""
+    cells = [np.cumsum(numbers_in(m["cells"]), dtype=np.uint64) for m in messages]  # from the part's start on
+    ends = np.cumsum([len(x) for x in cells])
+    cells, rows = np.concatenate(cells), np.concatenate([numbers_in(m["rows"]) for m in messages])
+    order = np.argsort(cells, kind="stable")
+    cells = cells[order]
+    first = np.r_[True, cells[1:] != cells[:-1]]
+    begin = np.flatnonzero(first)
+    size = np.diff(np.r_[begin, len(cells)])
+    again = (size > 1) | np.bitwise_or.reduceat(rows[order] == 0, begin)
+    met = np.zeros(len(cells), dtype=bool)
+    met[order] = np.repeat(again, size)
+    met &= rows > 0
+    for m, a, b in zip(messages, np.r_[0, ends[:-1]].tolist(), ends.tolist()):
+        own = np.sort(rows[a:b][met[a:b]])
+        if len(own):
+            yield {"source": m["source"], "rows": numbers_out(np.diff(own, prepend=np.uint64(0))), "names": None}
+
+
+_LEAST = pa.schema([("part", pa.int32()), ("source", pa.int64()), *((c, pa.binary()) for c in ("cells", "rows", "names"))])
+_LEAST_SQL = "part int, source long, cells binary, rows binary, names binary"
+_MET = pa.schema([("source", pa.int64()), ("rows", pa.binary()), ("names", pa.binary())])
+
+
+def met_names(docs: DataFrame) -> DataFrame:
+    """``names``: in binary rows, the names of all sets that may be linked with another (``_looked``).
+
+    Shingles travel as cells of a number space with 2**SPARE of them for each shingle, so about one in 2**SPARE is met by chance, whatever
+    the size; a task of the exchange holds PART_KEYS of them. Sets are told apart by the flush that they were sent in and their
+    number there, so a task that runs again must read the same rows in the same order, as those of stored tables do.
+    """
+    spark = docs.sparkSession
+    total = docs.select(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    keys = total / 6.5 * (100 - PERCENT + MORE) / 100
+    bits = min(CELL_BITS, max(sketch.MIN_BITS, math.ceil(math.log2(keys + 1)) + SPARE))
+    n_parts = max(LEAST_PARTS, math.ceil(keys / PART_KEYS))
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held(bits, n_parts, TaskContext.get().partitionId())
+        for batch in batches:
+            for piece in slices(batch):
+                held.add(piece)
+                if held.full():
+                    yield from (pa.RecordBatch.from_pylist([row], schema=_LEAST) for row in held.sent())
+                    held.clear()
+        yield from (pa.RecordBatch.from_pylist([row], schema=_LEAST) for row in held.sent())
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_part: dict[int, list[dict]] = {}
+        for batch in batches:
+            rows = batch.to_pylist()
+            yield pa.RecordBatch.from_pylist([{c: r[c] for c in _MET.names} for r in rows if r["cells"] is None], schema=_MET)
+            for r in rows:
+                if r["cells"] is not None:
+                    by_part.setdefault(r["part"], []).append(r)
+        while by_part:
+            yield pa.RecordBatch.from_pylist(list(_met_rows(by_part.popitem()[1])), schema=_MET)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, tuple[bytes, bytes]] = {}
+        counts: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["names"] is not None:
+                    own[r["source"]] = r["names"], r["rows"]
+                else:
+                    counts.setdefault(r["source"], []).append(r["rows"])
+        for source, (raw, needed) in own.items():
+            names, needed = np.frombuffer(raw, dtype=np.uint64), numbers_in(needed).astype(np.int64)
+            for body in counts.pop(source, []):
+                rows, n = np.unique(np.cumsum(numbers_in(body), dtype=np.uint64).astype(np.int64) - 1, return_counts=True)
+                needed[rows] -= n
+            yield pa.RecordBatch.from_arrays([pa.array([names[needed <= 0].tobytes()], pa.binary())], ["names"])
+
+    rows = docs.select("text").mapInArrow(sent, _LEAST_SQL).repartition(n_parts, "part").mapInArrow(met, "source long, rows binary, names binary")
+    return rows.repartition(parts(spark), "source").mapInArrow(named, "names binary")
+
+
 def document_sets(docs: DataFrame) -> DataFrame:
     """``doc_id, n, node, check, shingles``: size of the set, 128 bits that name it, and the set where a link is possible."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    bits = sketch.cells_for(docs, 6.5)
-    plane = spark.sparkContext.broadcast(sketch.repeated(docs.select("text"), lambda piece: shingles(piece.column("text"))[0], bits))
+    names = stored(met_names(docs), "names")
+    bits = sketch.bits_for(THIN_CELLS * (names.select(F.sum(F.octet_length("names")).alias("n")).first().n or 0) / 8)
+
+    def keys(batch: pa.RecordBatch) -> np.ndarray:  # each twice, so that its cell is met again
+        return np.repeat(_salted(joined(batch.column("names"), np.uint64), 50), 2)
+
+    plane = spark.sparkContext.broadcast(sketch.repeated(names, keys, bits, lambda batch: [batch]))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch):
                 found, offsets = shingles(piece.column("text"))
                 n = np.diff(offsets)
-                again = _sums(sketch.passes(plane.value, bits, found).astype(np.uint64), offsets).astype(np.int64)
-                live = (n > 0) & (100 * again >= PERCENT * n)
-                names = [_sums(_salted(found, k), offsets).view(np.int64) for k in (90, 91)]
+                names = [_sums(_salted(found, k), offsets) for k in (90, 91)]
+                live = (n > 0) & sketch.passes(plane.value, bits, _salted(names[0], 50))
                 raw = [found[a:b].tobytes() if ok else None for a, b, ok in zip(offsets[:-1].tolist(), offsets[1:].tolist(), live.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(x) for x in names), pa.array(raw, pa.binary())], schema=_SETS
+                    [piece.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(x.view(np.int64)) for x in names), pa.array(raw, pa.binary())], schema=_SETS
                 )
 
     return docs.mapInArrow(sets, _SETS_SQL)
@@ -416,22 +578,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n_parts = parts(spark)
     sets = stored(document_sets(docs), "sets")
-    live = sets.filter("shingles is not null")
-    classes = stored(set_classes(live), "classes")
+    swept(spark)
+    ids = stored(sets.select("doc_id", "n", "node", F.col("shingles").isNotNull().alias("live")), "ids")
+    classes = stored(set_classes(sets.filter("shingles is not null")), "classes")
+    dropped(sets)
+    swept(spark)
     own = classes.select(F.col("node").alias("a"), F.col("node").alias("b"))
     order_ = spark.sparkContext.broadcast(shingle_order(classes))
     n = classes.count()
     labels, _ = rounds(_neighbour_links(classes, order_).union(own), 2 * n)
+    swept(spark)
     pairs = stored(fewer(_candidates(classes, order_, n_parts, labels), n), "pairs")
+    swept(spark)
     links = stored(fewer(_counted_links(pairs, classes, order_), n), "exact")
+    dropped(classes, pairs)
     a, b = (labels.select(F.col("node").alias(c), F.col("label").alias(f"to_{c}")) for c in "ab")
     merged = links.join(a, "a").join(b, "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))
     top = rounds(merged, links.count())[0].select(F.col("node").alias("label"), F.col("label").alias("top"))
     final = labels.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("component"))
+    live = ids.filter("live").select("doc_id", "n", "node")
     smallest = live.groupBy("node").agg(F.min("doc_id").alias("first")).join(final, "node")
     first = smallest.groupBy("component").agg(F.min("first").alias("component_id"))
     named = stored(fewer(smallest.select("node", "component").join(first, "component").select("node", "component_id"), n), "named")
-    alone = sets.filter("shingles is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    swept(spark)
+    alone = ids.filter("not live").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return live.join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(alone)
 
 

@@ -10,11 +10,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest import sort_plain, sorted_rows
 from pyspark.sql import functions as F
 
-from ledgerspark.llm import components, decontam, jaccard, lattice, lm, repeats, sketch, windows
+from ledgerspark.llm import components, decontam, exchange, jaccard, lattice, lm, repeats, sketch, windows
 from ledgerspark.session import app_folder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -313,6 +314,81 @@ def test_small_results_are_few_files(spark, odd):
     assert len(made) > 8 and max(made.values()) <= 20
 
 
+def test_sets_without_links_are_left_out_whatever_the_size(spark, monkeypatch):
+    """As many shingles as fill a sketch's largest plane many times, which let every set pass."""
+    monkeypatch.setattr(sketch, "MAX_BITS", 16)
+    monkeypatch.setattr(jaccard, "PART_KEYS", 2_000, raising=False)
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(1_500)) for _ in range(300)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(1000 + k, texts[k] + " tail" * k) for k in range(4)] + [(2000, "one"), (2001, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    live = {r.doc_id for r in jaccard.document_sets(frame).filter("shingles is not null").collect()}
+    wanted = {*range(4), *range(1000, 1004)}
+    assert wanted <= live and len(live) <= len(wanted) + 15
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(frame).collect()}
+    assert got == {i: (n, c) for i, n, c in plain_jaccard(rows)[0]}
+
+
+def test_linked_sets_share_some_of_their_least_members():
+    rng = np.random.default_rng(6)
+    for _ in range(400):
+        a = rng.permutation(10_000)[: rng.integers(1, 90)].astype(np.uint64)
+        keep = rng.integers(int(0.75 * len(a)), len(a) + 1)
+        b = np.unique(np.r_[a[:keep], rng.permutation(10_000)[: rng.integers(0, max(1, len(a) // 4))].astype(np.uint64) + np.uint64(rng.choice([0, 10_000]))])
+        a, both = np.sort(a), len(np.intersect1d(a, b))
+        if jaccard._linked(both, len(a), len(b)):
+            looked, shared = jaccard._looked(np.array([len(a), len(b)]))
+            assert (shared >= 1).all() and (looked <= [len(a), len(b)]).all()
+            assert len(np.intersect1d(a[: looked[0]], b[: looked[1]])) >= shared.max()
+
+
+def test_least_shingles_meet_over_tasks_and_flushes():
+    """Counts of what is met again are those of all sets at once, wherever the sets are held and however often a task sends."""
+    rng = random.Random(2)
+    common = " ".join(f"c{k}" for k in range(40))
+    texts = [" ".join(f"w{rng.randrange(400)}" for _ in range(rng.randrange(0, 60))) + " " + common * rng.randrange(2) for _ in range(60)]
+    texts += texts[:10] + ["", " ", texts[3] + " x"]
+    messages, wanted = [], {}
+    seen = collections.Counter()
+    for task, flushes in enumerate(([texts[:20], texts[20:25]], [texts[25:60]], [texts[60:61], texts[61:]])):
+        held = jaccard._Held(40, 7, task)
+        for flush, own in enumerate(flushes):
+            for some in (own[:3], own[3:]):
+                held.add(pa.RecordBatch.from_arrays([pa.array(some, pa.string())], ["text"]))
+            messages += list(held.sent())
+            held.clear()
+            sets = [set(jaccard.shingles(pa.array([t]))[0].tolist()) for t in own]
+            looked = [sorted(x)[: int(jaccard._looked(np.array([len(x)]))[0][0])] for x in sets if x]
+            wanted[task << 32 | flush] = looked, [len(x) for x in sets if x]
+            seen.update(x for one in looked for x in one)
+    names = {m["source"]: m for m in messages if m["cells"] is None}
+    left = {s: exchange.numbers_in(m["rows"]).astype(int) for s, m in names.items()}
+    for p in range(7):
+        own = [m for m in messages if m["cells"] is not None and m["part"] == p]
+        for m in jaccard._met_rows(own):
+            rows = np.cumsum(exchange.numbers_in(m["rows"])).astype(int) - 1
+            np.subtract.at(left[m["source"]], rows, 1)
+    for s, (looked, sizes) in wanted.items():
+        shared = jaccard._looked(np.array(sizes, dtype=np.int64))[1] if sizes else []
+        again = [sum(seen[x] > 1 for x in one) for one in looked]
+        assert [x <= 0 for x in left[s]] == [n >= k for n, k in zip(again, shared)]
+    assert any((x <= 0).any() for x in left.values()) and any((x > 0).any() for x in left.values())
+
+
+def test_numbers_in_few_bytes():
+    rng = np.random.default_rng(3)
+    for x in (np.zeros(0, np.uint64), np.zeros(9, np.uint64), np.array([2**64 - 1, 0, 1], np.uint64), rng.integers(0, 40_000, 5_000).astype(np.uint64)):
+        body = exchange.numbers_out(x)
+        assert np.array_equal(exchange.numbers_in(body), x) and len(body) <= 40 + 2.1 * len(x) * (1 if len(x) != 3 else 5)
+
+
+def test_sets_are_deleted_when_links_are_known(spark, odd):
+    folder = app_folder(spark).removeprefix("file:")
+    found = lambda: {(d, n) for d, names, _ in os.walk(folder) for n in names if n in ("sets", "classes", "pairs")}
+    known = found()
+    assert jaccard.keep_first(odd[0]).count() and found() <= known
+
+
 def test_order_cuts_sets_alike(spark):
     rng = np.random.default_rng(4)
     common = rng.integers(0, 2**64, 50, dtype=np.uint64)
