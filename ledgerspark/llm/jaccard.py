@@ -249,7 +249,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
     """``doc_id, n, node, check, shingles``: size of the set, 128 bits that name it, and the set where a link is possible."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    names = stored(met_names(docs), "names")
+    names = stored(fewer(met_names(docs), docs.count()), "names")
     bits = sketch.bits_for(THIN_CELLS * (names.select(F.sum(F.octet_length("names")).alias("n")).first().n or 0) / 8)
 
     def keys(batch: pa.RecordBatch) -> np.ndarray:  # each twice, so that its cell is met again
@@ -579,7 +579,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     n_parts = parts(spark)
     sets = stored(document_sets(docs), "sets")
     swept(spark)
-    ids = stored(sets.select("doc_id", "n", "node", F.col("shingles").isNotNull().alias("live")), "ids")
+    ids = sets.select("doc_id", "n", "node", F.col("shingles").isNotNull().alias("live"))
+    ids = stored(fewer(ids, sets.count()), "ids")
     classes = stored(set_classes(sets.filter("shingles is not null")), "classes")
     dropped(sets)
     swept(spark)
